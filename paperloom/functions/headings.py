@@ -33,31 +33,30 @@ def family_of(title: Column) -> Column:
     return out
 
 
-def sections(c: Column, strict_headings: bool = False) -> Column:
-    """``array<struct<text, section_type, title>>`` in document order.
+def marked_pieces(c: Column, strict_headings: bool = False) -> Column:
+    """The text cut before every heading; each heading is followed by a marker."""
+    return F.split(F.regexp_replace(c, "(?iumd)" + heading_alternation(strict_headings), f"{OPEN}$0{CLOSE}"), OPEN, -1)
+
+
+def sections(c: Column, pieces: Column) -> Column:
+    """``array<struct<text, section_type, title>>`` in document order, from the text and its marked pieces.
 
     Text before the first heading and every section shorter than 50 characters is left out; a document without
-    headings is one section.
+    headings is one section.  ``pieces`` must be a stored column: it is used several times and costs a pass over the
+    text.
     """
-    marked = F.regexp_replace(c, "(?iumd)" + heading_alternation(strict_headings), f"{OPEN}$0{CLOSE}")
-    pieces = F.split(marked, OPEN, -1)
-    whole = F.array(F.struct(c.alias("text"), F.lit("default").alias("section_type"), F.lit(v.WHOLE_TEXT_TITLE).alias("title")))
-    preamble = F.array(
-        F.struct(
-            strip(F.element_at(pieces, 1)).alias("text"),
-            F.lit("default").alias("section_type"),
-            F.lit(v.PREAMBLE_TITLE).alias("title"),
-        )
-    )
 
-    def body(p: Column) -> Column:
-        title = F.substring_index(p, CLOSE, 1)
+    def entry(text: Column, kind: Column, title: Column) -> Column:
+        return F.struct(text.alias("text"), kind.alias("section_type"), title.alias("title"))
+
+    def head_and_body(p: Column) -> Column:
         return F.struct(
-            strip(F.replace(p, F.lit(CLOSE), F.lit(""))).alias("text"),
-            family_of(title).alias("section_type"),
-            strip(title).alias("title"),
+            F.substring_index(p, CLOSE, 1).alias("title"), strip(F.replace(p, F.lit(CLOSE), F.lit(""))).alias("text")
         )
 
-    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), body)
+    whole = F.array(entry(c, F.lit("default"), F.lit(v.WHOLE_TEXT_TITLE)))
+    preamble = F.array(entry(strip(F.element_at(pieces, 1)), F.lit("default"), F.lit(v.PREAMBLE_TITLE)))
+    cut = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), head_and_body)
+    rest = F.transform(cut, lambda s: entry(s["text"], family_of(s["title"]), strip(s["title"])))
     found = F.filter(F.concat(preamble, rest), lambda s: F.length(s["text"]) >= v.SECTION_MIN_CHARS)
     return F.when(F.size(pieces) == 1, whole).otherwise(found)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom import vocab as v
-from paperloom.functions.text import any_of, strip, strip_latex
+from paperloom.functions.text import any_of, literal_map, strip, strip_latex
 
 
 def squash(c: Column) -> Column:
@@ -23,17 +23,14 @@ def variant_table() -> list[tuple[str, str]]:
     return list(table.items())
 
 
-def _literal_map(pairs) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-
-
 def normalize_name(c: Column) -> Column:
     """Strip LaTeX; a known abbreviation or spelling becomes the preferred full name, all else stays as written.
 
     The dictionary has a fixed size, so it travels inside the expression and costs no join.
     """
-    clean = strip_latex(strip(c))
-    return F.coalesce(F.try_element_at(_literal_map(variant_table()), squash(clean)), clean)
+    plain = strip(c)
+    clean = F.when(plain.rlike(r"[$\\{}^]"), strip_latex(plain)).otherwise(plain)
+    return F.coalesce(F.try_element_at(literal_map(variant_table()), squash(clean)), clean)
 
 
 def canonical_name(c: Column) -> Column:
@@ -70,7 +67,7 @@ def name_score(c: Column) -> Column:
 
 def type_from_label(c: Column) -> Column:
     label = strip(F.upper(c))
-    return F.coalesce(F.try_element_at(_literal_map(v.ENTITY_TYPE_LABELS.items()), label), F.lit("Concept"))
+    return F.coalesce(F.try_element_at(literal_map(v.ENTITY_TYPE_LABELS.items()), label), F.lit("Concept"))
 
 
 def type_from_name(label: Column, name: Column) -> Column:
@@ -82,7 +79,7 @@ def type_from_name(label: Column, name: Column) -> Column:
         by_name = F.when(low.rlike(any_of(v.NAME_KEYWORDS[entity_type])), entity_type).otherwise(by_name)
     formula = name.rlike(any_of(v.FORMULA_OPENERS)) & name.rlike(any_of(v.FORMULA_MARKS))
     return F.coalesce(
-        F.try_element_at(_literal_map(short.items()), up), by_name, F.when(formula, "Formula"), F.lit("Concept")
+        F.try_element_at(literal_map(short.items()), up), by_name, F.when(formula, "Formula"), F.lit("Concept")
     )
 
 

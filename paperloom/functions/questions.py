@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom import vocab as v
-from paperloom.functions.text import any_of, has_any
+from paperloom.functions.text import any_of, has_any, literal_map
 
 
 def tokens(c: Column) -> Column:
@@ -82,7 +82,7 @@ def select_sources(
 
 
 def _full_names() -> Column:
-    return F.create_map(*[F.lit(x) for short, names in v.ABBREVIATIONS.items() for x in (short, names[0])])
+    return literal_map((short, names[0]) for short, names in v.ABBREVIATIONS.items())
 
 
 def key_terms(c: Column) -> Column:

@@ -18,6 +18,15 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(v.STRIP_CHARS))
 
 
+def literal_map(pairs) -> Column:
+    """A constant map, parsed from one expression instead of one call per entry."""
+
+    def show(x) -> str:
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+
+    return F.expr("map(" + ", ".join(f"{show(k)}, {show(x)}" for k, x in pairs) + ")")
+
+
 def ci(pattern: str) -> str:
     """Ignore case in every script and let only a line feed end a line."""
     return "(?iud)" + pattern

@@ -6,21 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import vocab as v
-from paperloom.functions.headings import sections
+from paperloom.functions.headings import marked_pieces, sections
 from paperloom.functions.tagging import tag_columns
-from paperloom.functions.text import estimate_tokens, strip
+from paperloom.functions.text import literal_map, strip
 
 
 def _config(section_type: Column, index: int) -> Column:
-    table = F.create_map(*[F.lit(x) for row in v.SECTION_CONFIG for x in (row[0], row[index])])
+    table = literal_map((row[0], row[index]) for row in v.SECTION_CONFIG)
     default = next(row[index] for row in v.SECTION_CONFIG if row[0] == "default")
     return F.coalesce(F.try_element_at(table, section_type), F.lit(default))
 
 
+def explode_once(df: DataFrame, kept: list, array: str, pos: str, item: str) -> DataFrame:
+    """One row per array item.
+
+    A plain explode makes the optimizer test the array's size below the projection that computes it, which would
+    compute a costly array twice; the outer form followed by a filter does not.
+    """
+    return df.select(*kept, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
+def _with_sections(df: DataFrame, text: str, strict_headings: bool) -> DataFrame:
+    """Add ``_s``.  The pieces are a column of their own, so the headings are searched once per document."""
+    cut = df.withColumn("_pieces", marked_pieces(F.col(text), strict_headings))
+    return cut.withColumn("_s", sections(F.col(text), F.col("_pieces"))).drop("_pieces")
+
+
 def section_rows(df: DataFrame, text: str = "text", strict_headings: bool = False) -> DataFrame:
     """One row per section with its position, type, title and text (references included)."""
     kept = [c for c in df.columns if c != text]
-    return df.select(*kept, F.posexplode(sections(F.col(text), strict_headings)).alias("section_no", "s")).select(
+    return explode_once(_with_sections(df, text, strict_headings), kept, "_s", "section_no", "s").select(
         *kept, "section_no", F.col("s.section_type"), F.col("s.title").alias("section_title"), F.col("s.text").alias("text")
     )
 
@@ -50,7 +65,7 @@ def passages(df: DataFrame, text: str = "text", strict_headings: bool = False) -
     """
     kept = [c for c in df.columns if c != text]
 
-    def cut(s: Column) -> Column:
+    def measure(s: Column) -> Column:
         size, overlap = _config(s["section_type"], 2), _config(s["section_type"], 3)
         whole = F.length(s["text"]) <= size
         spans = F.transform(
@@ -61,27 +76,38 @@ def passages(df: DataFrame, text: str = "text", strict_headings: bool = False) -
                 w["end"].alias("end"),
             ),
         )
-        spans = F.filter(spans, lambda w: whole | (F.length(w["content"]) > 0))
+        return F.struct(
+            s["section_type"].alias("section_type"),
+            s["title"].alias("title"),
+            F.length(s["text"]).alias("chars"),
+            whole.alias("whole"),
+            F.filter(spans, lambda w: whole | (F.length(w["content"]) > 0)).alias("spans"),
+        )
+
+    def cut(s: Column) -> Column:
+        chars = lambda w: F.when(s["whole"], s["chars"]).otherwise(F.length(w["content"]))
         return F.transform(
-            spans,
+            s["spans"],
             lambda w, i: F.struct(
                 w["content"].alias("content"),
                 s["section_type"].alias("section_type"),
                 s["title"].alias("section_title"),
                 i.alias("section_chunk_id"),
-                F.size(spans).alias("section_chunks_count"),
-                F.when(whole, F.length(s["text"])).otherwise(F.length(w["content"])).alias("chunk_size"),
-                F.when(whole, estimate_tokens(s["text"])).otherwise(estimate_tokens(w["content"])).alias("token_count"),
-                whole.alias("is_complete_section"),
+                F.size(s["spans"]).alias("section_chunks_count"),
+                chars(w).alias("chunk_size"),
+                F.floor(chars(w) / 4).cast("int").alias("token_count"),
+                s["whole"].alias("is_complete_section"),
                 w["start"].alias("chunk_start_pos"),
                 w["end"].alias("chunk_end_pos"),
             ),
         )
 
-    in_scope = F.filter(sections(F.col(text), strict_headings), lambda s: s["section_type"] != "references")
-    # the inner array is materialised once per document before it is exploded
-    cut_docs = df.select(*kept, F.flatten(F.transform(in_scope, cut)).alias("_p"))
-    rows = cut_docs.select(*kept, F.size("_p").alias("total_chunks"), F.posexplode("_p").alias("global_chunk_id", "p"))
+    # lambda variables hold evaluated values: sections, then spans, then passages, each computed once
+    in_scope = F.filter(F.col("_s"), lambda s: s["section_type"] != "references")
+    cut_docs = _with_sections(df, text, strict_headings).select(
+        *kept, F.flatten(F.transform(F.transform(in_scope, measure), cut)).alias("_p")
+    )
+    rows = explode_once(cut_docs, kept + [F.size("_p").alias("total_chunks")], "_p", "global_chunk_id", "p")
     st = F.col("p.section_type")
     return rows.select(
         *kept,

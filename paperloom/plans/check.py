@@ -70,13 +70,13 @@ def compare(spark, con, q, sf_dir: str):
 
 def main(argv: list[str]) -> int:
     from paperloom.plans import load_all
-    from paperloom.session import build_session, ship
+    from paperloom.session import build_session, prepare
 
     sf_dir = argv[0]
     patterns = argv[1:]
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("OFF")
-    ship(spark)
+    prepare(spark)
     con = connect(sf_dir)
     bad = 0
     for name, q in load_all().items():

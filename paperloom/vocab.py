@@ -122,9 +122,9 @@ REFERENCE_LINE_STARTS = [
     r"\[1\]",
     r"\(1\)",
     r"[0-9]+\.\s+[A-Z]",
-    rf"1\.\s+{WORD}+.*?[0-9]{{4}}",
+    rf"1\.\s+{WORD}.*?[0-9]{{4}}",
     r"\[[0-9]+\].*\n\[[0-9]+\]",
-    rf"{WORD}+,?\s+{WORD}+.*?\([0-9]{{4}}\)",
+    rf"{WORD}+,?\s+{WORD}.*?\([0-9]{{4}}\)",
     r"https?://doi\.org/",
     r"doi:",
 ]
@@ -172,7 +172,7 @@ MAX_TERMS = 10
 REFERENCE_MARKS = [
     r"\[[0-9]+\]",
     r"\([0-9]{4}\)",
-    rf"[0-9]+\.\s+{WORD}+.*?[0-9]{{4}}",
+    rf"[0-9]+\.\s+{WORD}.*?[0-9]{{4}}",
     r"doi:",
     r"DOI:",
     r"https?://doi\.org/",
