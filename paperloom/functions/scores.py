@@ -10,7 +10,8 @@ from paperloom.functions.text import has_any, strip
 
 
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Into 0..1.  ``least`` and ``greatest`` skip NULL, so a missing score is kept missing here."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def is_blank(c: Column) -> Column:

@@ -185,7 +185,7 @@ def drop_shared_identifiers(results: DataFrame, row: str, identifiers: str, grou
     least the first open row of every group, and in practice nearly all, without bringing a group together.
     Results without identifiers fall out.
     """
-    key = F.struct(*order, row)
+    key = F.struct(*order, *([] if row in order else [row]))
     ids = results.select(*group, row, key.alias("_o"), F.explode_outer(F.array_distinct(identifiers)).alias("_id")).filter(F.col("_id").isNotNull())
     open_ids = cut_lineage(ids)
     kept = None

@@ -130,14 +130,11 @@ def _facts(spark, sf):
     return kg.question_facts(terms, kg.fuzzy_matches(terms, vs)), vs, es
 
 
-@query(
-    "g9_fuzzy_entities",
-    with_inputs(
-        """SELECT item_id, term, name, id, type FROM (SELECT w.item_id, f.term, f.name, f.id, f.type, row_number() OVER (PARTITION BY w.item_id, f.name ORDER BY w.pos, f.rank) AS one
-        FROM words w JOIN fuzzy f ON f.term = w.keyword) WHERE one = 1""",
-        words=_WORDS, fuzzy=_FUZZY,
-    ),
-)
+_QFACTS = """SELECT item_id, term, name, id, type FROM (SELECT w.item_id, f.term, f.name, f.id, f.type, row_number() OVER (PARTITION BY w.item_id, f.name ORDER BY w.pos, f.rank) AS one
+    FROM words w JOIN fuzzy f ON f.term = w.keyword) WHERE one = 1"""
+
+
+@query("g9_fuzzy_entities", with_inputs("SELECT * FROM qfacts", words=_WORDS, fuzzy=_FUZZY, qfacts=_QFACTS))
 def _(spark, sf):
     return _facts(spark, sf)[0].select("item_id", "term", "name", "id", "type")
 
@@ -150,8 +147,8 @@ def _(spark, sf):
         (SELECT id, string_agg(line, chr(10) ORDER BY rank) AS lines FROM (SELECT id, rank, CASE WHEN direction = 'incoming' THEN '    ← ' ELSE '    → ' END || relation || ': ' || other_name || ' (' || other_type || ')' AS line
         FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY direction DESC, relation, other_name, other_type) AS rank FROM (SELECT DISTINCT r.id, direction, relation, o.name AS other_name, o.type AS other_type FROM
         (SELECT source_id AS id, target_id AS other_id, type AS relation, 'outgoing' AS direction FROM edges UNION ALL SELECT target_id, source_id, type, 'incoming' FROM edges) r JOIN vertices o ON o.id = other_id))
-        WHERE rank <= 10) GROUP BY id) l ON l.id = x.id WHERE x.id IN (SELECT id FROM fuzzy)""",
-        words=_WORDS, fuzzy=_FUZZY,
+        WHERE rank <= 10) GROUP BY id) l ON l.id = x.id WHERE x.id IN (SELECT id FROM qfacts)""",
+        words=_WORDS, fuzzy=_FUZZY, qfacts=_QFACTS,
     ),
 )
 def _(spark, sf):
