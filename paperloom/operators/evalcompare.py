@@ -143,13 +143,13 @@ def ranking(means: DataFrame) -> DataFrame:
     kept = F.filter(F.array(*positive), lambda x: x.isNotNull())
     avg = F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept)).otherwise(0.0)
     w = Window.partitionBy("mode").orderBy(F.desc_nulls_last("answer_correctness"), "model")
-    return means.select("mode", "model", F.row_number().over(w).alias("position"), F.bround("answer_correctness", 6).alias("correctness"), F.bround(avg, 6).alias("positive_mean"))
+    return means.select("mode", "model", F.row_number().over(w).alias("position"), F.col("answer_correctness").alias("correctness"), avg.alias("positive_mean"))
 
 
 def ranking_all_modes(means: DataFrame) -> DataFrame:
     """Every model and mode with a positive score in one list."""
     w = Window.orderBy(F.desc("answer_correctness"), "model", "mode")
-    return means.filter(F.col("answer_correctness") > 0).select("model", "mode", F.bround("answer_correctness", 6).alias("correctness"), F.row_number().over(w).alias("position"))
+    return means.filter(F.col("answer_correctness") > 0).select("model", "mode", F.col("answer_correctness").alias("correctness"), F.row_number().over(w).alias("position"))
 
 
 def with_data(runs: DataFrame) -> DataFrame:

@@ -192,17 +192,18 @@ def _(spark, sf):
 @query(
     "m16_ranking",
     _sql(
-        f"""SELECT mode, model, row_number() OVER (PARTITION BY mode ORDER BY answer_correctness DESC NULLS LAST, model) AS position, round(answer_correctness, 6) AS correctness,
-        round(coalesce(list_avg(list_filter([{', '.join(M)}], lambda x: x > 0)), 0), 6) AS positive_mean FROM means"""
+        f"""SELECT mode, model, row_number() OVER (PARTITION BY mode ORDER BY answer_correctness DESC NULLS LAST, model) AS position, round(answer_correctness, 9) AS correctness,
+        round(coalesce(list_avg(list_filter([{', '.join(M)}], lambda x: x > 0)), 0), 9) AS positive_mean FROM means"""
     ),
 )
 def _(spark, sf):
-    return ec.ranking(_means(spark, sf))
+    r = ec.ranking(_means(spark, sf))
+    return r.withColumns({c: F.round(c, 9) for c in ("correctness", "positive_mean")})
 
 
-@query("m16_ranking_all_modes", _sql("SELECT model, mode, round(answer_correctness, 6) AS correctness, row_number() OVER (ORDER BY answer_correctness DESC, model, mode) AS position FROM means WHERE answer_correctness > 0"))
+@query("m16_ranking_all_modes", _sql("SELECT model, mode, round(answer_correctness, 9) AS correctness, row_number() OVER (ORDER BY answer_correctness DESC, model, mode) AS position FROM means WHERE answer_correctness > 0"))
 def _(spark, sf):
-    return ec.ranking_all_modes(_means(spark, sf))
+    return ec.ranking_all_modes(_means(spark, sf)).withColumn("correctness", F.round("correctness", 9))
 
 
 @query("m17_with_data", with_inputs(f"SELECT model, category, mode FROM eval_runs GROUP BY ALL HAVING greatest({', '.join(f'max({m})' for m in M)}) > 0"))
@@ -224,19 +225,23 @@ def _(spark, sf):
 
 
 def _box_sql(source: str, x: str, key: str) -> str:
-    return f"""SELECT {key}, q.n AS values, low, q1, median, q3, high, mean, (SELECT count(*) FROM {source} t WHERE t.{key} = q.{key} AND (coalesce({x}, 0) < q1 - (q3 - q1) * 1.5 OR coalesce({x}, 0) > q3 + (q3 - q1) * 1.5)) AS outliers
+    return f"""SELECT {key}, q.n AS values, low, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, high, mean, (SELECT count(*) FROM {source} t WHERE t.{key} = q.{key} AND (coalesce({x}, 0) < q1 - (q3 - q1) * 1.5 OR coalesce({x}, 0) > q3 + (q3 - q1) * 1.5)) AS outliers
     FROM (SELECT {key}, count(*) AS n, min(coalesce({x}, 0)) AS low, quantile_cont(coalesce({x}, 0), 0.25) AS q1, quantile_cont(coalesce({x}, 0), 0.5) AS median, quantile_cont(coalesce({x}, 0), 0.75) AS q3,
     max(coalesce({x}, 0)) AS high, round_even(avg(coalesce({x}, 0)), 6) AS mean FROM {source} GROUP BY {key}) q"""
 
 
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
+
+
 @query("m20_box_stats", _box_sql("lineitem", "l_extendedprice", "l_returnflag"))
 def _(spark, sf):
-    return ec.box_stats(table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"])
+    return _rounded(ec.box_stats(table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"]))
 
 
 @query("m20_box_scores", with_inputs(_box_sql("eval_runs", "answer_correctness", "mode")))
 def _(spark, sf):
-    return ec.box_stats(inputs.eval_runs(spark, sf), "answer_correctness", ["mode"])
+    return _rounded(ec.box_stats(inputs.eval_runs(spark, sf), "answer_correctness", ["mode"]))
 
 
 @query(
