@@ -64,3 +64,8 @@ def generation_failed(answer: Column, error: Column) -> Column:
 
 def no_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
+
+
+def stable_round(c: Column, digits: int) -> Column:
+    """Half-even rounding of a mean, after the noise of summing in another order is cut off at nine digits."""
+    return F.bround(F.round(c, 9), digits)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom import vocab as v
-from paperloom.functions.scores import no_nan
+from paperloom.functions.scores import no_nan, stable_round
 from paperloom.operators.evalscores import has_error, long_scores, metric_means, row_mean
 
 WITH, WITHOUT = "agentic_with_kg", "agentic_no_kg"
@@ -103,11 +103,11 @@ def weighted_means(summary: DataFrame, weight: Column | None = None, metrics: li
     )
 
 
-def category_summary(runs: DataFrame) -> DataFrame:
+def category_summary(runs: DataFrame, digits: int = 4) -> DataFrame:
     """Per model, category and mode: questions, questions without a zero, their rate, rounded metric means."""
     zero = F.coalesce(F.greatest(*[(F.col(m) == 0).cast("int") for m in v.METRICS]), F.lit(0)) == 1
     out = runs.groupBy("model", "category", "mode").agg(
-        F.count("*").alias("total_qas"), F.count_if(~zero).alias("nonzero_qas"), *[F.bround(F.avg(F.when(~has_error(), no_nan(F.col(m)))), 4).alias(m) for m in v.METRICS]
+        F.count("*").alias("total_qas"), F.count_if(~zero).alias("nonzero_qas"), *[stable_round(F.avg(F.when(~has_error(), no_nan(F.col(m)))), digits).alias(m) for m in v.METRICS]
     )
     return out.withColumn("nonzero_rate", F.bround(F.col("nonzero_qas") * 100 / F.col("total_qas"), 2))
 
@@ -185,10 +185,10 @@ def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return q.join(outliers, by)
 
 
-def category_table(runs: DataFrame) -> DataFrame:
+def category_table(runs: DataFrame, digits: int = 4) -> DataFrame:
     """Per category and mode over all models: correctness and rate of questions without zeros, modes in fixed order."""
     order = F.when(F.col("mode") == v.MODES[0], 0).when(F.col("mode") == v.MODES[1], 1).otherwise(2)
-    s = category_summary(runs.withColumn("model", F.lit("all")))
+    s = category_summary(runs.withColumn("model", F.lit("all")), digits)
     return s.select("category", "mode", order.alias("mode_order"), F.col("answer_correctness").alias("correctness"), "nonzero_rate")
 
 

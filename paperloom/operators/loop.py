@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom import vocab as v
 from paperloom.functions.questions import answer_expectations
-from paperloom.functions.scores import clamp
+from paperloom.functions.scores import clamp, stable_round
 from paperloom.functions.tagging import find_all
 from paperloom.functions.text import any_of, ci, has_any, strip
 from paperloom.session import cut_lineage
@@ -49,8 +49,8 @@ def evaluate(contexts: DataFrame, judged: DataFrame) -> DataFrame:
     both = relevance(contexts).join(confidence(contexts), Q).join(judged, Q, "left")
     cov = coverage(F.col("judge_answer"))
     return both.select(
-        Q, "n_contexts", F.bround("relevance", 3).alias("relevance"), F.bround(cov, 3).alias("coverage"),
-        F.bround("confidence", 3).alias("confidence"), F.bround(overall(F.col("relevance"), cov, F.col("confidence")), 3).alias("overall"),
+        Q, "n_contexts", stable_round(F.col("relevance"), 3).alias("relevance"), stable_round(cov, 3).alias("coverage"),
+        stable_round(F.col("confidence"), 3).alias("confidence"), stable_round(overall(F.col("relevance"), cov, F.col("confidence")), 3).alias("overall"),
     )
 
 

@@ -149,14 +149,20 @@ def _scan(queries: DataFrame, corpus: DataFrame, k: int, qid: str, vid: str, emb
 
 
 def _meet(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int, qid: str, vid: str, emb: str, schema: str) -> DataFrame:
+    """Score the queries and vectors that share all keys, one task per key."""
+
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({qid: q[qid][:0], vid: c[vid][:0], "similarity": np.array([], float)})
-        rows, ids, scores = _score(_unit(q[emb]), _unit(c[emb]), c[vid].to_numpy(), k)
-        return pd.DataFrame({qid: q[qid].to_numpy()[rows], vid: ids, "similarity": scores})
+            return pd.DataFrame({qid: q["_id"][:0], vid: c["_id"][:0], "similarity": np.array([], float)})
+        rows, ids, scores = _score(_unit(q["_e"]), _unit(c["_e"]), c["_id"].to_numpy(), k)
+        return pd.DataFrame({qid: q["_id"].to_numpy()[rows], vid: ids, "similarity": scores})
+
+    # fresh names on both sides, because queries and vectors may come from the same table
+    def side(df: DataFrame, id_col: str, tag: str):
+        names = [f"{tag}{i}" for i in range(len(keys))]
+        return df.select(*[F.col(c).alias(n) for c, n in zip(keys, names)], F.col(id_col).alias("_id"), F.col(emb).alias("_e")).groupBy(*names)
 
-    left = queries.select(*keys, qid, emb).groupBy(*keys)
-    return left.cogroup(corpus.select(*keys, vid, emb).groupBy(*keys)).applyInPandas(run, schema)
+    return side(queries, qid, "_q").cogroup(side(corpus, vid, "_c")).applyInPandas(run, schema)
 
 
 def _blocks(rows: int, dims: int) -> int:

@@ -134,28 +134,28 @@ def _(spark, sf):
 
 
 _ZERO = "(" + " OR ".join(f"coalesce({m} = 0, false)" for m in M) + ")"
-_CATEGORY = f"""SELECT model, category, mode, count(*) AS total_qas, count(*) FILTER (WHERE NOT {_ZERO}) AS nonzero_qas, {', '.join(f'round_even(avg({m}) FILTER (WHERE error IS NULL), 4) AS {m}' for m in M)},
+_CATEGORY = f"""SELECT model, category, mode, count(*) AS total_qas, count(*) FILTER (WHERE NOT {_ZERO}) AS nonzero_qas, {', '.join(f'round(avg({m}) FILTER (WHERE error IS NULL), 9) AS {m}' for m in M)},
     round_even(count(*) FILTER (WHERE NOT {_ZERO}) * 100 / count(*), 2) AS nonzero_rate FROM eval_runs GROUP BY model, category, mode"""
 
 
 @query("m18_category_summary", with_inputs("SELECT * FROM catsum", catsum=_CATEGORY))
 def _(spark, sf):
-    return ec.category_summary(inputs.eval_runs(spark, sf))
+    return ec.category_summary(inputs.eval_runs(spark, sf), 9)
 
 
 @query(
     "m12_weighted_means",
-    with_inputs(f"SELECT model, mode, {', '.join(f'round(sum({m} * total_qas) / sum(total_qas) FILTER (WHERE {m} IS NOT NULL), 9) AS {m}' for m in M)} FROM catsum GROUP BY model, mode", catsum=_CATEGORY),
+    with_inputs(f"SELECT model, mode, {', '.join(f'round(sum({m} * total_qas) / sum(total_qas) FILTER (WHERE {m} IS NOT NULL), 7) AS {m}' for m in M)} FROM catsum GROUP BY model, mode", catsum=_CATEGORY),
 )
 def _(spark, sf):
-    w = ec.weighted_means(ec.category_summary(inputs.eval_runs(spark, sf)), F.col("total_qas"))
-    return w.select("model", "mode", *[F.round(m, 9).alias(m) for m in M])
+    w = ec.weighted_means(ec.category_summary(inputs.eval_runs(spark, sf), 9), F.col("total_qas"))
+    return w.select("model", "mode", *[F.round(m, 7).alias(m) for m in M])
 
 
-@query("m12_unweighted_means", with_inputs(f"SELECT model, mode, {', '.join(f'round(avg({m}), 9) AS {m}' for m in M)} FROM catsum GROUP BY model, mode", catsum=_CATEGORY))
+@query("m12_unweighted_means", with_inputs(f"SELECT model, mode, {', '.join(f'round(avg({m}), 7) AS {m}' for m in M)} FROM catsum GROUP BY model, mode", catsum=_CATEGORY))
 def _(spark, sf):
-    w = ec.weighted_means(ec.category_summary(inputs.eval_runs(spark, sf)))
-    return w.select("model", "mode", *[F.round(m, 9).alias(m) for m in M])
+    w = ec.weighted_means(ec.category_summary(inputs.eval_runs(spark, sf), 9))
+    return w.select("model", "mode", *[F.round(m, 7).alias(m) for m in M])
 
 
 @query(
@@ -247,12 +247,12 @@ def _(spark, sf):
 @query(
     "m21_category_table",
     with_inputs(
-        f"""SELECT category, mode, CASE mode WHEN 'direct_llm' THEN 0 WHEN 'agentic_no_kg' THEN 1 ELSE 2 END AS mode_order, round_even(avg(answer_correctness) FILTER (WHERE error IS NULL), 4) AS correctness,
+        f"""SELECT category, mode, CASE mode WHEN 'direct_llm' THEN 0 WHEN 'agentic_no_kg' THEN 1 ELSE 2 END AS mode_order, round(avg(answer_correctness) FILTER (WHERE error IS NULL), 9) AS correctness,
         round_even(count(*) FILTER (WHERE NOT {_ZERO}) * 100 / count(*), 2) AS nonzero_rate FROM eval_runs GROUP BY category, mode"""
     ),
 )
 def _(spark, sf):
-    return ec.category_table(inputs.eval_runs(spark, sf))
+    return ec.category_table(inputs.eval_runs(spark, sf), 9)
 
 
 @query(

@@ -24,18 +24,18 @@ def _questions(spark, sf):
     return inputs.questions(spark, sf).withColumnRenamed("item_id", "query_id")
 
 
-@query("j1_relevance", with_inputs("SELECT query_id, round(coalesce(avg(coalesce(similarity, rerank_score)) FILTER (WHERE r <= 10), 0.5), 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM contexts) GROUP BY query_id"))
+@query("j1_relevance", with_inputs("SELECT query_id, round(coalesce(avg(coalesce(similarity, rerank_score)) FILTER (WHERE r <= 10), 0.5), 9) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM contexts) GROUP BY query_id"))
 def _(spark, sf):
-    return loop.relevance(inputs.contexts(spark, sf)).select("query_id", F.round("relevance", 6).alias("relevance"))
+    return loop.relevance(inputs.contexts(spark, sf)).select("query_id", F.round("relevance", 9).alias("relevance"))
 
 
 _CONF = "(least(count(DISTINCT source) / 5, 1.0) * 2 + avg(coalesce(rerank_score, similarity))) / 3"
 
 
-@query("j2_confidence", with_inputs(f"SELECT query_id, round({_CONF}, 6) AS confidence, count(*) AS n_contexts FROM contexts GROUP BY query_id"))
+@query("j2_confidence", with_inputs(f"SELECT query_id, round({_CONF}, 9) AS confidence, count(*) AS n_contexts FROM contexts GROUP BY query_id"))
 def _(spark, sf):
     c = loop.confidence(inputs.contexts(spark, sf))
-    return c.select("query_id", F.round("confidence", 6).alias("confidence"), "n_contexts")
+    return c.select("query_id", F.round("confidence", 9).alias("confidence"), "n_contexts")
 
 
 @query("j3_coverage", "SELECT item_id AS query_id, [0.8, 1.0, 0.5, 0.35, 0.5][1 + item_id % 5]::DOUBLE AS coverage FROM benchmark")
@@ -43,7 +43,7 @@ def _(spark, sf):
     return _judged(spark, sf).select("query_id", loop.coverage(F.col("judge_answer")).alias("coverage"))
 
 
-_EVAL = f"""SELECT query_id, n_contexts, round_even(rel, 3) AS relevance, round_even(cov, 3) AS coverage, round_even(conf, 3) AS confidence, round_even(rel * 0.4::DOUBLE + cov * 0.4::DOUBLE + conf * 0.2::DOUBLE, 3) AS overall FROM
+_EVAL = f"""SELECT query_id, n_contexts, round_even(round(rel, 9), 3) AS relevance, round_even(round(cov, 9), 3) AS coverage, round_even(round(conf, 9), 3) AS confidence, round_even(round(rel * 0.4::DOUBLE + cov * 0.4::DOUBLE + conf * 0.2::DOUBLE, 9), 3) AS overall FROM
     (SELECT query_id, count(*) AS n_contexts, avg(similarity) FILTER (WHERE r <= 10) AS rel, {_CONF} AS conf, any_value([0.8, 1.0, 0.5, 0.35, 0.5][1 + query_id % 5]::DOUBLE) AS cov
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM contexts) GROUP BY query_id)"""
 
