@@ -167,9 +167,12 @@ def extraction_stats(parsed: DataFrame, entities: DataFrame, relations: DataFram
 # --- merging -------------------------------------------------------------------------------------------------------
 def keyed_entities(df: DataFrame) -> DataFrame:
     """Mentions with their canonical key, identifier and normal name."""
-    return df.select(
-        "*", nm.canonical_name(F.col("name")).alias("canonical"), nm.entity_id(F.col("name"), F.col("type")).alias("entity_id"),
-        nm.normalize_name(F.col("name")).alias("normal_name"),
+    return df.withColumns(
+        {
+            "canonical": nm.canonical_name(F.col("name")),
+            "entity_id": nm.entity_id(F.col("name"), F.col("type")),
+            "normal_name": nm.normalize_name(F.col("name")),
+        }
     )
 
 
