@@ -16,6 +16,7 @@ from paperloom import vocab as v
 from paperloom.functions import names as nm
 from paperloom.functions.tagging import is_reference_content
 from paperloom.functions.text import any_of, strip
+from paperloom.session import one_row
 
 
 # --- extraction requests and responses ---------------------------------------------------------------------------
@@ -148,20 +149,19 @@ def valid_relations(parsed: DataFrame, entities: DataFrame, passage: str = "pass
 
 def extraction_stats(parsed: DataFrame, entities: DataFrame, relations: DataFrame, response: str = "response") -> DataFrame:
     """Totals, traced shares and failures as one row."""
-    one = F.lit(1).alias("_one")
     p = parsed.agg(
         F.count("*").alias("responses"),
         F.count_if(F.col("parsed").isNull() & response_json(F.col(response)).isNotNull()).alias("extraction_failures"),
-    ).select("*", one)
+    )
     e = entities.agg(
         F.count("*").alias("total_entities"), F.count_if(_present(F.col("text_snippet"))).alias("entities_with_traceability"),
         F.count_if(F.col("type") == "Metric").alias("metrics_extracted"),
-    ).select("*", one)
+    )
     r = relations.agg(
         F.count("*").alias("total_relations"), F.count_if(F.col("type") == "PREDICTS").alias("prediction_relations"),
-    ).select("*", one)
+    )
     rate = F.when(F.col("total_entities") > 0, F.col("entities_with_traceability") / F.col("total_entities") * 100).otherwise(0.0)
-    return p.join(e, "_one").join(r, "_one").drop("_one").withColumn("entity_traceability_rate", rate)
+    return one_row(p, e, r).withColumn("entity_traceability_rate", rate)
 
 
 # --- merging -------------------------------------------------------------------------------------------------------

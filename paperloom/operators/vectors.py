@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from paperloom.functions.questions import tokens
 from paperloom.functions.text import content_hash, strip
+from paperloom.session import one_row
 
 QUERY_BYTES = 64 << 20
 CELL_BYTES = 64 << 20
@@ -326,9 +327,4 @@ def build_metadata(documents: DataFrame, passages: DataFrame, text: str = "text"
     """One row with document, passage and vector counts and the corpus fingerprint."""
     d = corpus_fingerprint(documents, ["doc_id", "n_chars"])
     p = passages.agg(F.count("*").alias("passages"), F.count_distinct("doc_id").alias("documents_with_passages"))
-    one = F.lit(1).alias("_one")
-    return d.select("*", one).join(p.select("*", one), "_one").drop("_one")
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return one_row(d, p)

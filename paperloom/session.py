@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "paperloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,6 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Single-row results side by side, by a union and one aggregate instead of a join without keys."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def prepare(spark: SparkSession) -> None:
     """Make any session ready for this package: ship the code, keep generated methods small enough to be compiled.
 
