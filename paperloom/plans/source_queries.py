@@ -36,7 +36,7 @@ def cleaned_sql(x: str) -> str:
 @query("a1_scan_documents", f"SELECT doc_id, md5({cleaned_sql('text')}) AS content_md5 FROM documents WHERE length({strip('text')}) > 0")
 def _(spark, sf):
     path = new_path(spark, "corpus")
-    table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(path)
+    table(spark, sf, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism, "doc_id").write.partitionBy("doc_id").text(path)
     found = readers.scan_documents(spark, path)
     doc = F.regexp_extract("relative_path", r"doc_id=([0-9]+)", 1).cast("bigint")
     return found.select(doc.alias("doc_id"), F.md5("content").alias("content_md5"))
@@ -108,7 +108,7 @@ def _pair_files(spark, sf, items: str):
     else:
         item = F.struct("category", F.col("answer").alias("content"), F.col("question").alias("evidence"))
     one = q.select(F.concat_ws("-", "paper_id", "pos").alias("f"), "paper_id", F.array(item).alias(items))
-    one.repartition("f").write.partitionBy("f").json(path)
+    one.repartition(spark.sparkContext.defaultParallelism, "f").write.partitionBy("f").json(path)
     return path
 
 
