@@ -131,9 +131,9 @@ def _(spark, sf):
     return qaset.file_status(_files(spark, sf), "qa_pairs").select("doc_id", "status")
 
 
-@query("n8_missing_categories", with_inputs(f"SELECT c AS category FROM (VALUES {', '.join('(' + s(c) + ')' for c in v.QA_CATEGORIES)}) t(c) WHERE c NOT IN (SELECT category FROM qa_pairs WHERE paper_id LIKE '%7')"))
+@query("n8_missing_categories", with_inputs(f"SELECT c AS category FROM (VALUES {', '.join('(' + s(c) + ')' for c in v.QA_CATEGORIES)}) t(c) WHERE c NOT IN (SELECT category FROM qa_pairs WHERE difficulty = 'extreme')"))
 def _(spark, sf):
-    return qaset.missing_categories(inputs.qa_pairs(spark, sf).filter(F.col("paper_id").endswith("7")))
+    return qaset.missing_categories(inputs.qa_pairs(spark, sf).filter("difficulty = 'extreme'"))
 
 
 @query("n9_status_counts", f"SELECT status, count(*) AS files, CAST(sum(CASE WHEN status = 'ok' THEN 2 ELSE 0 END) AS BIGINT) AS items FROM (SELECT {_STATUS} AS status FROM documents) GROUP BY status")
