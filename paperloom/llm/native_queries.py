@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, urlrules
+from paperloom.llm import chat, decontam, urlrules
 from paperloom.llm.registry import llm_query
 from paperloom.sources.readers import table
 
@@ -56,7 +56,10 @@ def op2_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
 SITES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 ]
-BAD_SITES = [("spam", "farm"), ("cheap", "pills"), ("free", "casino"), ("click", "bait"), ("link", "farm")]
+BAD_SITES = [
+    ("spam", "farm"), ("cheap", "pills"), ("free", "casino"), ("click", "bait"), ("link", "farm"),
+    ("casino", "win"), ("ads", "track"), ("free", "bets"), ("adult", "x"),
+]
 BAD_PATHS = ["login", "signin", "logout", "register", "cart", "checkout", "print", "search", "feed", "tag"]
 BAD_FILES = ["exe", "zip", "jpg", "png", "gif", "mp4", "css", "js"]
 
@@ -99,3 +102,36 @@ def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     judged = urlrules.judge_urls(pages, filter_rules())
     sites = [h + p for h, p, _ in SITES]
     return judged.select("page_id", "host", "path", F.when(F.col("rule").isin(*sites), F.col("rule")).alias("rule"), "verdict")
+
+
+_WORDS = "regexp_extract_all(translate({}, '" + decontam.UPPER + "', '" + decontam.LOWER + "'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP4_SQL = f"""
+with items as (select item_id, {_WORDS.format('text')} as w from benchmark where text is not null),
+windows as (
+  select distinct item_id, list_slice(w, i + 1, i + {decontam.N}) as win
+  from (select item_id, w, unnest(range(0, greatest(len(w) - {decontam.N}, 0) + 1)) as i from items where len(w) > 0)
+), docs as (select row_number() over () as r, doc_id, coalesce({_WORDS.format('text')}, []) as w from documents),
+spots as (select r, w, unnest(range(0, len(w))) as i from docs),
+lengths as (select distinct len(win) as k from windows),
+probes as (select r, i, k, list_slice(w, i + 1, i + k) as win from spots, lengths where i + k <= len(w)),
+hits as (select r, i, k, item_id from probes join windows using (win)),
+covered as (select r, count(distinct i + d) as n_hit from (select distinct r, i, unnest(range(0, k)) as d from hits) group by r),
+found as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item_id::varchar as item from hits) group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join covered using (r) left join found using (r)
+"""
+
+
+@llm_query("op4_decontamination", OP4_SQL)
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """What every document shares with the benchmark items."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontam.contamination(docs, table(spark, sf, "benchmark").select("item_id", "text"))
+    n_hit = decontam.covered(F.col("spans"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
