@@ -68,27 +68,28 @@ def contamination(
     if sum(r["bytes"] for r in shape) <= broadcast_bytes:
         table = F.broadcast(table)
 
-    keyed = docs.select(F.col(doc).alias(doc), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    at = keyed.select("*", F.posexplode_outer("w").alias("i", "_word")).drop("_word")
+    keyed = docs.select(F.col(doc).alias("__pl_id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    at = keyed.select("*", F.posexplode_outer("w").alias("i", "__pl_word")).drop("__pl_word")
     probe = at.select("*", _probes(F.col("w"), F.col("i"), lengths).alias("p")).select("*", "p.n", "p.h").drop("p")
     hit = probe.join(table, "h", "left")
     here = F.slice("w", F.col("i") + 1, F.col("n"))
-    true_hits = F.filter("entries", lambda e: e.getField("window") == here)
+    true_hits = F.filter("entries", lambda e: (F.size(e.getField("window")) == F.col("n")) & (e.getField("window") == here))
     first = (F.coalesce("i", F.lit(0)) == 0) & (F.col("n") == lengths[0])
     kept = hit.filter(F.col("entries").isNotNull() | first).select(
-        doc, "text_hash", F.size("w").alias("n_words"), F.when(first, 1).alias("row"),
+        "__pl_id", "text_hash", F.size("w").alias("n_words"), F.when(first, 1).alias("row"),
         F.when(F.size(true_hits) > 0, F.struct(F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end"))).alias("hit"),
         F.flatten(F.transform(true_hits, lambda e: e.getField("items"))).alias("items"),
     )
-    grouped = kept.groupBy(doc, "text_hash").agg(
+    grouped = kept.groupBy("__pl_id", "text_hash").agg(
         F.max("n_words").alias("n_words"), F.count("row").alias("rows"), F.array_sort(F.collect_set("hit")).alias("hits"),
         F.collect_set(F.when(F.size("items") > 0, F.col("items"))).alias("item_sets"),
     )
     one = grouped.select(
-        doc, "text_hash", F.col("n_words").cast("bigint").alias("n_words"), _merged(F.col("hits")).alias("spans"),
+        "__pl_id", "text_hash", F.col("n_words").cast("bigint").alias("n_words"), _merged(F.col("hits")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten("item_sets"))).alias("items"), "rows",
     )
-    return one.select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_copy")).drop("rows", "_copy")
+    copies = one.select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("__pl_copy"))
+    return copies.select(F.col("__pl_id").alias(doc), "text_hash", "n_words", "spans", "items")
 
 
 def _merged(hits: Column) -> Column:
@@ -112,30 +113,30 @@ def covered(spans: Column) -> Column:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents without any hit, with all their columns."""
     found = contamination(docs, benchmark, doc, text, **how).filter(F.size("spans") > 0)
-    bad = found.select(F.col(doc).alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    here = docs.withColumn("_text_hash", F.xxhash64(F.col(text)))
-    return here.join(bad, here[doc].eqNullSafe(bad["_doc"]) & (here["_text_hash"] == bad["_hash"]), "left_anti").drop("_text_hash")
+    bad = found.select(F.col(doc).alias("__pl_doc"), F.col("text_hash").alias("__pl_hash")).distinct()
+    here = docs.withColumn("__pl_text_hash", F.xxhash64(F.col(text)))
+    return here.join(bad, here[doc].eqNullSafe(bad["__pl_doc"]) & (here["__pl_text_hash"] == bad["__pl_hash"]), "left_anti").drop("__pl_text_hash")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", mark: str = " ", **how) -> DataFrame:
     """The documents with every hit word range, and what lies between its words, replaced by ``mark``."""
     found = contamination(docs, benchmark, doc, text, **how).filter(F.size("spans") > 0)
-    bad = found.select(F.col(doc).alias("_doc"), F.col("text_hash").alias("_hash"), "spans").distinct()
-    here = docs.withColumn("_text_hash", F.xxhash64(F.col(text)))
-    joined = here.join(bad, here[doc].eqNullSafe(bad["_doc"]) & (here["_text_hash"] == bad["_hash"]), "left")
+    bad = found.select(F.col(doc).alias("__pl_doc"), F.col("text_hash").alias("__pl_hash"), F.col("spans").alias("__pl_spans")).distinct()
+    here = docs.withColumn("__pl_text_hash", F.xxhash64(F.col(text)))
+    joined = here.join(bad, here[doc].eqNullSafe(bad["__pl_doc"]) & (here["__pl_text_hash"] == bad["__pl_hash"]), "left")
     words = F.regexp_extract_all(F.col(text), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
     gaps = F.split(F.col(text), "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", -1)
     edges = F.concat(
-        F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col("spans"),
-        F.array(F.struct(F.size("_w").alias("start"), F.size("_w").alias("end"))),
+        F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col("__pl_spans"),
+        F.array(F.struct(F.size("__pl_w").alias("start"), F.size("__pl_w").alias("end"))),
     )
 
     def kept(k: Column) -> Column:
-        a, b = F.get(F.col("_e"), k).getField("end"), F.get(F.col("_e"), k + 1).getField("start")
-        pairs = F.transform(F.slice("_w", a + 1, b - a), lambda x, j: F.concat(x, F.get(F.col("_g"), a + j + 1)))
-        return F.concat(F.get(F.col("_g"), a), F.array_join(pairs, ""))
-
-    ready = joined.withColumn("_w", F.when(F.col("spans").isNotNull(), words)).withColumn("_g", F.when(F.col("spans").isNotNull(), gaps))
-    ready = ready.withColumn("_e", F.when(F.col("spans").isNotNull(), edges))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("spans")), kept)
-    return ready.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(F.array_join(pieces, mark))).select(*docs.columns)
+        a, b = F.get(F.col("__pl_e"), k).getField("end"), F.get(F.col("__pl_e"), k + 1).getField("start")
+        pairs = F.transform(F.slice("__pl_w", a + 1, b - a), lambda x, j: F.concat(x, F.get(F.col("__pl_g"), a + j + 1)))
+        return F.concat(F.get(F.col("__pl_g"), a), F.array_join(pairs, ""))
+
+    ready = joined.withColumn("__pl_w", F.when(F.col("__pl_spans").isNotNull(), words)).withColumn("__pl_g", F.when(F.col("__pl_spans").isNotNull(), gaps))
+    ready = ready.withColumn("__pl_e", F.when(F.col("__pl_spans").isNotNull(), edges))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("__pl_spans")), kept)
+    return ready.withColumn(text, F.when(F.col("__pl_spans").isNull(), F.col(text)).otherwise(F.array_join(pieces, mark))).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontam, urlrules
+from paperloom.llm import chat, decontam, secrets, urlrules
 from paperloom.llm.registry import llm_query
 from paperloom.sources.readers import table
 
@@ -135,3 +135,62 @@ def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+def _sql_spans(kind: str) -> str:
+    p = secrets.PATTERNS[kind].replace("'", "''")
+    kept = {
+        "assign": f"length(regexp_extract(m, '{secrets.VALUE}$', 1)) >= {secrets.MIN_VALUE}",
+        "weak_secret": "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')",
+    }.get(kind, "true")
+    return f"""
+  select r, {secrets.KINDS.index(kind)} as k, start_at as s, start_at + length(m) as e from (
+    select r, ms[i] as m,
+           (list_sum(list_transform(ps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0))::bigint as start_at
+    from (select *, unnest(range(1, len(ms) + 1)) as i
+          from (select r, regexp_extract_all(text, '{p}') as ms, string_split_regex(text, '{p}') as ps from d))
+  ) where {kept}"""
+
+
+_NAMES = "['" + "', '".join(secrets.KINDS) + "']"
+OP7_SQL = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+base as ({' union all '.join(_sql_spans(k) for k in secrets.STRONG)}),
+weak as (
+  select * from ({' union all '.join(_sql_spans(k) for k in secrets.WEAK)}) w
+  where not exists (select 1 from base b where b.r = w.r and b.s < w.e and w.s < b.e)
+), parts as (select *, case when k in (1, 3) then 'id' when k = 5 then 'at' else 'key' end as role from (select * from base union all select * from weak)),
+linked as (
+  select r, k, s, e from (
+    select w.r, w.k, w.s, w.e, bool_or(p.role = 'id') as has_id, bool_or(p.role = 'key') as has_key
+    from weak w join parts p on p.r = w.r and p.s - {secrets.SCOPE} <= w.e and w.s <= p.e + {secrets.SCOPE}
+    group by all
+  ) where case k when 3 then has_key when 4 then has_id else has_id and has_key end
+),
+b as (
+  select r, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+         string_agg({_NAMES}[k + 1] || ':' || s || ':' || e, ',' order by s, k) as base
+  from base group by r
+), a as (
+  select r, string_agg({_NAMES}[k + 1] || ':' || s || ':' || e, ',' order by s, k) as spans
+  from (select r, k, s, e from base union all select r, k, s, e from linked) group by r
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join b using (r) left join a using (r)
+"""
+
+
+@llm_query("op7_secret_scans", OP7_SQL)
+def op7_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """The secrets in every document."""
+    found = secrets.scan(table(spark, sf, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        k = secrets.KINDS.index(kind)
+        return F.size(F.filter("base_spans", lambda s: s.getField("k") == k)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in secrets.STRONG], F.sha2(secrets.written(F.col("base_spans")), 256).alias("base_sha256"),
+        secrets.written(F.col("all_spans")).alias("spans"),
+    )

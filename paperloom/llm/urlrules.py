@@ -115,7 +115,7 @@ def judge_urls(
         )
         top = F.array_max(ranked)
         best = F.array_max(F.array(best, top)) if i else top
-    out = out.withColumn("_best", best)
+    out = out.withColumn("__pl_best", best)
     return out.withColumns(
-        {"rule": F.col("_best.name"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}
-    ).drop("_best")
+        {"rule": F.col("__pl_best.name"), "verdict": F.coalesce(F.col("__pl_best.verdict"), F.lit(default))}
+    ).drop("__pl_best")
