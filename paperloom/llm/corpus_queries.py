@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chosenpath
+from paperloom.llm import bpe, chosenpath
 from paperloom.llm.registry import llm_query
 from paperloom.sources.readers import table
 
@@ -15,3 +16,16 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its class of near copies and its number of links."""
     classes = chosenpath.similarity_classes(table(spark, sf, "documents").select("doc_id", "text"))
     return classes.select("doc_id", F.col("keep_doc").alias("class_id"), "n_links")
+
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@llm_query("op9_bpe_round_trip")
+def op9_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), RANKS)
+    return bpe.decode(encoded, RANKS).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
