@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, chosenpath
+from paperloom.llm import bpe, chosenpath, fingerprints
 from paperloom.llm.registry import llm_query
 from paperloom.sources.readers import table
 
@@ -29,3 +29,9 @@ def op9_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@llm_query("op6_document_fingerprints")
+def op6_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's fingerprint next to those of its edited text and of the next document."""
+    return fingerprints.edit_report(table(spark, sf, "documents").select("doc_id", "text"))
