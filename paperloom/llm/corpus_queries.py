@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, chosenpath, fingerprints
+from paperloom.llm import bpe, chosenpath, fingerprints, quality, toxicity
 from paperloom.llm.registry import llm_query
 from paperloom.sources.readers import table
 
@@ -35,3 +35,17 @@ def op9_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def op6_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's fingerprint next to those of its edited text and of the next document."""
     return fingerprints.edit_report(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@llm_query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected severity of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return toxicity.grade(docs, toxicity.train(docs, table(spark, sf, "labels").select("doc_id", "toxic")))
+
+
+@llm_query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, table(spark, sf, "labels").select("doc_id", "quality")))

@@ -9,8 +9,9 @@ import numpy as np
 from paperloom.llm import textbatch as tb
 
 _U = np.uint64
-BITS = 17
+BITS = 19
 DIMS = 1 << BITS
+BEGINNINGS = (4, 5, 6)
 
 # Classes of bytes: 0 blank or control, 1 word (letter, digit, non-ASCII), 2 punctuation.
 _CLASS = np.full(256, 2, dtype=np.uint8)
@@ -24,9 +25,11 @@ _DIGIT = np.zeros(256, dtype=np.int64)
 _DIGIT[48:58] = 1
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(data: np.ndarray, offsets: np.ndarray, beginnings: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """(row, class, hash of the lower-cased bytes, shape) of every run of word or punctuation bytes.
 
+    For each length in ``beginnings`` follows the hash of the first bytes of the run, or 0 where it is not longer.
+
     The shape tells a lower-case word from one that begins with, or consists of, capitals, and words with digits.
     Works through pieces that end between runs, so a long text needs bounded memory beyond its result.
     """
@@ -55,13 +58,19 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         digits = np.append(0, np.cumsum(_DIGIT[piece]))
         upper = capitals[ends] - capitals[at]
         shape = (upper > 0) + 2 * ((upper == size) & (size > 1)) + 4 * (digits[ends] > digits[at]) + 8 * np.minimum(size // 4, 4)
-        found.append((at + start, kind[at], h, shape))
+        heads = []
+        for k in beginnings:
+            longer = size > k
+            head = np.zeros(len(at), dtype=np.uint64)
+            head[longer] = tb.mix((sums[at[longer] + k] - sums[at[longer]]) * tb._power("down", len(piece))[at[longer]] + _U(k))
+            heads.append(head)
+        found.append((at + start, kind[at], h, shape, *heads))
         start = stop
     if not found:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, np.zeros(0, dtype=np.uint64), none
-    at, kind, h, shape = (np.concatenate(c) for c in zip(*found))
-    return np.searchsorted(offsets, at, side="right") - 1, kind, h, shape
+        return none, none, np.zeros(0, dtype=np.uint64), none, *[np.zeros(0, dtype=np.uint64) for _ in beginnings]
+    at, *rest = (np.concatenate(c) for c in zip(*found))
+    return np.searchsorted(offsets, at, side="right") - 1, *rest
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -84,10 +93,14 @@ def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature): single words."""
-    row, kind, h, _ = runs(data, offsets)
+    """Distinct (row, feature): words and their beginnings of four to six bytes, so inflected forms share features."""
+    row, kind, h, _, *heads = runs(data, offsets, BEGINNINGS)
     word = kind == 1
-    return _distinct([(row[word], _bucket(h[word]))])
+    parts = [(row[word], _bucket(h[word]))]
+    for head in heads:
+        on = word & (head != 0)
+        parts.append((row[on], _bucket(head[on])))
+    return _distinct(parts)
 
 
 def style_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
