@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, chosenpath, fingerprints, quality, toxicity
+from paperloom.llm import bpe, chosenpath, fingerprints, langid, quality, toxicity
 from paperloom.llm.registry import llm_query
 from paperloom.sources.readers import table
 
@@ -49,3 +49,10 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Quality score of every document."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return quality.score(docs, quality.train(docs, table(spark, sf, "labels").select("doc_id", "quality")))
+
+
+@llm_query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs, langid.train(docs))
