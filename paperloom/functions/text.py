@@ -110,16 +110,19 @@ def clean_markdown(c: Column, max_chars: int | None = None) -> Column:
     return strip(c)
 
 
-def markdown_title(c: Column, max_lines: int = 20) -> Column:
-    """Text of the first ``# `` line among the first lines."""
-    lines = F.transform(F.slice(F.split(c, "\n", max_lines + 1), 1, max_lines), strip)
+def markdown_title(c: Column, max_lines: int | None = None) -> Column:
+    """Text of the first ``# `` line; with ``max_lines``, of one among the first lines."""
+    lines = F.split(c, "\n", -1) if max_lines is None else F.slice(F.split(c, "\n", max_lines + 1), 1, max_lines)
+    lines = F.transform(lines, strip)
     hit = F.filter(lines, lambda x: x.startswith("# "))
     return F.coalesce(strip(F.substr(F.get(hit, F.lit(0)), F.lit(3))), F.lit("Unknown Title"))
 
 
 def paper_id(c: Column, max_chars: int = 100) -> Column:
-    c = F.regexp_replace(c, r"[^\p{L}\p{N}_\s-]", "")
-    return F.left(F.regexp_replace(c, r"\s+", "_"), F.lit(max_chars))
+    """An identifier of at most ``max_chars`` characters; a longer one is cut and ends in a hash of the whole text."""
+    whole = F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}_\s-]", ""), r"\s+", "_")
+    cut = F.concat(F.left(whole, F.lit(max_chars - 9)), F.lit("_"), F.substring(F.md5(c), 1, 8))
+    return F.when(F.length(whole) > max_chars, cut).otherwise(whole)
 
 
 def content_hash(c: Column, length: int = 32) -> Column:

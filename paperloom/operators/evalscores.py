@@ -15,8 +15,8 @@ from paperloom.functions.text import strip
 
 RUN = ["model", "mode"]
 SHEET = ["model", "mode", "question_id"]
-ANSWER_METRICS = ["answer_correctness", "answer_similarity", "answer_relevancy", "faithfulness"]
-RETRIEVAL_METRICS = ["context_recall", "context_precision"]
+ANSWER_METRICS = ["answer_relevancy", "answer_correctness", "answer_similarity"]
+RETRIEVAL_METRICS = ["faithfulness", "context_precision", "context_recall"]
 
 
 def has_error() -> Column:
@@ -35,26 +35,29 @@ def row_mean(columns: list[str]) -> Column:
     return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept))
 
 
-def first_relevant(contexts: DataFrame, relevant: Column, group_size: int = 5, max_groups: int = 10) -> DataFrame:
+def first_relevant(contexts: DataFrame, relevant: Column, within: int | None = None) -> DataFrame:
     """Position of the first relevant context, n + 1 without one, NULL where all contexts are blank.
 
-    Contexts are judged in groups of five and at most ten groups, so later ones cannot be found.
+    ``within`` is how many valid contexts a judge looks at; by default all.
     """
     valid = strip(F.col("content")) != ""
     nth = F.sum(valid.cast("int")).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     seen = contexts.withColumns({"_valid": valid, "_nth": nth, "_rel": relevant})
-    hit = F.min(F.when(F.col("_valid") & F.col("_rel") & (F.col("_nth") <= group_size * max_groups), F.col("rank")))
+    hit = F.min(F.when(F.col("_valid") & F.col("_rel") & (F.lit(True) if within is None else F.col("_nth") <= within), F.col("rank")))
     none = F.when(F.count_if("_valid") > 0, F.count("*") + 1)
     return seen.groupBy("query_id").agg(F.coalesce(hit, none).cast("int").alias("context_precision"))
 
 
-def judged_contexts(contexts: DataFrame, max_contexts: int = 5, max_chars: int = 3000) -> DataFrame:
-    """The text a judge sees: the first valid contexts joined, cut at the judge's input limit."""
+def judged_contexts(contexts: DataFrame, max_contexts: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """The text a judge sees: the valid contexts joined; a judge with an input limit names how many and how long."""
     valid = contexts.filter(strip(F.col("content")) != "")
     w = Window.partitionBy("query_id").orderBy("rank")
-    first = valid.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_contexts)
+    first = valid.withColumn("_r", F.row_number().over(w))
+    first = first if max_contexts is None else first.filter(F.col("_r") <= max_contexts)
     joined = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", "content"))).alias("_c"))
     text = F.array_join(F.transform("_c", lambda x: x["content"]), "\n---\n")
+    if max_chars is None:
+        return joined.select("query_id", text.alias("judge_text"))
     return joined.select("query_id", text.alias("_t")).select(
         "query_id", F.when(F.length("_t") > max_chars, F.concat(F.left("_t", F.lit(max_chars)), F.lit("...[truncated]"))).otherwise(F.col("_t")).alias("judge_text")
     )
@@ -121,8 +124,9 @@ def mode_comparison(runs: DataFrame) -> DataFrame:
 
 
 def metric_by_mode(runs: DataFrame, metric: str) -> DataFrame:
-    """One metric with a column per mode."""
-    return runs.groupBy("model").pivot("mode", v.MODES).agg(F.bround(F.avg(metric), 6))
+    """One metric with a column per mode, over rows without errors."""
+    ok = ~has_error() if "error" in runs.columns else F.lit(True)
+    return runs.groupBy("model").pivot("mode", v.MODES).agg(F.bround(F.avg(F.when(ok, no_nan(F.col(metric)))), 9))
 
 
 def missing_metrics(runs: DataFrame, metrics: list[str] = v.METRICS) -> DataFrame:

@@ -92,13 +92,15 @@ def relevant(
     return contexts.filter(ok)
 
 
-def prefix_key(content: Column, chars: int = 200) -> Column:
-    return strip(F.left(content, F.lit(chars)))
+def prefix_key(content: Column, chars: int | None) -> Column:
+    return strip(content if chars is None else F.left(content, F.lit(chars)))
 
 
-def drop_near_copies(contexts: DataFrame, keys: list[str], order: list, chars: int = 200) -> DataFrame:
+def drop_near_copies(contexts: DataFrame, keys: list[str], order: list, chars: int | None = 200) -> DataFrame:
     """The first of all contexts whose first 200 characters agree; contexts without text fall out.
 
+    Contexts are retrieved passages.  For whole documents use ``chars=None``: only equal texts are copies then.
+
     The key is a 16-byte hash, and every task trims each key to one row before the shuffle, so text that a third of all
     rows share moves one row per task.
     """

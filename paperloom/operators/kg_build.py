@@ -7,10 +7,8 @@ one huge row or one task's list: every table is built by plain aggregates that c
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paperloom import vocab as v
 from paperloom.functions import names as nm
@@ -27,13 +25,17 @@ def extraction_requests(passages: DataFrame, template: str, content: str = "cont
     return passages.filter(fit).withColumn("prompt", F.replace(F.lit(template), F.lit("{text}"), text))
 
 
-def entity_prompt_line(name: Column, entity_type: Column, properties: Column, description: Column) -> Column:
-    """One line of an entity list; ``properties`` is an array of ``key: value`` strings."""
+def entity_prompt_line(name: Column, entity_type: Column, properties: Column, description: Column, description_chars: int | None = None) -> Column:
+    """One line of an entity list; ``properties`` is an array of ``key: value`` strings.
+
+    ``description_chars`` shortens descriptions where a prompt has to stay small.
+    """
+    shown = description if description_chars is None else F.left(description, F.lit(description_chars))
     has_description = F.coalesce(description, F.lit("")) != ""
     return F.concat(
         F.lit("- **"), name, F.lit("** ("), entity_type, F.lit(")"),
         F.when(F.size(properties) > 0, F.concat(F.lit(" ["), F.array_join(properties, ", "), F.lit("]"))).otherwise(""),
-        F.when(has_description, F.concat(F.lit("\n  Description: "), F.left(description, F.lit(100)))).otherwise(""),
+        F.when(has_description, F.concat(F.lit("\n  Description: "), shown)).otherwise(""),
     )
 
 
@@ -48,42 +50,25 @@ def response_json(c: Column) -> Column:
     return F.when(plain, None).when(c.rlike(r"(?s)```json.*```"), fenced).when(bare.rlike(r"^[\[{]"), bare)
 
 
-def _structural_braces(text: str | None) -> str | None:
+# A string literal, even one that is never closed, or an escaped character outside of one.
+_LITERAL = r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+"?|\\.)'
+
+
+def single_braces(c: Column) -> Column:
     """Halve doubled braces outside strings, if the text doubles its opening braces.
 
     Well-formed JSON never has ``{{`` outside a string, while ``}}`` simply closes two objects.
     """
-    if text is None or "{{" not in text:
-        return text
-    out, quoted, opened, i = [], False, False, 0
-    while i < len(text):
-        ch = text[i]
-        if ch == "\\":
-            out.append(text[i : i + 2])
-            i += 2
-            continue
-        if ch == '"':
-            quoted = not quoted
-        double = not quoted and ch in "{}" and text[i : i + 2] == ch * 2
-        opened = opened or (double and ch == "{")
-        out.append(ch)
-        i += 2 if double else 1
-    return "".join(out) if opened else text
-
-
-@F.pandas_udf(T.StringType())
-def structural_braces(texts: pd.Series) -> pd.Series:
-    return texts.map(_structural_braces)
+    doubled = F.regexp_replace(c, _LITERAL, "").contains("{{")
+    return F.when(c.contains("{{") & doubled, F.regexp_replace(c, _LITERAL + r"|(\{)\{|(\})\}", "$1$2$3")).otherwise(c)
 
 
 def repair_json(c: Column) -> Column:
     """Make a model's JSON parseable: control characters, doubled braces, stray escapes and trailing commas.
 
-    Only rows that hold doubled braces pass through Python.
     """
     c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
-    doubled = c.contains("{{")
-    c = F.when(doubled, structural_braces(F.when(doubled, c))).otherwise(c)
+    c = single_braces(c)
     # an odd run of three or more backslashes loses one, then a backslash before no escape letter is doubled
     c = F.regexp_replace(c, r"(?<!\\)\\((?:\\\\)+)(?!\\)", "$1")
     c = F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\(?![\"\\/bfnrt]|u[0-9a-fA-F]{4})", "$1" + "\\" * 4)
@@ -101,7 +86,9 @@ ENTITY_SCHEMA = (
 
 def parse_responses(df: DataFrame, response: str = "response") -> DataFrame:
     """Answers as structs: ``parsed`` is NULL for plain explanations and for text that stays unreadable."""
-    return df.withColumn("parsed", F.from_json(repair_json(response_json(F.col(response))), ENTITY_SCHEMA))
+    read = F.from_json(repair_json(response_json(F.col(response))), ENTITY_SCHEMA)
+    some = F.col("parsed.entities").isNotNull() | F.col("parsed.relations").isNotNull()
+    return df.withColumn("parsed", read).withColumn("parsed", F.when(some, F.col("parsed")))
 
 
 def _present(c: Column) -> Column:
@@ -109,7 +96,10 @@ def _present(c: Column) -> Column:
 
 
 def valid_entities(parsed: DataFrame, passage: str = "passage_id") -> DataFrame:
-    """One row per acceptable entity: named, typed, traced to a snippet and confident enough."""
+    """One row per acceptable entity: named, typed, traced to a snippet and confident enough.
+
+    Its properties and the whole trace (snippet, context, figure or table, section) come along.
+    """
     e = parsed.select(passage, F.posexplode_outer("parsed.entities").alias("pos", "e")).filter(F.col("pos").isNotNull())
     snippet = F.col("e.source_traceability.text_snippet")
     confidence = F.coalesce(F.col("e.confidence"), F.lit(v.DEFAULT_CONFIDENCE))
@@ -121,8 +111,8 @@ def valid_entities(parsed: DataFrame, passage: str = "passage_id") -> DataFrame:
     name, kind = strip(F.col("e.name")), nm.type_from_label(F.col("e.type"))
     return e.filter(ok).select(
         passage, "pos", name.alias("name"), kind.alias("type"), nm.entity_id(name, kind).alias("entity_id"),
-        F.col("e.description").alias("description"), F.left(snippet, F.lit(v.MAX_SNIPPET_CHARS)).alias("text_snippet"),
-        confidence.alias("confidence"),
+        F.col("e.description").alias("description"), F.col("e.properties").alias("properties"), snippet.alias("text_snippet"),
+        *[F.col(f"e.source_traceability.{c}").alias(c) for c in ("context", "figure_table_ref", "section_hint")], confidence.alias("confidence"),
     )
 
 
@@ -138,7 +128,8 @@ def valid_relations(parsed: DataFrame, entities: DataFrame, passage: str = "pass
     rows = r.filter(ok).select(
         passage, "pos", strip(F.col("r.source_entity")).alias("source_name"), strip(F.col("r.target_entity")).alias("target_name"),
         nm.relation_type(F.col("r.relation_type")).alias("type"), confidence.alias("confidence"),
-        trace["evidence_strength"].alias("evidence_strength"),
+        F.col("r.description").alias("description"), F.col("r.properties").alias("properties"),
+        *[trace[c].alias(c) for c in ("text_snippet", "context", "figure_table_ref", "evidence_strength")],
     )
     # within a passage the last entity of a name counts
     known = entities.groupBy(passage, "name").agg(F.max_by("entity_id", "pos").alias("id"))
@@ -148,9 +139,13 @@ def valid_relations(parsed: DataFrame, entities: DataFrame, passage: str = "pass
 
 
 def extraction_stats(parsed: DataFrame, entities: DataFrame, relations: DataFrame, response: str = "response") -> DataFrame:
-    """Totals, traced shares and failures as one row."""
+    """Totals, traced shares and failures as one row.
+
+    ``extraction_failures`` are answers that stay unreadable, ``failed_calls`` rows for which the model gave none.
+    """
+    failed = F.col(f"{response}_error").isNotNull() if f"{response}_error" in parsed.columns else F.col(response).isNull()
     p = parsed.agg(
-        F.count("*").alias("responses"),
+        F.count("*").alias("responses"), F.count_if(failed).alias("failed_calls"),
         F.count_if(F.col("parsed").isNull() & response_json(F.col(response)).isNotNull()).alias("extraction_failures"),
     )
     e = entities.agg(

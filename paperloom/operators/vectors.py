@@ -12,6 +12,8 @@ Every task emits at most k rows per query it saw; only those reach the ranking w
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 
 from paperloom.functions.questions import tokens
 from paperloom.functions.text import content_hash, strip
+from paperloom.operators.hooks import map_batches
 from paperloom.session import one_row
 
 QUERY_BYTES = 64 << 20
@@ -41,29 +44,26 @@ def embedding_input(df: DataFrame, text: str = "text", min_chars: int = 20) -> D
     return df.withColumn(text, clean).filter(F.length(text) >= min_chars)
 
 
-def embed(df: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]], text: str, out: str = "embedding", batch: int = 2000) -> DataFrame:
-    """Add a vector column by calling a model once per batch inside the tasks."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), batch):
-                part = pdf.iloc[start : start + batch]
-                yield part.assign(**{out: [list(map(float, x)) for x in embed_fn(part[text].tolist())]})
+def embed(
+    df: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]], text: str, out: str = "embedding", batch: int = 2000, tries: int = 3, wait: float = 1.0
+) -> DataFrame:
+    """Add a vector column, and ``<out>_error``, by calling a model once per batch inside the tasks."""
+    def floats(texts: list[str]) -> list[list[float]]:
+        return [list(map(float, x)) for x in embed_fn(texts)]
 
-    return df.mapInPandas(run, schema)
+    return map_batches(df, T.StructField(out, T.ArrayType(T.FloatType())), floats, lambda p: p[text].tolist(), batch, tries, wait)
 
 
 def embed_once(df: DataFrame, embed_fn, text: str = "text", out: str = "embedding") -> DataFrame:
-    """Call the model for every distinct content only and hand the vector to all copies.
+    """Call the model for every distinct content only and hand the vector to all copies; NULL texts keep a NULL vector.
 
     Content with very many copies makes a skewed join key on the left; the right side has one row per key, so adaptive
     skew handling splits the left partition and repeats that row.
     """
     keyed = df.withColumn("content_hash", content_hash(F.col(text)))
-    unique = keyed.groupBy("content_hash").agg(F.any_value(text).alias(text))
-    vectors = embed(unique, embed_fn, text, out).select("content_hash", out)
-    return keyed.join(vectors, "content_hash")
+    unique = keyed.filter(F.col(text).isNotNull()).groupBy("content_hash").agg(F.any_value(text).alias(text))
+    vectors = embed(unique, embed_fn, text, out).select("content_hash", out, f"{out}_error")
+    return keyed.join(vectors, "content_hash", "left")
 
 
 def hashed_embedding(df: DataFrame, text: str = "text", dims: int = 256, out: str = "embedding") -> DataFrame:
@@ -200,10 +200,15 @@ def top_k(
 ) -> DataFrame:
     """Exact k nearest vectors of every query: (query id, vector id, similarity to six decimals, rank).
 
-    ``min_similarity`` is applied after the ranking and is off unless asked for.
+    ``min_similarity`` is applied after the ranking and is off unless asked for.  Rows whose vector is NULL, empty or of
+    another length than the queries' have no neighbours and are no neighbours.
     """
+    queries = queries.filter(F.size(embedding) > 0)
     n, d = queries.agg(F.count("*"), F.coalesce(F.max(F.size(embedding)), F.lit(1))).first()
+    queries, corpus = queries.filter(F.size(embedding) == d), corpus.filter(F.size(embedding) == d)
     schema = _schema(queries, corpus, query_id, vector_id)
+    if n == 0:
+        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
     if n * d * 8 <= query_bytes:
         local = _scan(queries, corpus, k, query_id, vector_id, embedding, schema)
     else:
@@ -323,8 +328,15 @@ def to_rebuild(current: DataFrame, stored: DataFrame, key: str, fingerprint: str
     return current.join(stored.select(key, fingerprint), [key, fingerprint], "left_anti")
 
 
-def build_metadata(documents: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
-    """One row with document, passage and vector counts and the corpus fingerprint."""
-    d = corpus_fingerprint(documents, ["doc_id", "n_chars"])
+def config_fingerprint(config: dict) -> str:
+    """A fingerprint of the settings that a build depends on."""
+    return hashlib.md5(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def build_metadata(documents: DataFrame, passages: DataFrame, text: str = "text", config: dict | None = None, seconds: float | None = None) -> DataFrame:
+    """One row with document and passage counts, the fingerprints of contents and settings, and the time it took."""
+    content = documents.select("doc_id", F.md5(text).alias("content_md5"))
+    d = corpus_fingerprint(content, ["doc_id", "content_md5"])
+    d = d.withColumn("config_fingerprint", F.lit(config_fingerprint(config or {}))).withColumn("build_seconds", F.lit(seconds).cast("double"))
     p = passages.agg(F.count("*").alias("passages"), F.count_distinct("doc_id").alias("documents_with_passages"))
     return one_row(d, p)

@@ -127,10 +127,10 @@ def _(spark, sf):
     return fusion.drop_near_copies(inputs.contexts(spark, sf), ["query_id"], ["rank"]).select("query_id", "doc_id", "rank")
 
 
-@query("i8_corpus_near_copies", f"SELECT doc_id, source FROM documents WHERE {strip('left(text, 200)')} <> '' QUALIFY row_number() OVER (PARTITION BY {strip('left(text, 200)')} ORDER BY doc_id) = 1")
+@query("i8_corpus_near_copies", f"SELECT doc_id, source FROM documents WHERE {strip('text')} <> '' QUALIFY row_number() OVER (PARTITION BY {strip('text')} ORDER BY doc_id) = 1")
 def _(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", F.col("text").alias("content"))
-    return fusion.drop_near_copies(d, [], ["doc_id"]).select("doc_id", "source")
+    return fusion.drop_near_copies(d, [], ["doc_id"], chars=None).select("doc_id", "source")
 
 
 _MERGED = """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY web, r) AS final_rank FROM (SELECT *, least(count(*) FILTER (WHERE web) OVER (PARTITION BY query_id), 2) AS slots FROM

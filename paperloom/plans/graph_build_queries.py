@@ -54,16 +54,23 @@ def _(spark, sf):
 def _(spark, sf):
     d = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("size "), F.col("p_size").cast("string")))
     props = F.array(F.concat(F.lit("brand: "), F.col("p_brand")))
-    return table(spark, sf, "part").select("p_partkey", kg_build.entity_prompt_line(F.col("p_name"), F.col("p_type"), props, d).alias("line"))
+    return table(spark, sf, "part").select("p_partkey", kg_build.entity_prompt_line(F.col("p_name"), F.col("p_type"), props, d, description_chars=100).alias("line"))
+
+
+# Signs that the repair of broken answers treats specially; quotes in answers leave them out.
+SIGNS = r"[\[\]{}\\,]"
 
 
 def responses(spark, sf):
-    """One model answer per document: fenced, with doubled braces, with faults, or a plain refusal."""
+    """One model answer per document, quoting its first line: fenced, with doubled braces, with faults, a plain refusal,
+    broken off, or none because the call failed."""
     k = F.col("doc_id") % 6
+    quote = F.regexp_replace(F.get(F.split("text", "\n"), F.lit(0)), SIGNS, "")
     mat = F.concat(F.lit("MAPbI3 "), F.when(k == 5, "\\mu ").otherwise(""), F.col("lang"))
     trace = '"source_traceability": {"text_snippet": "%s"}'
     lit, cat = F.lit, F.concat
-    e1 = cat(lit('{"name": "'), mat, lit('", "type": "MATERIAL", "properties": {"lang": "x"}, "confidence": 0.9, ' + trace % "s1" + "}"))
+    place = F.to_json(F.struct(quote.alias("text_snippet"), F.col("source").alias("context"), F.concat(lit("Table "), k).alias("figure_table_ref"), lit("results").alias("section_hint")))
+    e1 = cat(lit('{"name": "'), mat, lit('", "type": "MATERIAL", "properties": {"lang": "'), "lang", lit('"}, "confidence": 0.9, "source_traceability": '), place, lit("}"))
     e2 = cat(lit('{"name": "PCE", "type": "Metric", "description": "eff", "confidence": '), F.when(k == 3, "0.5").otherwise("0.9"), lit(", " + trace % "s2" + "}"))
     e3 = lit('{"name": "Random Forest", "type": "ML_Algorithm", "confidence": 0.95, ' + trace % "s3" + "}")
     e4 = cat(lit('{"name": " Spin Coating ", "type": "process", "source_traceability": {"text_snippet": "'), F.when(k == 2, "").otherwise("s4"), lit('"}}'))
@@ -76,21 +83,25 @@ def responses(spark, sf):
     body = cat(lit('{"entities": ['), F.concat_ws(", ", e1, e2, e3, e4), lit(', ], "relations": ['), F.concat_ws(", ", *rels), lit(",]}"))
     doubled = F.replace(F.replace(body, lit("{"), lit("{{")), lit("}"), lit("}}"))
     text = (
-        F.when(k == 0, cat(lit("Here it is:\n```json\n"), body, lit("\n```")))
+        F.when(F.col("doc_id") % 30 == 7, F.lit('{"entities": [{"name'))
+        .when(F.col("doc_id") % 30 == 13, None)
+        .when(k == 0, cat(lit("Here it is:\n```json\n"), body, lit("\n```")))
         .when(k == 1, doubled).when(k == 4, "There are no entities in this text.").otherwise(body)
     )
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), text.alias("response"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), text.alias("response"), F.when(F.col("doc_id") % 30 == 13, "TimeoutError: no answer").alias("response_error"))
 
 
 def _parsed(spark, sf):
     return kg_build.parse_responses(responses(spark, sf))
 
 
+_SAID = "doc_id % 30 NOT IN (7, 13) AND doc_id % 6 <> 4"
+_QUOTE = rf"regexp_replace(split_part(text, chr(10), 1), '{SIGNS}', '', 'g')"
 _MAT = "'MAPbI3 ' || CASE WHEN doc_id % 6 = 5 THEN '\\mu ' ELSE '' END || lang"
 _ENTITIES = f"""SELECT passage_id, name, type, confidence, {id_sql('name', 'type')} AS entity_id FROM (
-    SELECT doc_id AS passage_id, {_MAT} AS name, 'Material' AS type, CAST(0.9 AS DOUBLE) AS confidence FROM documents WHERE doc_id % 6 <> 4
-    UNION ALL SELECT doc_id, 'PCE', 'Metric', 0.9 FROM documents WHERE doc_id % 6 NOT IN (3, 4)
-    UNION ALL SELECT doc_id, 'Spin Coating', 'Process', 0.8 FROM documents WHERE doc_id % 6 NOT IN (2, 4))"""
+    SELECT doc_id AS passage_id, {_MAT} AS name, 'Material' AS type, CAST(0.9 AS DOUBLE) AS confidence FROM documents WHERE {_SAID}
+    UNION ALL SELECT doc_id, 'PCE', 'Metric', 0.9 FROM documents WHERE {_SAID} AND doc_id % 6 <> 3
+    UNION ALL SELECT doc_id, 'Spin Coating', 'Process', 0.8 FROM documents WHERE {_SAID} AND doc_id % 6 <> 2)"""
 _RELATIONS = f"""SELECT r.passage_id, r.source_name, r.target_name, r.type, a.entity_id AS source_id, b.entity_id AS target_id FROM (
     SELECT doc_id AS passage_id, {_MAT} AS source_name, 'PCE' AS target_name, 'HAS_PROPERTY' AS type FROM documents
     UNION ALL SELECT doc_id, 'Spin Coating', 'PCE', 'IMPROVES' FROM documents
@@ -100,22 +111,33 @@ _RELATIONS = f"""SELECT r.passage_id, r.source_name, r.target_name, r.type, a.en
 
 @query(
     "f2_parse_responses",
-    "SELECT doc_id AS passage_id, CASE WHEN doc_id % 6 <> 4 THEN 4 END AS entities, CASE WHEN doc_id % 6 <> 4 THEN 5 END AS relations FROM documents",
+    f"""SELECT doc_id AS passage_id, CASE WHEN {_SAID} THEN {_MAT} || ',PCE,Random Forest, Spin Coating ' END AS entities,
+    CASE WHEN {_SAID} THEN 'HAS_PROPERTY,improves,PREDICTS,FOO,USES' END AS relations, CASE WHEN {_SAID} THEN md5({_QUOTE}) END AS snippet_md5 FROM documents""",
 )
 def _(spark, sf):
-    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
-    return _parsed(spark, sf).select("passage_id", size("parsed.entities").alias("entities"), size("parsed.relations").alias("relations"))
+    return _parsed(spark, sf).select(
+        "passage_id", F.array_join("parsed.entities.name", ",").alias("entities"), F.array_join("parsed.relations.relation_type", ",").alias("relations"),
+        F.md5(F.get("parsed.entities.source_traceability.text_snippet", F.lit(0))).alias("snippet_md5"),
+    )
 
 
-@query("f4_valid_entities", f"SELECT passage_id, name, type, confidence, entity_id FROM ({_ENTITIES})")
+@query(
+    "f4_valid_entities",
+    f"""SELECT passage_id, name, type, confidence, entity_id, CASE type WHEN 'Material' THEN {_QUOTE} WHEN 'Metric' THEN 's2' ELSE 's4' END AS text_snippet,
+    CASE WHEN type = 'Metric' THEN 'eff' END AS description, CASE WHEN type = 'Material' THEN 'lang=' || lang END AS properties, CASE WHEN type = 'Material' THEN source END AS context,
+    CASE WHEN type = 'Material' THEN 'Table ' || doc_id % 6 END AS figure_table_ref, CASE WHEN type = 'Material' THEN 'results' END AS section_hint
+    FROM ({_ENTITIES}) e JOIN documents ON doc_id = passage_id""",
+)
 def _(spark, sf):
-    return kg_build.valid_entities(_parsed(spark, sf)).select("passage_id", "name", "type", "confidence", "entity_id")
+    e = kg_build.valid_entities(_parsed(spark, sf)).drop("pos")
+    pairs = F.transform(F.map_entries("properties"), lambda p: F.concat_ws("=", p["key"], p["value"]))
+    return e.withColumn("properties", F.array_join(F.array_sort(pairs), ";"))
 
 
-@query("f5_valid_relations", with_inputs(_RELATIONS, ents=_ENTITIES))
+@query("f5_valid_relations", with_inputs(f"SELECT *, 'x' AS text_snippet, 'explicit' AS evidence_strength FROM ({_RELATIONS})", ents=_ENTITIES))
 def _(spark, sf):
     p = _parsed(spark, sf)
-    return kg_build.valid_relations(p, kg_build.valid_entities(p)).select("passage_id", "source_name", "target_name", "type", "source_id", "target_id")
+    return kg_build.valid_relations(p, kg_build.valid_entities(p)).select("passage_id", "source_name", "target_name", "type", "source_id", "target_id", "text_snippet", "evidence_strength")
 
 
 @query(
@@ -415,7 +437,7 @@ def _(spark, sf):
 @query(
     "f22_extraction_stats",
     with_inputs(
-        """SELECT (SELECT count(*) FROM documents) AS responses, 0 AS extraction_failures, (SELECT count(*) FROM ents) AS total_entities, (SELECT count(*) FROM ents) AS entities_with_traceability,
+        """SELECT (SELECT count(*) FROM documents) AS responses, (SELECT count(*) FROM documents WHERE doc_id % 30 = 7) AS extraction_failures, (SELECT count(*) FROM documents WHERE doc_id % 30 = 13) AS failed_calls, (SELECT count(*) FROM ents) AS total_entities, (SELECT count(*) FROM ents) AS entities_with_traceability,
         (SELECT count(*) FROM ents WHERE type = 'Metric') AS metrics_extracted, (SELECT count(*) FROM rels) AS total_relations, 0 AS prediction_relations, 100.0::DOUBLE AS entity_traceability_rate""",
         ents=_ENTITIES, rels=_RELATIONS,
     ),

@@ -63,7 +63,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     relevant = (F.col("doc_id") * 7 + F.col("query_id")) % 9 == 0
-    return ev.first_relevant(inputs.contexts(spark, sf), relevant)
+    return ev.first_relevant(inputs.contexts(spark, sf), relevant, within=50)
 
 
 @query(
@@ -74,7 +74,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return ev.judged_contexts(inputs.contexts(spark, sf)).select("query_id", F.md5("judge_text").alias("judge_md5"))
+    return ev.judged_contexts(inputs.contexts(spark, sf), max_contexts=5, max_chars=3000).select("query_id", F.md5("judge_text").alias("judge_md5"))
 
 
 @query(
@@ -198,7 +198,7 @@ def _(spark, sf):
 @query(
     "l11_mode_comparison",
     with_inputs(
-        f"SELECT model, mode, round({row_mean_sql(ev.ANSWER_METRICS)}, 6) AS answer_mean, round({row_mean_sql(ev.RETRIEVAL_METRICS)}, 6) AS retrieval_mean, round({row_mean_sql(M)}, 6) AS average_score FROM means", means=MEANS,
+        f"SELECT model, mode, round({row_mean_sql(['answer_relevancy', 'answer_correctness', 'answer_similarity'])}, 6) AS answer_mean, round({row_mean_sql(['faithfulness', 'context_precision', 'context_recall'])}, 6) AS retrieval_mean, round({row_mean_sql(M)}, 6) AS average_score FROM means", means=MEANS,
     ),
 )
 def _(spark, sf):
@@ -207,7 +207,7 @@ def _(spark, sf):
 
 @query(
     "l11_metric_by_mode",
-    with_inputs("SELECT model, " + ", ".join(f"round(avg(faithfulness) FILTER (WHERE mode = {s(m)}), 6) AS {m}" for m in v.MODES) + " FROM eval_runs GROUP BY model"),
+    with_inputs("SELECT model, " + ", ".join(f"round(avg(faithfulness) FILTER (WHERE mode = {s(m)} AND coalesce(error, '') = ''), 9) AS {m}" for m in v.MODES) + " FROM eval_runs GROUP BY model"),
 )
 def _(spark, sf):
     return ev.metric_by_mode(inputs.eval_runs(spark, sf), "faithfulness")

@@ -209,7 +209,7 @@ def _(spark, sf):
 @query("a16_passage_index", with_inputs("SELECT doc_id, global_chunk_id, md5(content) AS content_md5 FROM passages"))
 def _(spark, sf):
     path = new_path(spark, "passages")
-    writers.write_passage_index(writers.truncated_passages(passages(inputs.papers(spark, sf))), path)
+    writers.write_passage_index(passages(inputs.papers(spark, sf)), path)
     return spark.read.parquet(path).select("doc_id", "global_chunk_id", F.md5("content").alias("content_md5"))
 
 

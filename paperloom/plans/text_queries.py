@@ -84,9 +84,9 @@ def _(spark, sf):
     return inputs.papers(spark, sf).select("doc_id", tx.markdown_title(F.col("text")).alias("title"))
 
 
-@query("b9_paper_id", rf"SELECT page_id, left(regexp_replace(regexp_replace(url, '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', '_', 'g'), 100) AS paper_id FROM pages")
+@query("b9_paper_id", rf"SELECT page_id, CASE WHEN length(w) > 30 THEN left(w, 21) || '_' || substr(md5(url), 1, 8) ELSE w END AS paper_id FROM (SELECT page_id, url, regexp_replace(regexp_replace(url, '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', '_', 'g') AS w FROM pages)")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.paper_id(F.col("url")).alias("paper_id"))
+    return table(spark, sf, "pages").select("page_id", tx.paper_id(F.col("url"), 30).alias("paper_id"))
 
 
 @query("b10_content_hash", "SELECT doc_id, md5(text) AS full_hash, substr(md5(text), 1, 8) AS short_hash FROM documents")

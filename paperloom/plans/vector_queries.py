@@ -155,7 +155,8 @@ def _(spark, sf):
     return p.select("p_partkey", vectors.entity_text(F.col("p_name"), F.col("p_type"), desc, props).alias("entity_text"))
 
 
-_HASH = "CAST(('0x' || substr(md5(concat_ws(':', doc_id, n_chars)), 1, 12)) AS BIGINT)"
+_HASH = "CAST(('0x' || substr(md5(concat_ws(':', doc_id, md5(text))), 1, 12)) AS BIGINT)"
+BUILD = {"chunk": 800, "overlap": 100, "dimensions": 1536}
 
 
 @query(
@@ -163,7 +164,7 @@ _HASH = "CAST(('0x' || substr(md5(concat_ws(':', doc_id, n_chars)), 1, 12)) AS B
     f"SELECT source, count(*) AS files, CAST(CAST(sum({_HASH}) AS HUGEINT) AS VARCHAR) AS fingerprint FROM documents GROUP BY source",
 )
 def _(spark, sf):
-    return vectors.corpus_fingerprint(table(spark, sf, "documents"), ["doc_id", "n_chars"], ["source"])
+    return vectors.corpus_fingerprint(table(spark, sf, "documents").withColumn("content_md5", F.md5("text")), ["doc_id", "content_md5"], ["source"])
 
 
 @query("e11_to_rebuild", "SELECT doc_id, md5(text) AS fingerprint FROM documents WHERE NOT (doc_id % 5 <> 0 AND lang <> 'en')")
@@ -177,11 +178,11 @@ def _(spark, sf):
 @query(
     "e13_build_metadata",
     with_inputs(
-        f"""SELECT d.*, p.* FROM (SELECT count(*) AS files, CAST(CAST(sum({_HASH}) AS HUGEINT) AS VARCHAR) AS fingerprint FROM documents) d,
+        f"""SELECT d.*, p.* FROM (SELECT count(*) AS files, CAST(CAST(sum({_HASH}) AS HUGEINT) AS VARCHAR) AS fingerprint, md5('{{"chunk": 800, "dimensions": 1536, "overlap": 100}}') AS config_fingerprint, CAST(NULL AS DOUBLE) AS build_seconds FROM documents) d,
         (SELECT count(*) AS passages, count(DISTINCT doc_id) AS documents_with_passages FROM passages) p"""
     ),
 )
 def _(spark, sf):
     from paperloom.operators.chunking import passages
 
-    return vectors.build_metadata(table(spark, sf, "documents"), passages(inputs.papers(spark, sf).select("doc_id", "text")))
+    return vectors.build_metadata(table(spark, sf, "documents"), passages(inputs.papers(spark, sf).select("doc_id", "text")), config=BUILD)

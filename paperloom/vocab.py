@@ -208,7 +208,6 @@ MIN_EXTRACT_CHARS = 30
 MIN_ENTITY_CONFIDENCE = 0.7
 MIN_RELATION_CONFIDENCE = 0.65
 DEFAULT_CONFIDENCE = 0.8
-MAX_SNIPPET_CHARS = 250
 ENTITY_TYPE_LABELS = {
     "MATERIAL": "Material", "DEVICE": "Device", "METRIC": "Metric", "PROCESS": "Process",
     "MEASUREMENT": "Measurement", "PARAMETER": "Parameter", "CONCEPT": "Concept", "AUTHOR": "Author",

@@ -250,3 +250,66 @@ def test_index_stream_takes_only_new_files(spark):
 def test_identifiers_are_stable_literals(spark):
     r = spark.range(1).select(nm.edge_id(F.lit("a"), F.lit("b"), F.lit("USES"), F.lit("s")).alias("e")).first()
     assert r.e == "USES_" + __import__("hashlib").md5(b"a|b|USES|s").hexdigest()[:12]
+
+
+def test_a_failing_row_is_named_and_the_others_are_answered(spark):
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no answer")
+        return ['{"entities": []}' for _ in prompts]
+
+    df = spark.createDataFrame([(i, "bad" if i == 5 else f"p{i}") for i in range(20)], "passage_id long, prompt string").coalesce(1)
+    rows = hooks.ask(df, model, tries=1, wait=0.0).collect()
+    assert [r["passage_id"] for r in rows if r["response"] is None] == [5]
+    assert [r["response_error"] for r in rows if r["response_error"]] == ["RuntimeError: no answer"]
+    parsed = kg_build.parse_responses(hooks.ask(df, model, tries=1, wait=0.0))
+    entities = kg_build.valid_entities(parsed)
+    stats = kg_build.extraction_stats(parsed, entities, kg_build.valid_relations(parsed, entities)).first()
+    assert (stats["responses"], stats["failed_calls"], stats["extraction_failures"]) == (20, 1, 0)
+
+
+def test_rerank_hook(spark):
+    df = spark.createDataFrame([("q", "a b"), ("q", "a")], "query string, content string")
+    rows = hooks.rerank(df, lambda pairs: [float(len(c)) for _, c in pairs]).collect()
+    assert sorted(r["rerank_score"] for r in rows) == [1.0, 3.0]
+
+
+def test_embed_once_keeps_null_texts_and_names_failures(spark):
+    def model(texts):
+        return [[1.0 / (len(t) - 3)] for t in texts]
+
+    df = spark.createDataFrame([(1, None), (2, "ab"), (3, "abc"), (4, "ab")], "id long, text string")
+    rows = {r["id"]: r for r in vectors.embed_once(df, model).collect()}
+    assert len(rows) == 4 and rows[1]["embedding"] is None and rows[3]["embedding"] is None
+    assert "ZeroDivisionError" in rows[3]["embedding_error"] and rows[2]["embedding"] == rows[4]["embedding"] == [-1.0]
+
+
+def test_top_k_without_queries_and_with_odd_vectors(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0]), (5, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.1]), (8, None)], "query_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"], r["rank"]) for r in vectors.top_k(queries, corpus, 5).orderBy("rank").collect()] == [(7, 1, 1), (7, 5, 2)]
+    assert vectors.top_k(queries.filter("query_id = 8"), corpus, 5).count() == 0
+
+
+def test_braces_are_halved_outside_strings_only(spark):
+    cases = {
+        '{{"a": "x {{y}}", "b": {{"c": 1}}}}': '{"a": "x {{y}}", "b": {"c": 1}}',
+        '{"a": {"b": 1}}': '{"a": {"b": 1}}',
+        '{"a": "{{"}': '{"a": "{{"}',
+        '{{"a": "q\\"{{"}}': '{"a": "q\\"{{"}',
+        '{{"a": "' + "x" * 50_000 + '"}}': '{"a": "' + "x" * 50_000 + '"}',
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert [r[0] for r in df.select(kg_build.single_braces(F.col("t"))).collect()] == list(cases.values())
+
+
+def test_metadata_sees_an_edit_of_equal_length_and_a_changed_setting(spark):
+    from paperloom.operators.chunking import passages
+
+    def built(text, **config):
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        return vectors.build_metadata(docs, passages(docs), config=config).first()
+
+    a, b, c = built("one text", size=1), built("two text", size=1), built("one text", size=2)
+    assert a["fingerprint"] != b["fingerprint"] and a["fingerprint"] == c["fingerprint"]
+    assert a["config_fingerprint"] == b["config_fingerprint"] != c["config_fingerprint"]
