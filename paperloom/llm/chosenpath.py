@@ -279,10 +279,15 @@ def _small(df: DataFrame, row_bytes: int, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def _bucket_sizes(rows: DataFrame) -> DataFrame:
+    """Buckets of two sets or more.  Written, so that the join with it is split where one bucket is hot."""
+    return cut_lineage(rows.groupBy("key").agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1"))
+
+
 def _candidate_edges(table: DataFrame, threshold: float, bucket: int) -> DataFrame:
     """Edges between nodes that met in a bucket of some path and look alike."""
     first = table.filter(F.col("node").isNotNull()).select("node", F.explode("keys").alias("key")).distinct()
-    sizes = first.groupBy("key").agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1")
+    sizes = _bucket_sizes(first)
     live = cut_lineage(first.join(sizes, "key"))
     sketches = table.join(live.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
         F.max("size").alias("size"), F.max("sketch").alias("sketch")
@@ -300,8 +305,7 @@ def _candidate_edges(table: DataFrame, threshold: float, bucket: int) -> DataFra
             break
         grown = large.select("key", "node").join(sketches.select("node", "sketch"), "node").mapInArrow(_children(threshold), "key long, node long")
         grown = cut_lineage(grown.distinct())
-        sizes = grown.groupBy("key").agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1")
-        live = cut_lineage(grown.join(sizes, "key"))
+        live = cut_lineage(grown.join(_bucket_sizes(grown), "key"))
     return edges
 
 

@@ -21,7 +21,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
     pairs = cut_lineage(pairs.distinct())
     for _ in range(most_rounds):
-        best = pairs.groupBy("node").agg(F.min("to").alias("least"), F.count("*").alias("n"))
+        # written, so that the joins with it are split where many nodes share a target
+        best = cut_lineage(pairs.groupBy("node").agg(F.min("to").alias("least"), F.count("*").alias("n")))
         hooks = (
             pairs.join(best.filter("n > 1"), "node").filter("to <> least")
             .select(F.col("to").alias("node"), F.col("least").alias("to"), F.lit(1).alias("moved"))
