@@ -14,7 +14,7 @@ from paperloom import vocab as v
 from paperloom.functions import names as nm
 from paperloom.functions.tagging import is_reference_content
 from paperloom.functions.text import any_of, strip
-from paperloom.session import one_row
+from paperloom.session import cut_lineage, one_row
 
 
 # --- extraction requests and responses ---------------------------------------------------------------------------
@@ -160,15 +160,20 @@ def extraction_stats(parsed: DataFrame, entities: DataFrame, relations: DataFram
 
 
 # --- merging -------------------------------------------------------------------------------------------------------
+def named_ids(names: DataFrame) -> DataFrame:
+    """(name, type, canonical, entity_id, normal_name) of every distinct name, written once.
+
+    The costly name rules run per distinct name, not per mention; being a table of its own, it can be broadcast or, where
+    one name is hot, joined in split partitions.
+    """
+    name, kind = F.col("name"), F.col("type")
+    distinct = names.select("name", "type").distinct()
+    return cut_lineage(distinct.select("name", "type", nm.canonical_name(name).alias("canonical"), nm.entity_id(name, kind).alias("entity_id"), nm.normalize_name(name).alias("normal_name")))
+
+
 def keyed_entities(df: DataFrame) -> DataFrame:
-    """Mentions with their canonical key, identifier and normal name."""
-    return df.withColumns(
-        {
-            "canonical": nm.canonical_name(F.col("name")),
-            "entity_id": nm.entity_id(F.col("name"), F.col("type")),
-            "normal_name": nm.normalize_name(F.col("name")),
-        }
-    )
+    """Mentions with their canonical key, identifier and normal name; mentions without a name or type fall out."""
+    return df.join(named_ids(df), ["name", "type"])
 
 
 def longest(c: str) -> Column:
@@ -187,15 +192,26 @@ def best_name(c: str, order: str | None = None) -> Column:
 def merge_entities(mentions: DataFrame, order: str | None = None) -> DataFrame:
     """One vertex per canonical name and type with best name, longest description, top confidence and counts.
 
-    Papers are counted from distinct pairs, so a hub entity spreads over many tasks before its few rows meet.
+    Equal mentions are counted first, by hash aggregation; the best texts are then chosen per paper and per entity from
+    the few rows that are left, so a hub entity spreads over many tasks before its rows meet, and nothing is joined.
     """
-    k = keyed_entities(mentions)
-    scalars = k.groupBy("entity_id", "type").agg(
-        F.count("*").alias("mentions"), best_name("normal_name", order).alias("name"), longest("description").alias("description"),
-        F.max("confidence").alias("confidence"),
+    per_paper = _best_per(_counted(keyed_entities(mentions), ["paper"], order), ["entity_id", "type", "paper"])
+    return _best_per(per_paper, ["entity_id", "type"], F.count("paper").alias("papers")).drop("_at")
+
+
+def _counted(keyed: DataFrame, by: list[str], order: str | None = None) -> DataFrame:
+    first = F.min(order) if order else F.lit(None).cast("string")
+    return keyed.groupBy("entity_id", "type", *by, F.col("normal_name").alias("name"), "description").agg(
+        F.count("*").alias("mentions"), F.max("confidence").alias("confidence"), first.alias("_at")
+    )
+
+
+def _best_per(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    rank = F.struct(-nm.name_score(F.col("name")), "_at", "name")
+    return rows.groupBy(*keys).agg(
+        F.sum("mentions").alias("mentions"), F.min_by("name", rank).alias("name"), longest("description").alias("description"),
+        F.max("confidence").alias("confidence"), F.min_by("_at", rank).alias("_at"), *more,
     )
-    papers = k.select("entity_id", "paper").distinct().groupBy("entity_id").agg(F.count("paper").alias("papers"))
-    return scalars.join(papers, "entity_id")
 
 
 def entity_papers(mentions: DataFrame) -> DataFrame:
@@ -216,10 +232,21 @@ def entity_properties(mentions: DataFrame, key: str = "prop_key", value: str = "
 def merge_relations(relations: DataFrame) -> DataFrame:
     """One edge per (source, type, target) with counts, top confidence and the first description."""
     key = ["source_id", "type", "target_id"]
-    scalars = relations.groupBy(*key).agg(F.count("*").alias("mentions"), F.max("confidence").alias("confidence"), F.min("description").alias("description"))
-    papers = relations.select(*key, "paper").distinct().groupBy(*key).agg(F.count("paper").alias("papers"))
-    texts = relation_descriptions(relations).groupBy(*key).agg(F.count("*").alias("descriptions"))
-    return scalars.join(papers, key).join(texts, key, "left").fillna({"descriptions": 0})
+    # equal statements are counted first; distinct papers and descriptions are then few
+    counted = relations.groupBy(*key, "paper", "description").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
+    return counted.groupBy(*key).agg(
+        F.sum("n").alias("mentions"), F.max("confidence").alias("confidence"), F.min("description").alias("description"),
+        F.count_distinct("paper").alias("papers"), F.count_distinct(F.when(_present(F.col("description")), F.col("description"))).alias("descriptions"),
+    )
+
+
+def graph_of(entities: DataFrame, relations: DataFrame, paper: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accepted entities and relations of all papers as one graph: (vertices, edges, vertex properties)."""
+    source = F.col(paper).cast("string").alias("paper")
+    vertices = merge_entities(entities.select("name", "type", "description", "confidence", source))
+    edges = merge_relations(relations.select("source_id", "type", "target_id", "description", "confidence", source))
+    values = entities.select("name", "type", F.explode("properties").alias("prop_key", "prop_value"))
+    return vertices, edges, entity_properties(values)
 
 
 def relation_descriptions(relations: DataFrame) -> DataFrame:
@@ -291,10 +318,7 @@ def windowed_merge(mentions: DataFrame, window: Column) -> DataFrame:
     Windows are merged by one aggregate each and then by one more, instead of one store round trip per window.
     """
     k = keyed_entities(mentions).withColumn("_w", window)
-    per_window = k.groupBy("entity_id", "type", "_w").agg(
-        best_name("normal_name").alias("name"), longest("description").alias("description"), F.max("confidence").alias("confidence"),
-        F.count("*").alias("mentions"),
-    )
+    per_window = _best_per(_counted(k, ["_w"]), ["entity_id", "type", "_w"])
     return per_window.groupBy("entity_id", "type").agg(
         F.max_by("name", "_w").alias("name"), F.max_by("description", "_w").alias("description"), F.max("confidence").alias("confidence"),
         F.sum("mentions").alias("mentions"), F.count("*").alias("windows"),
@@ -310,7 +334,8 @@ def _device(dataset: str) -> Column:
 def record_ids(records: DataFrame, dataset: str = "records") -> DataFrame:
     """Records with the identifiers of everything they mention.
 
-    The metric vertices are fixed names, so their identifiers are literals of the plan.
+    Names of materials and papers are resolved once each; the metric vertices are fixed names, so their identifiers are
+    literals of the plan.
     """
     f = F.col
     df = records.withColumns(
@@ -319,16 +344,75 @@ def record_ids(records: DataFrame, dataset: str = "records") -> DataFrame:
             "additive_name": F.when(f("additive_id").isNotNull(), F.concat(F.lit(dataset + "-"), f("additive_id"))),
         }
     )
-    def eid(name: str, kind: str) -> Column:
-        return F.when(f(name).isNotNull(), nm.entity_id(f(name), F.lit(kind)))
+    shared = [("donor_name", "Material", "donor_id"), ("acceptor_name", "Material", "acceptor_id"), ("additive_name", "Material", "additive_eid"), ("doi", "Paper", "paper_eid")]
+    named = F.array(*[F.struct(f(c).cast("string").alias("name"), F.lit(kind).alias("type")) for c, kind, _ in shared])
+    ids = named_ids(df.select(F.explode(named).alias("n")).select("n.*").filter("name IS NOT NULL")).select("name", "type", "entity_id")
+    for c, kind, out in shared:
+        df = df.join(ids.filter(f("type") == kind).select(f("name").alias(c), f("entity_id").alias(out)), c, "left")
+    return df.withColumn("device_id", F.when(f("device_name").isNotNull(), nm.entity_id(f("device_name"), F.lit("Device"))))
 
-    return df.withColumns(
-        {
-            "donor_id": eid("donor_name", "Material"), "acceptor_id": eid("acceptor_name", "Material"),
-            "additive_eid": eid("additive_name", "Material"), "device_id": eid("device_name", "Device"),
-            "paper_eid": eid("doi", "Paper"),
-        }
+
+def _filled(owner: Column, facts: dict[str, Column]) -> Column:
+    """The facts of one owner as (id, key, value) structs; empty values are left out."""
+    rows = F.array(*[F.struct(owner.alias("id"), F.lit(k).alias("key"), c.cast("string").alias("value")) for k, c in facts.items()])
+    return F.filter(rows, lambda r: r["id"].isNotNull() & (F.coalesce(r["value"], F.lit("")) != ""))
+
+
+def _optional(df: DataFrame, column: str) -> Column:
+    return F.col(column) if column in df.columns else F.lit(None).cast("string")
+
+
+def record_properties(ids: DataFrame, dataset: str = "records") -> DataFrame:
+    """(id, key, value) of every vertex of the records; of several values in record order the first counts."""
+    def o(c: str) -> Column:
+        return _optional(ids, c)
+
+    def material(end: str) -> dict[str, Column]:
+        return {"smiles": o(f"{end}_smiles"), "material_type": o(f"{end}_type"), "role": F.lit(end), "dataset": F.lit(dataset)}
+
+    facts = F.concat(
+        _filled(F.col("donor_id"), material("donor")), _filled(F.col("acceptor_id"), material("acceptor")),
+        _filled(F.col("additive_eid"), {"additive_id": o("additive_id"), "role": F.lit("additive"), "dataset": F.lit(dataset)}),
+        _filled(F.col("device_id"), {**{c: o(c) for c in v.DEVICE_PROPERTIES}, "record_id": F.col("record_id"), "dataset": F.lit(dataset)}),
+        _filled(F.col("paper_eid"), {"doi": F.col("doi"), "dataset": F.lit(dataset)}),
     )
+    rows = ids.select("record_id", F.posexplode(facts).alias("pos", "f")).select("record_id", "pos", "f.*")
+    # equal facts first, so that only distinct values are sorted
+    distinct = rows.groupBy("id", "key", "value").agg(F.min(F.struct("record_id", "pos")).alias("at"))
+    return distinct.groupBy("id", "key").agg(F.min_by("value", "at").alias("value"))
+
+
+def record_edge_properties(ids: DataFrame, dataset: str = "records") -> DataFrame:
+    """(id, key, value) of every edge of the records, its description among them."""
+    f = F.col
+
+    def o(c: str) -> Column:
+        return _optional(ids, c)
+
+    def number(c: str) -> Column:
+        return o(c).cast("double")
+
+    def edge(source: Column, target: Column, kind: str, suffix: Column, facts: dict[str, Column]) -> Column:
+        return _filled(F.when(source.isNotNull() & target.isNotNull(), nm.edge_id(source, target, F.lit(kind), suffix)), facts)
+
+    def said(*parts: Column | str) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    device, made = f("device_id"), []
+    for end, eid, name in (("donor", "donor_id", "donor_name"), ("acceptor", "acceptor_id", "acceptor_name"), ("additive", "additive_eid", "additive_id")):
+        facts = {"concentration_mg_ml": number(f"{end}_conc_mg_ml"), "description": said("Device ", f("device_name"), f" uses {end} ", f(name), ".")}
+        if end == "additive":
+            facts |= {"vol_pct": number("additive_vol_pct"), "wt_pct": number("additive_wt_pct")}
+        made.append(edge(device, f(eid), "USES", F.concat(f("record_id"), F.lit(f"|{end}")), facts))
+    gains = {"delta_pce": number("delta_pce"), "pce_baseline": number("pce_baseline"), "morphology_effect": o("morphology_effect"), "mechanism": o("mechanism")}
+    made.append(edge(f("additive_eid"), device, "ENHANCES", f("record_id"), {**gains, "description": said("Additive ", f("additive_id"), " enhances device ", f("device_name"), ".")}))
+    for column, metric, unit in v.DEVICE_METRICS:
+        value = number(column)
+        metric_id = F.when(value.isNotNull(), nm.entity_id(F.lit(metric), F.lit("Metric")))
+        text = said("Device ", f("device_name"), f" {metric} = ", value.cast("string"), f" {unit}." if unit else ".")
+        made.append(edge(device, metric_id, "HAS_PROPERTY", F.concat(f("record_id"), F.lit(f"|{column}")), {"value": value, "unit": F.lit(unit), "description": text}))
+    made.append(edge(f("paper_eid"), device, "CONTAINS", f("record_id"), {"dataset": F.lit(dataset), "description": said("Paper ", f("doi"), " contains device record ", f("record_id"), ".")}))
+    return ids.select(F.explode(F.concat(*made)).alias("f")).select("f.*")
 
 
 def record_vertices(ids: DataFrame, dataset: str = "records") -> DataFrame:

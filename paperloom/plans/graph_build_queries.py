@@ -95,6 +95,7 @@ def _parsed(spark, sf):
     return kg_build.parse_responses(responses(spark, sf))
 
 
+_NORMAL = normal_sql("name")
 _SAID = "doc_id % 30 NOT IN (7, 13) AND doc_id % 6 <> 4"
 _QUOTE = rf"regexp_replace(split_part(text, chr(10), 1), '{SIGNS}', '', 'g')"
 _MAT = "'MAPbI3 ' || CASE WHEN doc_id % 6 = 5 THEN '\\mu ' ELSE '' END || lang"
@@ -221,7 +222,7 @@ _BEST = f"(arg_min(normal_name, (-{score_sql('normal_name')}, normal_name)))"
 
 @query("f13_best_name", with_inputs(f"SELECT entity_id, {_BEST} AS name FROM keyed GROUP BY entity_id", keyed=_KEYED))
 def _(spark, sf):
-    k = kg_build.keyed_entities(inputs.raw_entities(spark, sf))
+    k = kg_build.keyed_entities(inputs.raw_entities(spark, sf)).select("entity_id", "normal_name").distinct()
     return k.groupBy("entity_id").agg(kg_build.best_name("normal_name").alias("name"))
 
 
@@ -400,6 +401,79 @@ def _(spark, sf):
     return kg_build.record_edges(kg_build.record_ids(inputs.device_records(spark, sf)))
 
 
+def _full_records(spark, sf):
+    """The device records with process columns, further materials and gains; every seventh value of each is missing."""
+    r = inputs.device_records(spark, sf)
+    k = F.conv(F.substring("record_id", 1, 6), 16, 10).cast("bigint")
+    made = {c: F.when((k + i) % 7 != 0, F.concat(F.lit(f"{c} "), ((k + i) % 13).cast("string"))) for i, c in enumerate(v.DEVICE_PROPERTIES) if not c.endswith(("_ml", "_pct"))}
+    made |= {c: F.when((k + i) % 7 != 0, ((k + i) % 13).cast("double") / 2) for i, c in enumerate(v.DEVICE_PROPERTIES) if c.endswith(("_ml", "_pct"))}
+    return r.withColumns({
+        **made, "acceptor_smiles": F.concat(F.lit("C"), (k % 5).cast("string")), "acceptor_type": F.when(k % 2 == 0, "NFA"), "delta_pce": (k % 9).cast("double") / 4,
+        "pce_baseline": F.when(k % 3 != 0, (k % 17).cast("double")), "morphology_effect": F.when(k % 4 == 0, "finer"), "mechanism": F.when(k % 5 == 0, F.lit("")).otherwise("packing"),
+    })
+
+
+_K = "CAST('0x' || substr(record_id, 1, 6) AS BIGINT)"
+_MADE = {
+    c: f"CASE WHEN ({_K} + {i}) % 7 <> 0 THEN " + (f"(({_K} + {i}) % 13)::DOUBLE / 2" if c.endswith(("_ml", "_pct")) else f"'{c} ' || ({_K} + {i}) % 13") + " END"
+    for i, c in enumerate(v.DEVICE_PROPERTIES)
+}
+_MADE |= {
+    "acceptor_smiles": f"'C' || {_K} % 5", "acceptor_type": f"CASE WHEN {_K} % 2 = 0 THEN 'NFA' END", "delta_pce": f"({_K} % 9)::DOUBLE / 4",
+    "pce_baseline": f"CASE WHEN {_K} % 3 <> 0 THEN ({_K} % 17)::DOUBLE END", "morphology_effect": f"CASE WHEN {_K} % 4 = 0 THEN 'finer' END", "mechanism": f"CASE WHEN {_K} % 5 <> 0 THEN 'packing' END",
+}
+_FULL = f"SELECT *, {', '.join(f'{x} AS {c}' for c, x in _MADE.items())} FROM ids"
+
+
+def _facts(owner: str, facts: dict[str, str], start: int) -> str:
+    return " UNION ALL ".join(f"SELECT {owner} AS id, {s(k)} AS key, CAST({x} AS VARCHAR) AS value, record_id, {start + i} AS pos FROM full_ids" for i, (k, x) in enumerate(facts.items()))
+
+
+_VERTEX_FACTS = " UNION ALL ".join([
+    _facts("donor_id", {"smiles": "donor_smiles", "material_type": "donor_type", "role": "'donor'", "dataset": "'records'"}, 0),
+    _facts("acceptor_id", {"smiles": "acceptor_smiles", "material_type": "acceptor_type", "role": "'acceptor'", "dataset": "'records'"}, 100),
+    _facts("additive_eid", {"additive_id": "additive_id", "role": "'additive'", "dataset": "'records'"}, 200),
+    _facts("device_id", {**{c: c for c in v.DEVICE_PROPERTIES}, "record_id": "record_id", "dataset": "'records'"}, 300),
+    _facts("paper_eid", {"doi": "doi", "dataset": "'records'"}, 400),
+])
+
+
+@query(
+    "f19_vertex_properties",
+    with_inputs("SELECT id, key, arg_min(value, (record_id, pos)) AS value FROM facts WHERE id IS NOT NULL AND coalesce(value, '') <> '' GROUP BY id, key", ids=_IDS, full_ids=_FULL, facts=_VERTEX_FACTS),
+)
+def _(spark, sf):
+    return kg_build.record_properties(kg_build.record_ids(_full_records(spark, sf)))
+
+
+def _uses(end: str, eid: str, name: str, more: dict[str, str]) -> str:
+    edge = f"CASE WHEN {eid} IS NOT NULL THEN {edge_id_sql('device_id', eid, chr(39) + 'USES' + chr(39), f'record_id || {s(chr(124) + end)}')} END"
+    return _facts(edge, {"concentration_mg_ml": f"{end}_conc_mg_ml", "description": f"'Device ' || device_name || ' uses {end} ' || {name} || '.'", **more}, 0)
+
+
+_EDGE_FACTS = " UNION ALL ".join([
+    _uses("donor", "donor_id", "donor_name", {}), _uses("acceptor", "acceptor_id", "acceptor_name", {}),
+    _uses("additive", "additive_eid", "additive_id", {"vol_pct": "additive_vol_pct", "wt_pct": "additive_wt_pct"}),
+    _facts(
+        f"CASE WHEN additive_id IS NOT NULL THEN {edge_id_sql('additive_eid', 'device_id', chr(39) + 'ENHANCES' + chr(39), 'record_id')} END",
+        {**{c: c for c in ("delta_pce", "pce_baseline", "morphology_effect", "mechanism")}, "description": "'Additive ' || additive_id || ' enhances device ' || device_name || '.'"}, 0,
+    ),
+    *[
+        _facts(
+            f"CASE WHEN {c} IS NOT NULL THEN {edge_id_sql('device_id', id_sql(s(n), chr(39) + 'Metric' + chr(39)), chr(39) + 'HAS_PROPERTY' + chr(39), f'record_id || {s(chr(124) + c)}')} END",
+            {"value": f"{c}::DOUBLE", "unit": s(u), "description": f"'Device ' || device_name || ' {n} = ' || {c}::DOUBLE || '{' ' + u if u else ''}.'"}, 0,
+        )
+        for c, n, u in v.DEVICE_METRICS
+    ],
+    _facts(edge_id_sql("paper_eid", "device_id", "'CONTAINS'", "record_id"), {"dataset": "'records'", "description": "'Paper ' || doi || ' contains device record ' || record_id || '.'"}, 0),
+])
+
+
+@query("f19_edge_properties", with_inputs("SELECT id, key, value FROM facts WHERE id IS NOT NULL AND coalesce(value, '') <> ''", ids=_IDS, full_ids=_FULL, facts=_EDGE_FACTS))
+def _(spark, sf):
+    return kg_build.record_edge_properties(kg_build.record_ids(_full_records(spark, sf)))
+
+
 @query(
     "f20_edge_id",
     f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {edge_id_sql(chr(39) + 'S' + chr(39) + ' || l_suppkey', chr(39) + 'P' + chr(39) + ' || l_partkey', chr(39) + 'USES' + chr(39), 'l_orderkey')} AS edge_id FROM lineitem",
@@ -448,6 +522,45 @@ def _(spark, sf):
     return kg_build.extraction_stats(p, e, kg_build.valid_relations(p, e))
 
 
+def _built(spark, sf):
+    p = _parsed(spark, sf)
+    e = kg_build.valid_entities(p)
+    return kg_build.graph_of(e, kg_build.valid_relations(p, e), "passage_id")
+
+
+@query(
+    "f23_vertices",
+    with_inputs(
+        f"""SELECT entity_id, type, {_NORMAL} AS name, CASE WHEN type = 'Metric' THEN 'eff' END AS description, max(confidence) AS confidence, count(*) AS mentions,
+        count(DISTINCT passage_id) AS papers FROM ents GROUP BY ALL""", ents=_ENTITIES,
+    ),
+)
+def _(spark, sf):
+    return _built(spark, sf)[0]
+
+
+@query(
+    "f23_edges",
+    with_inputs(
+        """SELECT source_id, type, target_id, count(*) AS mentions, max(CASE type WHEN 'HAS_PROPERTY' THEN 0.8 WHEN 'IMPROVES' THEN 0.7 ELSE 0.66 END)::DOUBLE AS confidence,
+        CAST(NULL AS VARCHAR) AS description, count(DISTINCT passage_id) AS papers, 0 AS descriptions FROM rels GROUP BY source_id, type, target_id""", ents=_ENTITIES, rels=_RELATIONS,
+    ),
+)
+def _(spark, sf):
+    return _built(spark, sf)[1]
+
+
+@query(
+    "f23_properties",
+    with_inputs(
+        """SELECT entity_id, prop_key, prop_value, count(*) OVER (PARTITION BY entity_id, prop_key) AS values FROM
+        (SELECT DISTINCT entity_id, 'lang' AS prop_key, lang AS prop_value FROM ents JOIN documents ON doc_id = passage_id WHERE type = 'Material')""", ents=_ENTITIES,
+    ),
+)
+def _(spark, sf):
+    return _built(spark, sf)[2]
+
+
 def spot_entities(prompts: list[str]) -> list[str]:
     """A stand-in model for offline runs: answers with the known names it sees."""
     answers = []

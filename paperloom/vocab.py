@@ -432,6 +432,13 @@ QUESTION_HEADERS = {
 EXCERPT = r'(?s)Excerpt:\s*["“”]([^"“”]+)["“”]'
 
 # --- fixed values: device records ----------------------------------------------------------------------------------
+# Process columns of a device record that become properties of its vertex.
+DEVICE_PROPERTIES = [
+    "da_ratio", "donor_conc_mg_ml", "acceptor_conc_mg_ml", "additive_conc_mg_ml", "additive_vol_pct", "additive_wt_pct",
+    "solvent_main", "solvent_second", "solvent_ratio", "total_conc_mg_ml", "spin_speed_rpm", "film_thickness_nm",
+    "anneal_temp_c", "anneal_time_min", "anneal_atmosphere", "device_structure",
+]
+
 DEVICE_METRICS = [
     ("pce_percent", "Power Conversion Efficiency", "%"),
     ("jsc_ma_cm2", "Short-Circuit Current Density", "mA/cm^2"),
