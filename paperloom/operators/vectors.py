@@ -3,11 +3,12 @@
 The product of a query block with a batch of passages is one dense matrix product, so scoring runs on Arrow batches in
 numpy.  Spark decides who meets whom:
 
-* a query matrix that fits a fixed budget is broadcast and the corpus is scanned once, unshuffled;
-* a larger one is laid out with the corpus on a grid of bounded cells, each pair of blocks meeting in exactly one task;
-* inside cells (index cells, entity types) the hot ones are split into as many sub-cells as their size asks for.
+* queries are dealt into blocks that fit a fixed budget; a block is broadcast and the corpus is scanned, unshuffled, once
+  per block, so neither side is ever copied through a shuffle;
+* inside cells (index cells, entity types) the hot ones are split into as many sub-cells as their size in bytes asks for.
 
-Every task emits at most k rows per query it saw; only those reach the ranking window.
+Every task emits at most k rows per query it saw, which are ranked within a salt first and then per query: a query's last
+window sees k rows per salt (``SALTS``), not k rows per task.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from paperloom.session import one_row
 
 QUERY_BYTES = 64 << 20
 CELL_BYTES = 64 << 20
+CENTROID_BYTES = 256 << 20
+SALTS = 64
 SCORES_AT_ONCE = 4_000_000
 DECIMALS = 6
 
@@ -101,6 +104,8 @@ def prototypes(df: DataFrame, key: str, embedding: str = "embedding") -> DataFra
 
 
 def _unit(rows) -> np.ndarray:
+    if not len(rows):
+        return np.zeros((0, 1))
     m = np.asarray([np.asarray(r, dtype=np.float64) for r in rows])
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
@@ -139,7 +144,7 @@ def _scan(queries: DataFrame, corpus: DataFrame, k: int, qid: str, vid: str, emb
         names, qm = held.value
         best = None
         for pdf in batches:
-            if not len(pdf):
+            if not len(pdf) or not len(qm):
                 continue
             got = _score(qm, _unit(pdf[emb]), pdf[vid].to_numpy(), k)
             best = got if best is None else _keep_best(*[np.concatenate(x) for x in zip(best, got)], k)
@@ -166,10 +171,6 @@ def _meet(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int, qid: s
     return side(queries, qid, "_q").cogroup(side(corpus, vid, "_c")).applyInPandas(run, schema)
 
 
-def _blocks(rows: int, dims: int) -> int:
-    return max(1, -(-rows * dims * 8 // CELL_BYTES))
-
-
 def _block_of(key: str, n: Column) -> Column:
     return F.pmod(F.xxhash64(key), n).cast("int")
 
@@ -179,8 +180,11 @@ def _fan(n: Column) -> Column:
 
 
 def _rank(local: DataFrame, k: int, qid: str, vid: str) -> DataFrame:
-    best_first = Window.partitionBy(qid).orderBy(F.desc("similarity"), vid)
-    return local.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+    order = [F.desc("similarity"), F.col(vid)]
+    salted = local.withColumn("_salt", F.pmod(F.xxhash64(vid), F.lit(SALTS)))
+    first = salted.withColumn("_r", F.row_number().over(Window.partitionBy(qid, "_salt").orderBy(*order))).filter(F.col("_r") <= k)
+    last = F.row_number().over(Window.partitionBy(qid).orderBy(*order))
+    return first.drop("_salt", "_r").withColumn("rank", last).filter(F.col("rank") <= k)
 
 
 def _schema(queries: DataFrame, corpus: DataFrame, qid: str, vid: str) -> str:
@@ -209,13 +213,14 @@ def top_k(
     schema = _schema(queries, corpus, query_id, vector_id)
     if n == 0:
         return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
-    if n * d * 8 <= query_bytes:
-        local = _scan(queries, corpus, k, query_id, vector_id, embedding, schema)
-    else:
-        r, c = F.lit(_blocks(n, d)), F.lit(_blocks(corpus.count(), d))
-        q = queries.withColumn("_qb", _block_of(query_id, r)).withColumn("_cb", _fan(c))
-        v = corpus.withColumn("_cb", _block_of(vector_id, c)).withColumn("_qb", _fan(r))
-        local = _meet(q, v, ["_qb", "_cb"], k, query_id, vector_id, embedding, schema)
+    blocks = max(1, -(-n * d * 8 // query_bytes))
+    # three quarters full on average, so that a block dealt by hash stays below the budget
+    blocks = blocks if blocks == 1 else -(-blocks * 4 // 3)
+    local = None
+    for b in range(blocks):
+        block = queries if blocks == 1 else queries.filter(_block_of(query_id, F.lit(blocks)) == b)
+        found = _scan(block, corpus, k, query_id, vector_id, embedding, schema)
+        local = found if local is None else local.unionByName(found)
     ranked = _rank(local, k, query_id, vector_id)
     return ranked if min_similarity is None else ranked.filter(F.col("similarity") >= min_similarity)
 
@@ -229,16 +234,17 @@ def top_k_in_cells(
     vector_id: str = "vec_id",
     embedding: str = "embedding",
     min_similarity: float | None = None,
-    cell_rows: int = 100_000,
+    cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """As ``top_k``, but a query meets only the vectors of its own cells (it may have a row for each of several).
 
-    A cell with more than ``cell_rows`` vectors or queries is split both ways, so one hot cell becomes many tasks.
+    A cell whose vectors or queries exceed ``cell_bytes`` is split both ways, so one hot cell becomes many tasks.
     """
-    sizes = (
-        corpus.groupBy(cell).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_c"))
-        .join(queries.groupBy(cell).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_r")), cell)
-    )
+    def parts(name: str) -> Column:
+        return F.ceil(F.sum(F.size(embedding)) * 8 / cell_bytes).cast("int").alias(name)
+
+    queries, corpus = queries.filter(F.size(embedding) > 0), corpus.filter(F.size(embedding) > 0)
+    sizes = corpus.groupBy(cell).agg(parts("_c")).join(queries.groupBy(cell).agg(parts("_r")), cell)
     q = queries.join(sizes, cell).withColumn("_qb", _block_of(query_id, F.col("_r"))).withColumn("_cb", _fan(F.col("_c")))
     v = corpus.join(sizes, cell).withColumn("_cb", _block_of(vector_id, F.col("_c"))).withColumn("_qb", _fan(F.col("_r")))
     schema = _schema(queries, corpus, query_id, vector_id)
@@ -256,11 +262,12 @@ def train_cells(corpus: DataFrame, nlist: int, embedding: str = "embedding", see
     return corpus.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
 
 
-def nearest_cells(df: DataFrame, cells: DataFrame, n: int = 1, embedding: str = "embedding", max_cells: int = 65_536) -> DataFrame:
-    """Add ``cell``: one row for each of the n nearest centroids.  The number of centroids is checked, then broadcast."""
-    local = cells.limit(max_cells + 1).toPandas().sort_values("cell")
-    if len(local) > max_cells:
-        raise ValueError(f"more than {max_cells} cells")
+def nearest_cells(df: DataFrame, cells: DataFrame, n: int = 1, embedding: str = "embedding", max_bytes: int = CENTROID_BYTES) -> DataFrame:
+    """Add ``cell``: one row for each of the n nearest centroids.  Their size in bytes is checked, then they are broadcast."""
+    size = cells.agg(F.coalesce(F.sum(F.size("centroid")) * 8, F.lit(0))).first()[0]
+    if size > max_bytes:
+        raise ValueError(f"centroids take {size} bytes, more than {max_bytes}")
+    local = cells.toPandas().sort_values("cell")
     held = df.sparkSession.sparkContext.broadcast((local["cell"].to_numpy(), _unit(local["centroid"])))
 
     @F.pandas_udf("array<int>")

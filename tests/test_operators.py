@@ -34,14 +34,13 @@ def test_broadcast_and_grid_search_agree_with_brute_force(spark, monkeypatch):
     queries, corpus = vector_frames(spark)
     want = brute_force(queries, corpus, 7)
     assert triples(vectors.top_k(queries, corpus, 7)) == want
-    monkeypatch.setattr(vectors, "CELL_BYTES", 4000)
-    assert triples(vectors.top_k(queries, corpus, 7, query_bytes=0)) == want
+    assert triples(vectors.top_k(queries, corpus, 7, query_bytes=700)) == want
 
 
 def test_hot_cells_are_split_without_losing_rows(spark):
     queries, corpus = vector_frames(spark)
     hot = corpus.withColumn("cell", F.lit(0))
-    got = vectors.top_k_in_cells(queries.withColumn("cell", F.lit(0)), hot, "cell", 5, cell_rows=40)
+    got = vectors.top_k_in_cells(queries.withColumn("cell", F.lit(0)), hot, "cell", 5, cell_bytes=40 * 16 * 8)
     assert triples(got) == brute_force(queries, corpus, 5)
 
 
