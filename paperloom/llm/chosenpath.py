@@ -311,7 +311,7 @@ def _candidate_edges(table: DataFrame, threshold: float, bucket: int) -> DataFra
 
 def similarity_classes(
     docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999,
-    bucket: int = 256, block_rows: int = 512, block_shingles: int = 4 << 20, broadcast_bytes: int = 32 << 20,
+    bucket: int = 256, block_rows: int = 512, block_shingles: int = 1 << 20, broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Per document row: doc, text_hash, class (the least id and hash of its class as keep_doc, keep_hash), n_links.
 

@@ -24,10 +24,10 @@ THRESHOLD = 0.3
 
 
 def log_count_ratios(label: np.ndarray, starts: np.ndarray, feature: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    row = np.repeat(np.arange(len(label)), np.diff(starts))
-    used = np.isin(row, rows)
-    good = np.bincount(feature[used & (label[row] > 0)], minlength=ft.DIMS) + 1.0
-    bad = np.bincount(feature[used & (label[row] <= 0)], minlength=ft.DIMS) + 1.0
+    used = np.zeros(len(label), dtype=bool)
+    used[rows] = True
+    good = np.bincount(feature[np.repeat(used & (label > 0), np.diff(starts))], minlength=ft.DIMS) + 1.0
+    bad = np.bincount(feature[np.repeat(used & (label <= 0), np.diff(starts))], minlength=ft.DIMS) + 1.0
     ratio = np.log((good / good.sum()) / (bad / bad.sum()))
     ratio[good + bad < MIN_ROWS + 2] = 0
     return ratio
@@ -36,17 +36,14 @@ def log_count_ratios(label: np.ndarray, starts: np.ndarray, feature: np.ndarray,
 def dual_coordinate_descent(label: np.ndarray, starts: np.ndarray, feature: np.ndarray, ratio: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, float]:
     """(weights of the scaled features, bias) of the hinge-loss model; one dual variable is solved at a time."""
     sign = np.where(label > 0, 1.0, -1.0)
-    vectors = {}
-    for i in rows:
-        f = feature[starts[i] : starts[i + 1]]
-        v = ratio[f]
-        f, v = f[v != 0], v[v != 0]
-        vectors[i] = f, v / (np.linalg.norm(v) or 1.0)
+    ends = np.append(starts[1:], len(feature))
+    length = np.array([np.linalg.norm(ratio[feature[a:b]]) for a, b in zip(starts, ends)])
     w, bias, alpha = np.zeros(ft.DIMS), 0.0, np.zeros(len(label))
     order = np.random.default_rng(7)
     for _ in range(ROUNDS):
         for i in order.permutation(rows):
-            f, v = vectors[i]
+            f = feature[starts[i] : ends[i]]
+            v = ratio[f] / (length[i] or 1.0)
             slope = sign[i] * (v @ w[f] + bias) - 1
             new = min(max(alpha[i] - slope / (v @ v + 1), 0.0), COST)
             if new != alpha[i]:
@@ -90,8 +87,9 @@ def fit(label: np.ndarray, starts: np.ndarray, feature: np.ndarray) -> dict[str,
     first = np.setdiff1d(everyone, aside) if len(label) >= 10 else everyone
     ratio = log_count_ratios(label, starts, feature, first)
     w, bias = dual_coordinate_descent(label, starts, feature, ratio, first)
-    row = np.repeat(everyone, np.diff(starts))
-    slope, shift = logistic_curve(margins(w, bias, ratio, row, feature, len(label))[aside], label[aside])
+    seen = np.concatenate([feature[starts[i] : starts[i + 1]] for i in aside])
+    row = np.repeat(np.arange(len(aside)), [starts[i + 1] - starts[i] for i in aside])
+    slope, shift = logistic_curve(margins(w, bias, ratio, row, seen, len(aside)), label[aside])
     ratio = log_count_ratios(label, starts, feature, everyone)
     w, bias = dual_coordinate_descent(label, starts, feature, ratio, everyone)
     return {"ratio": ratio, "w": w, "rest": np.array([bias, slope, shift])}

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _U = np.uint64
 MULTIPLIER = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(MULTIPLIER), -1, 1 << 64))

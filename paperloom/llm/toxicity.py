@@ -34,11 +34,12 @@ def grades_of(label: np.ndarray, starts: np.ndarray, feature: np.ndarray) -> np.
     if len(np.unique(label)) > 2:
         return np.unique(label, return_inverse=True)[1]
     toxic = label > 0
-    row = np.repeat(np.arange(len(label)), np.diff(starts))
-    there = np.bincount(feature[toxic[row]], minlength=ft.DIMS)
-    here = np.bincount(feature[~toxic[row]], minlength=ft.DIMS)
+    of_toxic = np.repeat(toxic, np.diff(starts))
+    there = np.bincount(feature[of_toxic], minlength=ft.DIMS)
+    here = np.bincount(feature[~of_toxic], minlength=ft.DIMS)
     marks = (there >= MIN_ROWS) & ((there / max(toxic.sum(), 1)) >= MARK * (here + 0.5) / max((~toxic).sum(), 1))
-    many = np.bincount(row, weights=marks[feature], minlength=len(label))
+    marked = np.append(0, np.cumsum(marks[feature], dtype=np.int64))
+    many = marked[starts[1:]] - marked[starts[:-1]]
     middle = np.median(many[toxic]) if toxic.any() else 0.0
     return np.where(toxic, np.where(many > middle, 2, 1), 0)
 
@@ -46,9 +47,8 @@ def grades_of(label: np.ndarray, starts: np.ndarray, feature: np.ndarray) -> np.
 def screened(label: np.ndarray, starts: np.ndarray, feature: np.ndarray) -> np.ndarray:
     """Features that toxic rows have far more, or far less, often than chance allows."""
     toxic = label > 0
-    row = np.repeat(np.arange(len(label)), np.diff(starts))
     n, share = np.bincount(feature, minlength=ft.DIMS), toxic.mean()
-    z = (np.bincount(feature[toxic[row]], minlength=ft.DIMS) - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
+    z = (np.bincount(feature[np.repeat(toxic, np.diff(starts))], minlength=ft.DIMS) - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
     return np.flatnonzero((np.abs(z) > SCREEN) & (n >= MIN_ROWS))
 
 
@@ -61,8 +61,8 @@ def fit(label: np.ndarray, starts: np.ndarray, feature: np.ndarray) -> dict[str,
     k, d = int(grade.max()), len(at)
     place = np.full(ft.DIMS, -1)
     place[at] = np.arange(d)
-    row = np.repeat(np.arange(n), np.diff(starts))
-    row, feature = row[place[feature] >= 0], place[feature[place[feature] >= 0]]
+    on = place[feature] >= 0
+    row, feature = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))[on], place[feature[on]]
     counts = np.array([(grade <= j).sum() for j in range(k)]) + 0.5
     theta = np.log(counts / (n + 1 - counts))
     p = np.concatenate([np.zeros(d), [theta[0]], np.log(np.maximum(np.diff(theta), 1e-3))])
