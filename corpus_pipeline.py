@@ -46,9 +46,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): token ids as little-endian 32-bit integers and the text they decode to."""
     prepare(spark)
-    encoded = bpe.encode(docs, RANKS)
-    counted = encoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
-    return bpe.decode(counted, RANKS, out="text")
+    encoded = bpe.encode(docs, RANKS, decoded=True)
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [

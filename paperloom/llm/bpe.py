@@ -123,12 +123,23 @@ def join_tree(enc, parts: list[list[int]]) -> list[int]:
     return parts[0]
 
 
-def _short(ranks, special):
+def _decode(enc, ids: bytes | None) -> str:
+    return enc.decode_bytes(np.frombuffer(ids or b"", dtype="<u4").tolist()).decode("utf-8", "replace")
+
+
+def _rows(enc, doc, ids: list[bytes], decoded: bool) -> pa.RecordBatch:
+    columns = {"doc": doc, "ids": pa.array(ids, pa.binary())}
+    if decoded:
+        columns["decoded"] = pa.array([_decode(enc, x) for x in ids], pa.string())
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _short(ranks, special, decoded):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value, special)
         for batch in batches:
             ids = [_encode(enc, t or "").astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(ids, pa.binary())], names=["doc", "ids"])
+            yield _rows(enc, batch.column("doc"), ids, decoded)
 
     return work
 
@@ -166,7 +177,7 @@ def _leaf(ranks, special):
     return work
 
 
-def _together(ranks, special):
+def _together(ranks, special, decoded):
     """Sorted leaves (doc, text_hash, piece) → one row per document row; equal rows come as repeated leaves."""
 
     def whole(enc, leaves: list[tuple[int, int, bytes]]) -> tuple[bytes, int]:
@@ -193,7 +204,7 @@ def _together(ranks, special):
 
         def emit():
             ids, copies = whole(enc, held)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * copies, kind), pa.array([ids] * copies, pa.binary())], names=["doc", "ids"])
+            return _rows(enc, pa.array([key[0]] * copies, kind), [ids] * copies, decoded)
 
         for batch in batches:
             kind = batch.schema.field("doc").type
@@ -210,18 +221,21 @@ def _together(ranks, special):
     return work
 
 
-def encode(docs: DataFrame, ranks_path: str, doc: str = "doc_id", text: str = "text", special: dict[str, int] | None = None, leaf: int = LEAF) -> DataFrame:
-    """(doc, ids): the token ids of every whole text."""
+def encode(
+    docs: DataFrame, ranks_path: str, doc: str = "doc_id", text: str = "text", special: dict[str, int] | None = None, leaf: int = LEAF, decoded: bool = False
+) -> DataFrame:
+    """(doc, ids): the token ids of every whole text; with ``decoded`` also the text they decode to, made in the same pass."""
     special = SPECIAL if special is None else special
     with open(ranks_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     base = tb.small_batches(docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     kind = base.schema["doc"].dataType.simpleString()
-    short = base.filter(F.char_length("text") <= leaf).mapInArrow(_short(ranks, special), f"doc {kind}, ids binary")
+    schema = f"doc {kind}, ids binary" + ", decoded string" * decoded
+    short = base.filter(F.char_length("text") <= leaf).mapInArrow(_short(ranks, special, decoded), schema)
     long = base.filter(F.char_length("text") > leaf).withColumn("text_hash", F.xxhash64("text"))
     cut = long.mapInArrow(_cut(leaf, special), f"doc {kind}, text_hash long, piece int, kind int, text string")
     done = cut.repartition("doc", "text_hash", "piece").mapInArrow(_leaf(ranks, special), f"doc {kind}, text_hash long, piece int, kind int, ids binary")
-    whole = done.repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash", "piece").mapInArrow(_together(ranks, special), f"doc {kind}, ids binary")
+    whole = done.repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash", "piece").mapInArrow(_together(ranks, special, decoded), schema)
     return short.unionByName(whole).withColumnRenamed("doc", doc)
 
 
@@ -235,7 +249,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "de
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value, special)
         for batch in batches:
-            texts = [enc.decode_bytes(np.frombuffer(b or b"", dtype="<u4").tolist()).decode("utf-8", "replace") for b in batch.column(ids).to_pylist()]
+            texts = [_decode(enc, b) for b in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     kept = tb.small_batches(encoded.select(*names))

@@ -24,8 +24,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 @llm_query("op9_bpe_round_trip")
 def op9_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Every text encoded and decoded again."""
-    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), RANKS)
-    return bpe.decode(encoded, RANKS).select(
+    return bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), RANKS, decoded=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

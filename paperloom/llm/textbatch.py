@@ -44,8 +44,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 def small_batches(df: DataFrame) -> DataFrame:
     """Keep the Arrow batches that Python tasks receive small, whatever the length of the rows."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df
 
 

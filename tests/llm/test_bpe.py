@@ -28,7 +28,8 @@ def test_ids_equal_the_library_and_decode_back(spark, leaf):
     rows = [(i, t, "x") for i, t in enumerate(texts())]
     rows += [(3, rows[3][1], "x"), (None, rows[4][1], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    out = bpe.decode(bpe.encode(docs, RANKS, leaf=leaf), RANKS).collect()
+    encoded = bpe.encode(docs, RANKS, leaf=leaf, decoded=leaf > 500)
+    out = (bpe.decode(encoded, RANKS) if leaf <= 500 else encoded).collect()
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], np.frombuffer(r["ids"], dtype="<u4").tolist(), r["decoded"]) for r in out)
     want = []
     for i, t, _ in rows:
