@@ -1,7 +1,7 @@
 """Lookups, neighbourhoods, paths and statistics over a vertex and an edge table.
 
 "Name contains keyword" has no key to join on.  Instead of comparing every name with every keyword, both sides meet on
-a short character sequence that any match must share, and the substring test then runs on those few candidates.
+the rarest short character sequence that any match must share, and the substring test runs on those few candidates.
 """
 
 from __future__ import annotations
@@ -32,13 +32,22 @@ def _grams(c: Column) -> Column:
 def containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
     """Distinct (text, part) pairs where the text contains the part, case ignored.
 
-    A part is looked up by its first three characters (or all of a shorter one) among the sequences of the texts.
+    A part is looked up by the rarest of its sequences of three characters (a shorter part by itself) among those of the
+    texts.  Sequences travel with a hash of their text only and are kept only if some part has them; texts are fetched
+    for the candidates that are left.
     """
-    t = texts.select(text).distinct().select(text, F.lower(text).alias("_t"))
+    t = texts.select(text).distinct().select(F.xxhash64(text).alias("_id"), text, F.lower(text).alias("_t"))
     p = parts.select(part).distinct().select(part, F.lower(part).alias("_p")).filter(F.length("_p") > 0)
-    grams = t.select(text, "_t", F.explode_outer(_grams(F.col("_t"))).alias("_g"))
-    probes = p.withColumn("_g", F.left("_p", F.lit(GRAM)))
-    return grams.join(probes, "_g").filter(F.col("_t").contains(F.col("_p"))).select(text, part)
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_p") - (GRAM - 1), F.lit(1)))
+    probes = p.select(part, "_p", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("_p", i, GRAM)))).alias("_g"))
+    grams = t.select("_id", F.explode(_grams(F.col("_t"))).alias("_g")).join(probes.select("_g").distinct(), "_g", "left_semi")
+    grams = cut_lineage(grams)
+    counts = grams.groupBy("_g").agg(F.count("*").alias("_n"))
+    rated = probes.join(counts, "_g", "left").groupBy(part, "_p").agg(
+        F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g")
+    )
+    pairs = rated.join(grams, "_g").select(part, "_p", "_id")
+    return pairs.join(t, "_id").filter(F.col("_t").contains(F.col("_p"))).select(text, part)
 
 
 # --- simple lookups ------------------------------------------------------------------------------------------------
