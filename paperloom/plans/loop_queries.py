@@ -10,6 +10,7 @@ from paperloom.plans import inputs
 from paperloom.plans.question_queries import EXPECT_SQL
 from paperloom.plans.registry import query
 from paperloom.plans.sqlkit import concat_lists, contains_any, find_all, joined, s, with_inputs
+from paperloom.session import cut_lineage
 from paperloom.sources.readers import table
 
 _ANSWERS = ["0.8", "1.4", "bad", " 0.35 ", ""]
@@ -95,23 +96,21 @@ def _(spark, sf):
 
 
 def _rounds(spark, sf):
-    corpus = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    """Every round embeds the question as rewritten and is judged by how near its contexts are."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
-    qv = inputs.question_vectors(spark, sf)
+    corpus = cut_lineage(vectors.hashed_embedding(docs, "content").select("vec_id", "embedding"))
 
     def retrieve(unfinished, round_no):
-        mine = qv.join(unfinished.select("query_id", "top_k"), "query_id")
-        near = vectors.top_k(mine.select("query_id", "embedding"), corpus, 30).join(unfinished.select("query_id", "top_k"), "query_id")
-        # rewritten questions look further down the ranking
-        near = near.filter(F.col("rank") <= F.col("top_k") + (round_no - 1) * 5)
+        asked = vectors.hashed_embedding(unfinished.select("query_id", "query"), "query").select("query_id", "embedding")
+        near = vectors.top_k(asked, corpus, 30).join(unfinished.select("query_id", "top_k"), "query_id").filter(F.col("rank") <= F.col("top_k"))
         return near.join(docs, "vec_id").select(
             "query_id", F.col("vec_id").alias("doc_id"), "content", F.concat(F.lit("source_"), (F.col("vec_id") % 6).cast("string")).alias("source"),
             "similarity", F.lit(None).cast("double").alias("rerank_score"),
         )
 
     def judge(unfinished, contexts, round_no):
-        q = F.col("query_id")
-        return unfinished.select("query_id", (((q * 17 + round_no * 37) % 100) / 100).cast("string").alias("judge_answer"))
+        near = contexts.filter("rank <= 5").groupBy("query_id").agg(F.bround(F.avg("similarity"), 2).alias("near"))
+        return unfinished.select("query_id").join(near, "query_id", "left").select("query_id", F.coalesce("near", F.lit(0.0)).cast("string").alias("judge_answer"))
 
     return loop.retrieve_in_rounds(_questions(spark, sf), retrieve, judge, threshold=0.6)
 
