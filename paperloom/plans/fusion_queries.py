@@ -261,8 +261,14 @@ def _(spark, sf):
 
 @query(
     "i18_with_fallback",
-    with_inputs("SELECT query_id, page_id, source FROM results WHERE source = 'arxiv' OR (source = 'duckduckgo' AND query_id NOT IN (SELECT query_id FROM results WHERE source = 'arxiv'))", results=_RESULTS),
+    with_inputs(
+        "SELECT query_id, page_id, source FROM (SELECT *, list_position([" + ", ".join(s(p) for p in PROVIDERS) + "], source) AS p FROM results) QUALIFY p = min(p) OVER (PARTITION BY query_id)",
+        results=_RESULTS,
+    ),
 )
 def _(spark, sf):
     r = _results(spark, sf).select("query_id", "page_id", "source")
-    return fusion.with_fallback(r.filter("source = 'arxiv'"), r.filter("source = 'duckduckgo'"), ["query_id"])
+    found = r.filter(F.col("source") == PROVIDERS[0])
+    for p in PROVIDERS[1:]:
+        found = fusion.with_fallback(found, r.filter(F.col("source") == p), ["query_id"])
+    return found

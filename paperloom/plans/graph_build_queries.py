@@ -486,7 +486,7 @@ def _(spark, sf):
     )
 
 
-_STORED = "SELECT name, min(id) AS stored_id FROM vertices WHERE type = 'Part' GROUP BY name"
+_STORED = "SELECT name, min(id) AS stored_id FROM vertices GROUP BY name"
 
 
 @query(
@@ -495,7 +495,7 @@ _STORED = "SELECT name, min(id) AS stored_id FROM vertices WHERE type = 'Part' G
 )
 def _(spark, sf):
     vs = inputs.trade_vertices(spark, sf)
-    _, edges, _ = kg_build.reconcile(vs, inputs.trade_edges(spark, sf), vs.filter("type = 'Part'"))
+    _, edges, _ = kg_build.reconcile(vs, inputs.trade_edges(spark, sf), vs)
     return edges.groupBy("source_id", "type", "target_id").agg(F.count("*").alias("n"))
 
 
@@ -505,7 +505,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     vs = inputs.trade_vertices(spark, sf)
-    return kg_build.reconcile(vs, inputs.trade_edges(spark, sf), vs.filter("type = 'Part'"))[2]
+    return kg_build.reconcile(vs, inputs.trade_edges(spark, sf), vs)[2]
 
 
 @query(

@@ -32,12 +32,39 @@ def _(spark, sf):
     "g3_relations_both_ways",
     with_inputs(
         """SELECT r.id, other_id, relation, direction, o.name AS other_name, o.type AS other_type FROM (SELECT source_id AS id, target_id AS other_id, type AS relation, 'outgoing' AS direction FROM edges
-        UNION ALL SELECT target_id, source_id, type, 'incoming' FROM edges) r JOIN vertices x ON x.id = r.id AND x.type <> 'Part' JOIN vertices o ON o.id = other_id"""
+        UNION ALL SELECT target_id, source_id, type, 'incoming' FROM edges) r JOIN vertices x ON x.id = r.id JOIN vertices o ON o.id = other_id"""
     ),
 )
 def _(spark, sf):
     vs, es = _graph(spark, sf)
-    return kg.relations_of(vs.filter("type <> 'Part'"), vs, es)
+    return kg.relations_of(vs, vs, es)
+
+
+@query(
+    "g4_paths_of_mixed_length",
+    with_inputs(
+        """SELECT source_id, target_id, length, array_to_string(path, '>') AS path FROM (
+        SELECT a AS source_id, b AS target_id, 1 AS length, [a, b] AS path FROM pairs JOIN both_ways ON a = x AND b = y
+        UNION ALL SELECT a, b, 2, min([a, e.y, b]) FROM pairs JOIN both_ways e ON a = e.x JOIN both_ways f ON f.x = e.y AND f.y = b GROUP BY a, b)
+        QUALIFY row_number() OVER (PARTITION BY source_id, target_id ORDER BY length) = 1""",
+        both_ways="SELECT DISTINCT source_id AS x, target_id AS y FROM edges UNION SELECT target_id, source_id FROM edges",
+        pairs="""SELECT 'S' || s_suppkey AS a, 'N' || s_suppkey % 25 AS b FROM supplier UNION ALL SELECT 'S' || s_suppkey, 'S' || (s_suppkey + 1) FROM supplier
+        UNION ALL SELECT 'N' || p_partkey % 25, 'P' || p_partkey FROM part""",
+    ),
+)
+def _(spark, sf):
+    """Neighbours, pairs with a common neighbour and pairs out of reach together."""
+    sup, part = F.col("s_suppkey"), F.col("p_partkey")
+
+    def name(kind, c):
+        return F.concat(F.lit(kind), c.cast("string"))
+
+    s, p = table(spark, sf, "supplier"), table(spark, sf, "part")
+    pairs = s.select(name("S", sup).alias("source_id"), name("N", sup % 25).alias("target_id"))
+    pairs = pairs.unionByName(s.select(name("S", sup).alias("source_id"), name("S", sup + 1).alias("target_id")))
+    pairs = pairs.unionByName(p.select(name("N", part % 25).alias("source_id"), name("P", part).alias("target_id")))
+    found = kg.shortest_paths(pairs, inputs.trade_edges(spark, sf), 2)
+    return found.select("source_id", "target_id", "length", F.array_join("path", ">").alias("path"))
 
 
 @query(
