@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom import vocab as v
 from paperloom.functions.scores import no_nan, stable_round
 from paperloom.operators.evalscores import has_error, long_scores, metric_means, row_mean
+from paperloom.session import cut_lineage
 
 WITH, WITHOUT = "agentic_with_kg", "agentic_no_kg"
 
@@ -168,16 +169,44 @@ def zero_rollups(zeros: DataFrame) -> DataFrame:
     return zeros.groupingSets([["mode"], ["category"], ["metric"], []], "mode", "category", "metric").agg(F.count("*").alias("zeros"), F.count_distinct("question_id").alias("questions"))
 
 
+def exact_quantiles(hist: DataFrame, by: list[str], shares: tuple[float, ...], bins: int = 256) -> DataFrame:
+    """(by, quantiles): linear quantiles of a histogram (by, x, n).
+
+    Values are dealt into bins by approximate cut points; counts per bin tell in which bins the wanted ranks lie, and only
+    the values of those are numbered.  So no task holds or sorts all values of a group.
+    """
+    cuts = hist.groupBy(*by).agg(F.percentile_approx("x", [i / bins for i in range(1, bins)], 20 * bins).alias("_cuts"), F.sum("n").alias("_total"))
+    binned = hist.join(cuts, by).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("x")))).drop("_cuts")
+    per_bin = binned.groupBy(*by, "_total", "_bin").agg(F.sum("n").alias("_in"))
+    upto = F.sum("_in").over(Window.partitionBy(*by).orderBy("_bin"))
+    places = F.array(*[F.lit(q) * (F.col("_total") - 1) for q in shares])
+    ranks = F.array_distinct(F.flatten(F.transform(places, lambda h: F.array(F.floor(h), F.ceil(h)))))
+    spots = per_bin.withColumn("_before", upto - F.col("_in")).withColumn(
+        "_ranks", F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
+    ).filter(F.size("_ranks") > 0).select(*by, "_bin", "_before", "_ranks")
+    run = F.sum("n").over(Window.partitionBy(*by, "_bin").orderBy("x"))
+    picked = binned.join(spots, [*by, "_bin"]).withColumn("_end", F.col("_before") + run).withColumn(
+        "_rank", F.explode(F.filter("_ranks", lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("n"))))
+    )
+    found = picked.groupBy(*by, "_total").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "x"))).alias("_at"))
+
+    def linear(h: Column) -> Column:
+        low, high = F.element_at("_at", F.floor(h)), F.element_at("_at", F.ceil(h))
+        return low + (high - low) * (h - F.floor(h))
+
+    return found.select(*by, F.transform(places, linear).alias("quantiles"))
+
+
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Quartiles (linear), mean and outliers beyond 1.5 interquartile ranges; NULL counts as 0.
 
-    Equal values are counted first, so the exact quartiles are taken from a histogram and not from all rows.
+    Equal values are counted first; the exact quartiles are then picked from that histogram by rank.
     """
     hist = df.groupBy(*by, F.coalesce(no_nan(F.col(value).cast("double")), F.lit(0.0)).alias("x")).agg(F.count("*").alias("n"))
+    hist = cut_lineage(hist)
     q = hist.groupBy(*by).agg(
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.sum("n").alias("values"), F.min("x").alias("low"), F.max("x").alias("high"),
-    )
+        (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("values"), F.min("x").alias("low"), F.max("x").alias("high"),
+    ).join(exact_quantiles(hist, by, (0.25, 0.5, 0.75)).withColumnRenamed("quantiles", "q"), by)
     q = q.select(*by, "values", "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high", F.bround("mean", 6).alias("mean"))
     iqr = F.col("q3") - F.col("q1")
     out = (F.col("x") < F.col("q1") - iqr * 1.5) | (F.col("x") > F.col("q3") + iqr * 1.5)
