@@ -173,7 +173,7 @@ def named_ids(names: DataFrame) -> DataFrame:
 
 def keyed_entities(df: DataFrame) -> DataFrame:
     """Mentions with their canonical key, identifier and normal name; mentions without a name or type fall out."""
-    return df.join(named_ids(df), ["name", "type"])
+    return df.drop("canonical", "entity_id", "normal_name").join(named_ids(df), ["name", "type"])
 
 
 def longest(c: str) -> Column:
