@@ -284,15 +284,11 @@ def _bucket_sizes(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.groupBy("key").agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1"))
 
 
-def _candidate_edges(table: DataFrame, threshold: float, bucket: int) -> DataFrame:
+def _candidate_edges(nodes: DataFrame, threshold: float, bucket: int) -> DataFrame:
     """Edges between nodes that met in a bucket of some path and look alike."""
-    first = table.filter(F.col("node").isNotNull()).select("node", F.explode("keys").alias("key")).distinct()
-    sizes = _bucket_sizes(first)
-    live = cut_lineage(first.join(sizes, "key"))
-    sketches = table.join(live.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
-        F.max("size").alias("size"), F.max("sketch").alias("sketch")
-    )
-    sketches = cut_lineage(sketches)
+    first = nodes.select("node", F.explode("keys").alias("key"))
+    live = cut_lineage(first.join(_bucket_sizes(first), "key"))
+    sketches = cut_lineage(nodes.select("node", "size", "sketch").join(live.select("node").distinct(), "node", "left_semi"))
     edges = None
     for depth in range(1, DEPTH + 1):
         small = live.filter(F.col("in_bucket") <= bucket) if depth < DEPTH else live
@@ -324,9 +320,10 @@ def similarity_classes(
         f"doc {kind}, text_hash long, node long, size int, keys array<long>, sketch binary",
     ))
     per_node = cut_lineage(table.filter("node is not null").groupBy("node").agg(
-        F.count("*").alias("copies"), F.min(F.struct("doc", "text_hash")).alias("first"), F.max("size").alias("size")
+        F.count("*").alias("copies"), F.min(F.struct("doc", "text_hash")).alias("first"), *[F.first(c).alias(c) for c in ("size", "keys", "sketch")]
     ))
-    groups = components(_candidate_edges(table, threshold, bucket))
+    groups = components(_candidate_edges(per_node, threshold, bucket))
+    per_node = per_node.drop("keys", "sketch")
     member = groups.join(per_node, "node")
     weight = member.groupBy("root").agg(F.count("*").alias("rows"), F.sum("size").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("rows") / block_rows, F.col("shingles") / block_shingles)).cast("int")
@@ -343,7 +340,8 @@ def similarity_classes(
         "node", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")
     )
     least = known.groupBy("root").agg(F.min("first").alias("keep"))
-    known = known.join(least, "root").select("node", "keep", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    # written, so that the join with the rows is split where very many are copies
+    known = cut_lineage(known.join(least, "root").select("node", "keep", (F.col("links") + F.col("copies") - 1).alias("n_links")))
     rows = table.select("doc", "text_hash", "node")
     alone = rows.filter("node is null").select("doc", "text_hash", F.struct("doc", "text_hash").alias("keep"), F.lit(0).cast("bigint").alias("n_links"))
     out = rows.join(known, "node").select("doc", "text_hash", "keep", "n_links").unionByName(alone)
