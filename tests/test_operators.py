@@ -312,3 +312,29 @@ def test_metadata_sees_an_edit_of_equal_length_and_a_changed_setting(spark):
     a, b, c = built("one text", size=1), built("two text", size=1), built("one text", size=2)
     assert a["fingerprint"] != b["fingerprint"] and a["fingerprint"] == c["fingerprint"]
     assert a["config_fingerprint"] == b["config_fingerprint"] != c["config_fingerprint"]
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(9)
+    groups = {"a": rng.normal(size=700).round(1), "b": np.array([5.0]), "c": np.array([1.0] * 300 + [2.0]), "d": rng.integers(0, 3, 50).astype(float)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs]
+    hist = spark.createDataFrame(rows, "g string, x double").groupBy("g", "x").agg(F.count("*").alias("n"))
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    for bins in (4, 256):
+        got = {r["g"]: r["quantiles"] for r in evalcompare.exact_quantiles(hist, ["g"], shares, bins).collect()}
+        assert all(np.allclose(got[g], np.quantile(xs, shares)) for g, xs in groups.items())
+
+
+def test_changed_files_replace_their_passages(spark):
+    folder, target = new_path(spark, "corpus"), new_path(spark, "index")
+
+    def put(part, text):
+        spark.createDataFrame([(part, text)], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/part={part}")
+
+    def current():
+        return sorted((r["doc_id"], r["content"]) for r in jobs.index_changed_files(spark, folder, target).collect())
+
+    put(1, "first text of one"), put(2, "text of two")
+    assert current() == [(1, "first text of one"), (2, "text of two")] == current()
+    put(1, "other text of one")
+    assert current() == [(1, "other text of one"), (2, "text of two")]
