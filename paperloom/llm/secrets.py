@@ -110,14 +110,15 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
         return F.col("k").isin(*[KINDS.index(k) for k in kinds])
 
     role = F.when(is_kind("access", "identifier"), "id").when(is_kind("endpoint"), "at").otherwise("key")
-    # A part covers every cell its reach touches, so an interval meets another in the cell where the other starts.
+    # Both sides cover every cell they touch: two intervals that overlap meet in the cell where the later one starts.
     reach = parts.withColumn("role", role).withColumn(
         "cell", F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope)))
     ).select(F.col("__pl_doc").alias("d2"), F.col("__pl_hash").alias("h2"), "cell", "role", F.col("start").alias("s2"), F.col("end").alias("e2"))
-    weak = parts.filter(is_kind(*WEAK)).withColumn("cell", F.floor(F.col("start") / scope))
+    weak = parts.filter(is_kind(*WEAK)).withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
+    meeting = F.floor(F.greatest(F.col("start"), F.col("s2") - scope) / scope)
     near = weak.join(
         reach,
-        weak["__pl_doc"].eqNullSafe(reach["d2"]) & (weak["__pl_hash"] == reach["h2"]) & (weak["cell"] == reach["cell"])
+        weak["__pl_doc"].eqNullSafe(reach["d2"]) & (weak["__pl_hash"] == reach["h2"]) & (weak["cell"] == reach["cell"]) & (weak["cell"] == meeting)
         & (F.col("s2") - scope <= F.col("end")) & (F.col("start") <= F.col("e2") + scope),
     )
     roles = near.groupBy("__pl_doc", "__pl_hash", "start", "k", "end").agg(F.collect_set("role").alias("roles"))

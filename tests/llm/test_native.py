@@ -152,6 +152,41 @@ def test_base_spans_equal_python_and_weak_ones_need_company(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def brute_links(text, scope=200):
+    spans = [(int(s), k, int(e)) for k, s, e in (x.split(":") for x in filter(None, brute_base(text).split(",")))]
+    strong, weak = list(spans), []
+    for k in secrets.WEAK:
+        for m in re.finditer(secrets.PATTERNS[k], text):
+            mixed = k != "weak_secret" or (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]))
+            if mixed and not any(b[0] < m.end() and m.start() < b[2] for b in strong):
+                weak.append((m.start(), k, m.end()))
+    role = {"access": "id", "identifier": "id", "endpoint": "at"}
+    for s, k, e in weak:
+        near = {role.get(k2, "key") for s2, k2, e2 in strong + weak if s2 - scope <= e and s <= e2 + scope}
+        if {"identifier": {"key"}, "weak_secret": {"id"}, "endpoint": {"id", "key"}}[k] <= near:
+            spans.append((s, k, e))
+    return ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(spans, key=lambda x: (x[0], secrets.KINDS.index(x[1]))))
+
+
+def test_weak_spans_meet_their_partners_at_every_offset(spark):
+    def at(*parts):
+        text = ""
+        for start, part in parts:
+            text = text.ljust(start) + part
+        return text
+
+    run, url = "Ab1+" * 10, "https://h.org/" + "p-" * 243
+    texts = [at((a, run), (a + 40 + gap, "user: bob")) for a in range(150, 206, 5) for gap in (1, 160, 170, 199, 200, 201)]
+    texts += [at((a, "user: bob"), (a + 9 + gap, run)) for a in range(185, 206, 3) for gap in (1, 170, 199, 200, 201)]
+    texts += [at((a, url), (a + 500 + gap, "user=ann secret='s3cr3ts'")) for a in (0, 150, 199, 200, 399) for gap in (1, 150, 180, 200, 201)]
+    texts += [at((a, "Ab1+" * 300), (a + 1200 + gap, "user: bob")) for a in (0, 199, 200) for gap in (1, 199, 200, 201)]
+    texts += [at((190, run), (400, "user: bob"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["a"] for r in secrets.scan(docs).select("doc_id", secrets.written(F.col("all_spans")).alias("a")).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute_links(t) for t in texts]
+    assert got[len(texts) - 1] == "weak_secret:190:230,identifier:400:409"
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(SECRETS)], "doc_id long, text string, base_spans string")
     out = secrets.redact(docs, mark="#")
