@@ -51,7 +51,7 @@ SPAN = "struct<start:int,k:int,end:int>"
 
 def _kept(kind: str, match: Column) -> Column:
     if kind == "assign":
-        return F.char_length(F.regexp_extract(match, VALUE + "$", 1)) >= MIN_VALUE
+        return F.char_length(F.regexp_extract(match, PATTERNS["assign"], 1)) >= MIN_VALUE
     if kind == "weak_secret":
         return F.regexp_like(match, F.lit("[0-9]")) & F.regexp_like(match, F.lit("[A-Za-z]"))
     return F.lit(True)

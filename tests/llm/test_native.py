@@ -187,6 +187,17 @@ def test_weak_spans_meet_their_partners_at_every_offset(spark):
     assert got[len(texts) - 1] == "weak_secret:190:230,identifier:400:409"
 
 
+def test_short_values_without_quotes_or_blanks_are_dropped(spark):
+    texts = [f"{word}{sign}{value}" for word in ("token", "password", "api_key", "Secret") for sign in ("=", ":", "= ", " =", "='", "==") for value in ("abc", "a-b", "1", "a=b_c", "abcdef", "a_b=cd")]
+    texts += ["user: bob token=abc", "token=a,password=abcdefg", "token=token=ab", "password=secret=abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secrets.scan(docs).select("doc_id", secrets.written(F.col("base_spans")).alias("b"), secrets.written(F.col("all_spans")).alias("a")).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert [got[i]["b"] for i in range(len(texts))] == [brute_base(t) for t in texts]
+    assert got[texts.index("token=abc")]["b"] == got[texts.index("password=a-b")]["b"] == got[texts.index("api_key=1")]["b"] == ""
+    assert got[texts.index("user: bob token=abc")]["a"] == ""
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(SECRETS)], "doc_id long, text string, base_spans string")
     out = secrets.redact(docs, mark="#")
