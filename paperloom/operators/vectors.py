@@ -136,17 +136,35 @@ def _score(qm: np.ndarray, vm: np.ndarray, ids: np.ndarray, k: int):
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def _by_length(rows: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length → (positions, unit vectors) of the rows that have it."""
+    lengths = rows.map(len).to_numpy()
+    return {int(d): (at := np.flatnonzero(lengths == d), _unit(rows.iloc[at])) for d in np.unique(lengths)}
+
+
+def _score_by_length(queries: dict, vectors: pd.Series, ids: np.ndarray, k: int):
+    """As ``_score`` for queries and vectors of equal length; None if there are none."""
+    parts = []
+    for d, (at, vm) in _by_length(vectors).items():
+        if d in queries:
+            q, v, s = _score(queries[d][1], vm, ids[at], k)
+            parts.append((queries[d][0][q], v, s))
+    if not parts:
+        return None
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _scan(queries: DataFrame, corpus: DataFrame, k: int, qid: str, vid: str, emb: str, schema: str) -> DataFrame:
     local = queries.select(qid, emb).toPandas()  # at most QUERY_BYTES, checked by the caller
-    held = queries.sparkSession.sparkContext.broadcast((local[qid].to_numpy(), _unit(local[emb])))
+    held = queries.sparkSession.sparkContext.broadcast((local[qid].to_numpy(), _by_length(local[emb])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, qm = held.value
+        names, by_length = held.value
         best = None
         for pdf in batches:
-            if not len(pdf) or not len(qm):
+            got = _score_by_length(by_length, pdf[emb], pdf[vid].to_numpy(), k)
+            if got is None:
                 continue
-            got = _score(qm, _unit(pdf[emb]), pdf[vid].to_numpy(), k)
             best = got if best is None else _keep_best(*[np.concatenate(x) for x in zip(best, got)], k)
         if best is not None:
             yield pd.DataFrame({qid: names[best[0]], vid: best[1], "similarity": best[2]})
@@ -158,9 +176,10 @@ def _meet(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int, qid: s
     """Score the queries and vectors that share all keys, one task per key."""
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
+        got = _score_by_length(_by_length(q["_e"]), c["_e"], c["_id"].to_numpy(), k)
+        if got is None:
             return pd.DataFrame({qid: q["_id"][:0], vid: c["_id"][:0], "similarity": np.array([], float)})
-        rows, ids, scores = _score(_unit(q["_e"]), _unit(c["_e"]), c["_id"].to_numpy(), k)
+        rows, ids, scores = got
         return pd.DataFrame({qid: q["_id"].to_numpy()[rows], vid: ids, "similarity": scores})
 
     # fresh names on both sides, because queries and vectors may come from the same table
@@ -204,16 +223,16 @@ def top_k(
 ) -> DataFrame:
     """Exact k nearest vectors of every query: (query id, vector id, similarity to six decimals, rank).
 
-    ``min_similarity`` is applied after the ranking and is off unless asked for.  Rows whose vector is NULL, empty or of
-    another length than the queries' have no neighbours and are no neighbours.
+    ``min_similarity`` is applied after the ranking and is off unless asked for.  A query meets the vectors of its own
+    length, whatever the lengths of other queries.  Rows whose vector is NULL, empty or of a length that the other side
+    does not have get no neighbours and are no neighbours; ``unmatched`` counts them.
     """
-    queries = queries.filter(F.size(embedding) > 0)
-    n, d = queries.agg(F.count("*"), F.coalesce(F.max(F.size(embedding)), F.lit(1))).first()
-    queries, corpus = queries.filter(F.size(embedding) == d), corpus.filter(F.size(embedding) == d)
+    queries, corpus = queries.filter(F.size(embedding) > 0), corpus.filter(F.size(embedding) > 0)
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size(embedding)), F.lit(0))).first()
     schema = _schema(queries, corpus, query_id, vector_id)
     if n == 0:
         return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
-    blocks = max(1, -(-n * d * 8 // query_bytes))
+    blocks = max(1, -(-size * 8 // query_bytes))
     # three quarters full on average, so that a block dealt by hash stays below the budget
     blocks = blocks if blocks == 1 else -(-blocks * 4 // 3)
     local = None
@@ -225,6 +244,19 @@ def top_k(
     return ranked if min_similarity is None else ranked.filter(F.col("similarity") >= min_similarity)
 
 
+def unmatched(queries: DataFrame, corpus: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """(side, dims, rows, reason): the rows that ``top_k`` leaves out, counted by length; NULL vectors have NULL dims."""
+    def lengths(df: DataFrame, side: str) -> DataFrame:
+        dims = F.when(F.col(embedding).isNotNull(), F.size(embedding)).alias("dims")
+        return df.groupBy(dims).agg(F.count("*").alias("rows")).withColumn("side", F.lit(side))
+
+    both = lengths(queries, "queries").unionByName(lengths(corpus, "corpus"))
+    sides = both.groupBy("dims").agg(F.count("*").alias("sides"), F.collect_list(F.struct("side", "rows")).alias("s"))
+    left = sides.filter((F.coalesce(F.col("dims"), F.lit(0)) == 0) | (F.col("sides") == 1))
+    reason = F.when(F.col("dims").isNull(), "null").when(F.col("dims") == 0, "empty").otherwise("length")
+    return left.select("dims", F.explode("s").alias("x"), reason.alias("reason")).select("x.side", "dims", "x.rows", "reason")
+
+
 def top_k_in_cells(
     queries: DataFrame,
     corpus: DataFrame,

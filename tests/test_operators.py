@@ -290,6 +290,20 @@ def test_top_k_without_queries_and_with_odd_vectors(spark):
     assert vectors.top_k(queries.filter("query_id = 8"), corpus, 5).count() == 0
 
 
+def test_one_odd_query_or_vector_takes_nothing_from_the_others(spark):
+    queries, corpus = vector_frames(spark)
+    want = brute_force(queries, corpus, 7)
+    odd_q = spark.createDataFrame([(900, [1.0] * 40), (901, [1.0, 2.0]), (902, None)], "query_id bigint, embedding array<double>")
+    odd_c = spark.createDataFrame([(900, [1.0, 2.0]), (901, [1.0] * 5), (902, []), (903, None)], "vec_id bigint, embedding array<double>")
+    q, c = queries.unionByName(odd_q), corpus.unionByName(odd_c)
+    for size in (64 << 20, 700):
+        assert triples(vectors.top_k(q, c, 7, query_bytes=size)) == want | {(901, 900, 1)}
+    cells = vectors.top_k_in_cells(q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0)), "cell", 7)
+    assert triples(cells) == want | {(901, 900, 1)}
+    left = {(r["side"], r["dims"], r["rows"], r["reason"]) for r in vectors.unmatched(q, c).collect()}
+    assert left == {("queries", 40, 1, "length"), ("queries", None, 1, "null"), ("corpus", 5, 1, "length"), ("corpus", 0, 1, "empty"), ("corpus", None, 1, "null")}
+
+
 def test_braces_are_halved_outside_strings_only(spark):
     cases = {
         '{{"a": "x {{y}}", "b": {{"c": 1}}}}': '{"a": "x {{y}}", "b": {"c": 1}}',
