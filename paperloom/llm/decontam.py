@@ -4,8 +4,9 @@ Words are runs of letters, digits and non-ASCII characters after A-Z is lower-ca
 words of a benchmark item; an item of fewer words is one shorter window.  Each window's words and the items that hold
 it form the set; a document's words are exploded in place, the hash of the window that begins at each word is looked up
 there, and the few hits are verified word by word.  The set is broadcast only while its measured size is below
-``broadcast_bytes``; beyond that the same join shuffles.  Each document travels once: the row that carries its word
-count also keeps it in the result when nothing hits.
+``broadcast_bytes``; then each document travels once: the row that carries its word count also keeps it in the result
+when nothing hits.  Beyond that one narrow row per word (id, text hash, position, window hash) is shuffled to the set,
+and the words are met again only by what was found in it.
 
 Defined cases: null and wordless texts have no words and no hits; null, wordless and repeated items add nothing, and
 null item ids are left out of the item list; rows that agree in id and text are judged together and all returned; an
@@ -65,10 +66,10 @@ def contamination(
     lengths = sorted(r["k"] for r in shape) or [n]
     table = windows.select(_hash_like_probe(F.col("window"), lengths).alias("h"), "window", "items")
     table = table.groupBy("h").agg(F.collect_list(F.struct("window", "items")).alias("entries"))
-    if sum(r["bytes"] for r in shape) <= broadcast_bytes:
-        table = F.broadcast(table)
-
     keyed = docs.select(F.col(doc).alias("__pl_id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    if sum(r["bytes"] for r in shape) > broadcast_bytes:
+        return _by_shuffled_hashes(keyed, table, lengths).withColumnRenamed("__pl_id", doc)
+    table = F.broadcast(table)
     at = keyed.select("*", F.posexplode_outer("w").alias("i", "__pl_word")).drop("__pl_word")
     probe = at.select("*", _probes(F.col("w"), F.col("i"), lengths).alias("p")).select("*", "p.n", "p.h").drop("p")
     hit = probe.join(table, "h", "left")
@@ -92,6 +93,29 @@ def contamination(
     return copies.select(F.col("__pl_id").alias(doc), "text_hash", "n_words", "spans", "items")
 
 
+def _by_shuffled_hashes(keyed: DataFrame, table: DataFrame, lengths: list[int]) -> DataFrame:
+    """``contamination`` for a set too large to broadcast: no row but the document's own carries its words."""
+    at = keyed.select("__pl_id", "text_hash", "w", F.posexplode("w").alias("i", "__pl_word"))
+    probe = at.select("__pl_id", "text_hash", "i", _probes(F.col("w"), F.col("i"), lengths).alias("p")).select("__pl_id", "text_hash", "i", "p.n", "p.h")
+    found = probe.join(table, "h").groupBy(F.col("__pl_id").alias("__pl_id2"), F.col("text_hash").alias("__pl_hash2")).agg(
+        F.collect_set(F.struct("i", "n", "entries")).alias("found")
+    )
+    both = keyed.join(found, keyed["__pl_id"].eqNullSafe(found["__pl_id2"]) & (keyed["text_hash"] == found["__pl_hash2"]), "left")
+
+    def verified(x: Column) -> Column:
+        here = F.slice("w", x.getField("i") + 1, x.getField("n"))
+        true = F.filter(x.getField("entries"), lambda e: (F.size(e.getField("window")) == x.getField("n")) & (e.getField("window") == here))
+        span = F.struct(x.getField("i").alias("start"), (x.getField("i") + x.getField("n")).alias("end"))
+        return F.struct(span.alias("hit"), F.flatten(F.transform(true, lambda e: e.getField("items"))).alias("items"), (F.size(true) > 0).alias("true"))
+
+    sure = F.filter(F.transform("found", verified), lambda x: x.getField("true"))
+    ready = both.withColumn("__pl_sure", F.coalesce(sure, F.expr("array()").cast("array<struct<hit:struct<start:int,end:int>,items:array<string>,true:boolean>>")))
+    return ready.select(
+        "__pl_id", "text_hash", F.size("w").cast("bigint").alias("n_words"), _merged(F.array_sort(F.array_distinct("__pl_sure.hit"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten("__pl_sure.items"))).alias("items"),
+    )
+
+
 def _merged(hits: Column) -> Column:
     """Sorted ranges → disjoint ranges.  Ends grow with starts except for short items, so a running maximum decides."""
     def step(acc: Column, x: Column) -> Column:

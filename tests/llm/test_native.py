@@ -107,6 +107,13 @@ def test_contamination_equals_brute_force(spark, limit):
     assert decontam.contamination(docs, items.limit(0)).filter("size(spans) > 0").count() == 0
 
 
+def test_rows_shuffled_to_the_windows_do_not_carry_the_words(spark):
+    docs, items, _ = contamination_input(spark)
+    plan = decontam.contamination(docs, items, broadcast_bytes=0)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    sides = [plan[i + 1] for i, line in enumerate(plan) if re.search(r"Join .*\(h#\d+L = h#\d+L\)", line)]
+    assert sides and not any(re.search(r"\bw#\d+", side) for side in sides), sides
+
+
 def test_removers(spark):
     docs, items, _ = contamination_input(spark)
     left = decontam.drop_contaminated(docs, items)
