@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import periodic
+from paperloom.llm import periodic, phrases
 from paperloom.llm.registry import llm_query
 from paperloom.sources.readers import table
 
@@ -43,3 +43,11 @@ def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         (-best["p"]).alias("period"), F.expr("best.length * 1000 div -best.p").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@llm_query("op11_phrase_collocations")
+def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every language's first 2000 phrases by association score."""
+    found = phrases.frequent_phrases(table(spark, sf, "documents").select("lang", "text"), least=100)
+    top = phrases.ranked(phrases.without_contained(found), 2000)
+    return top.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
