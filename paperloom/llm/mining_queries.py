@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import periodic, phrases
+from paperloom.llm import periodic, phrases, repeats
 from paperloom.llm.registry import llm_query
 from paperloom.sources.readers import table
 
@@ -51,3 +51,13 @@ def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
     found = phrases.frequent_phrases(table(spark, sf, "documents").select("lang", "text"), least=100)
     top = phrases.ranked(phrases.without_contained(found), 2000)
     return top.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@llm_query("op12_suffix_array_dedup")
+def op12_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the bytes that repeat 100 bytes of the corpus before them."""
+    kept = repeats.without_repeats(table(spark, sf, "documents").select("doc_id", "text"), least=100)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return kept.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
