@@ -195,8 +195,21 @@ def merge_entities(mentions: DataFrame, order: str | None = None) -> DataFrame:
     Equal mentions are counted first, by hash aggregation; the best texts are then chosen per paper and per entity from
     the few rows that are left, so a hub entity spreads over many tasks before its rows meet, and nothing is joined.
     """
-    per_paper = _best_per(_counted(keyed_entities(mentions), ["paper"], order), ["entity_id", "type", "paper"])
-    return _best_per(per_paper, ["entity_id", "type"], F.count("paper").alias("papers")).drop("_at")
+    return entities_of_parts(keyed_entity_parts(keyed_entities(mentions), order))
+
+
+def keyed_entity_parts(keyed: DataFrame, order: str | None = None) -> DataFrame:
+    """Mergeable parts of keyed mentions: counts and best texts per entity and paper."""
+    return _best_per(_counted(keyed, ["paper"], order), ["entity_id", "type", "paper"])
+
+
+def merge_entity_parts(parts: DataFrame) -> DataFrame:
+    """Parts of several batches as those of all their mentions together."""
+    return _best_per(parts, ["entity_id", "type", "paper"])
+
+
+def entities_of_parts(parts: DataFrame) -> DataFrame:
+    return _best_per(parts, ["entity_id", "type"], F.count("paper").alias("papers")).drop("_at")
 
 
 def _counted(keyed: DataFrame, by: list[str], order: str | None = None) -> DataFrame:
@@ -233,9 +246,14 @@ def merge_relations(relations: DataFrame) -> DataFrame:
     """One edge per (source, type, target) with counts, top confidence and the first description."""
     key = ["source_id", "type", "target_id"]
     # equal statements are counted first; distinct papers and descriptions are then few
-    counted = relations.groupBy(*key, "paper", "description").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
-    return counted.groupBy(*key).agg(
-        F.sum("n").alias("mentions"), F.max("confidence").alias("confidence"), F.min("description").alias("description"),
+    counted = relations.groupBy(*key, "paper", "description").agg(F.count("*").alias("mentions"), F.max("confidence").alias("confidence"))
+    return relations_of_statements(counted)
+
+
+def relations_of_statements(counted: DataFrame) -> DataFrame:
+    """Edges of statements (source, type, target, paper, description) with their mentions and top confidence."""
+    return counted.groupBy("source_id", "type", "target_id").agg(
+        F.sum("mentions").alias("mentions"), F.max("confidence").alias("confidence"), F.min("description").alias("description"),
         F.count_distinct("paper").alias("papers"), F.count_distinct(F.when(_present(F.col("description")), F.col("description"))).alias("descriptions"),
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.session import cut_lineage
+from paperloom.session import Steps, cut_lineage
 
 GRAM = 3
 
@@ -111,42 +111,104 @@ def sampled_overview(vertices: DataFrame, edges: DataFrame, n: int, seed: int =
 
 
 # --- paths ---------------------------------------------------------------------------------------------------------
-def _spread(roots: DataFrame, pairs_of: DataFrame, steps: int, forward: bool) -> DataFrame:
-    """(root, vertex, depth, path): first reach of every vertex within the given steps, smallest path among equals."""
-    seen = roots.select("root", F.col("root").alias("vertex"), F.lit(0).alias("depth"), F.array("root").alias("path"))
-    frontier = seen
-    for depth in range(1, steps + 1):
-        grown = frontier.join(pairs_of, "vertex").select(
-            "root", F.col("next").alias("vertex"),
-            (F.concat("path", F.array("next")) if forward else F.concat(F.array("next"), "path")).alias("path"),
-        )
-        new = (
-            grown.groupBy("root", "vertex").agg(F.min("path").alias("path"))
-            .join(seen.select("root", "vertex"), ["root", "vertex"], "left_anti")
-            .select("root", "vertex", F.lit(depth).alias("depth"), "path")
-        )
-        frontier = cut_lineage(new)
-        seen = seen.unionByName(frontier)
-    return seen
-
-
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_length: int = 5) -> DataFrame:
-    """Undirected shortest path of every (source_id, target_id) pair, at most ``max_length`` hops.
-
-    Both ends spread half way and meet in the middle, so neither side sees the whole graph; the smallest path wins.
-    """
+def _adjacency(edges: DataFrame, hub: int) -> DataFrame:
+    """(vertex, salt, next) both ways; the neighbours of a vertex with more than ``hub`` of them are dealt into parts."""
     both = edges.select(F.col("source_id").alias("vertex"), F.col("target_id").alias("next")).unionByName(
         edges.select(F.col("target_id").alias("vertex"), F.col("source_id").alias("next"))
-    )
-    adjacent = cut_lineage(both.distinct())
-    ahead = _spread(pairs.select(F.col("source_id").alias("root")).distinct(), adjacent, (max_length + 1) // 2, True)
-    back = _spread(pairs.select(F.col("target_id").alias("root")).distinct(), adjacent, max_length // 2, False)
-    a = ahead.select(F.col("root").alias("source_id"), "vertex", F.col("depth").alias("_da"), F.col("path").alias("_pa"))
-    b = back.select(F.col("root").alias("target_id"), "vertex", F.col("depth").alias("_db"), F.col("path").alias("_pb"))
-    met = pairs.distinct().join(a, "source_id").join(b, ["target_id", "vertex"])
-    path = F.concat("_pa", F.slice("_pb", 2, F.greatest(F.size("_pb") - 1, F.lit(0))))
-    best = met.groupBy("source_id", "target_id").agg(F.min(F.struct((F.col("_da") + F.col("_db")).alias("length"), path.alias("path"))).alias("m"))
-    return best.select("source_id", "target_id", "m.length", "m.path")
+    ).filter("vertex <> next").distinct()
+    parts = both.groupBy("vertex").agg(F.ceil(F.count("*") / hub).cast("int").alias("parts"))
+    dealt = both.join(parts, "vertex")
+    return dealt.select("vertex", F.pmod(F.xxhash64("next"), F.col("parts")).cast("int").alias("salt"), "next", "parts")
+
+
+class _Side:
+    """One end's search: per depth a written table of first reaches (root, vertex, parent, rank), without any path.
+
+    ``rank`` orders the smallest paths of one depth: by the rank of the parent, then by the vertex.  It comes from a sort by
+    ranges, so a root that reaches most of the graph is no single group.  The backward side needs no rank: its smallest
+    way on from a vertex begins with the smallest neighbour that is nearer.
+    """
+
+    def __init__(self, steps: Steps, roots: DataFrame, adjacent: DataFrame, forward: bool):
+        self.steps, self.adjacent, self.forward = steps, adjacent, forward
+        self.fans = adjacent.select("vertex", "parts").distinct()
+        self.levels = [steps.cut(roots.select("root", F.col("root").alias("vertex"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("rank")))]
+
+    @property
+    def depth(self) -> int:
+        return len(self.levels) - 1
+
+    def frontier(self) -> DataFrame:
+        return self.levels[-1].select("root", "vertex", "rank")
+
+    def grow(self, wanted: DataFrame) -> bool:
+        """One hop further for the wanted roots; False if nothing new was reached.
+
+        New vertices are those of neither of the last two depths, since neighbours are at most one hop apart.
+        """
+        edge = self.frontier().join(wanted, "root", "left_semi").join(self.fans, "vertex")
+        edge = edge.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        grown = edge.join(self.adjacent.drop("parts"), ["vertex", "salt"])
+        best = F.min(F.struct("rank", "vertex") if self.forward else F.struct("vertex", "rank")).alias("by")
+        new = grown.groupBy("root", F.col("next").alias("reached")).agg(best)
+        for level in self.levels[-2:]:
+            new = new.join(level.select("root", F.col("vertex").alias("reached")), ["root", "reached"], "left_anti")
+        new = new.select("root", F.col("reached").alias("vertex"), F.col("by.vertex").alias("parent"), F.col("by.rank").alias("above"))
+        if self.forward:
+            order = ["root", "above", "vertex"]
+            new = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
+        else:
+            new = new.withColumn("rank", F.lit(0).cast("bigint"))
+        self.levels.append(self.steps.cut(new.drop("above")))
+        return not self.levels[-1].isEmpty()
+
+    def walk(self, found: DataFrame, root: str, hops: str) -> DataFrame:
+        """Prolong ``path`` of met pairs from its outer vertex ``at`` by ``hops`` steps to the root, one join per depth."""
+        for depth in range(self.depth, 0, -1):
+            step = self.levels[depth].select(F.col("root").alias(root), F.col("vertex").alias("at"), "parent")
+            both = found.join(step, [root, "at"], "left").withColumn("parent", F.when(F.col(hops) >= depth, F.col("parent")))
+            longer = F.concat(F.array("parent"), "path") if self.forward else F.concat("path", F.array("parent"))
+            found = both.select(
+                *[c for c in found.columns if c not in ("path", "at")], F.coalesce("parent", "at").alias("at"),
+                F.when(F.col("parent").isNotNull(), longer).otherwise(F.col("path")).alias("path"),
+            )
+        return found
+
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_length: int = 5, hub: int = 10_000) -> DataFrame:
+    """Undirected shortest path of every (source_id, target_id) pair, at most ``max_length`` hops; the smallest among equals.
+
+    Both ends search by turns and keep only predecessors.  After every hop the frontiers of the pairs still open are held
+    against each other: pairs that meet get their paths by walking back and are retired, and roots without an open pair grow
+    no further.  The neighbours of a vertex with more than ``hub`` of them are joined in parts.  Pairs out of reach are left out.
+    """
+    steps = Steps(pairs.sparkSession)
+    adjacent = steps.cut(_adjacency(edges, hub))
+    open_ = steps.cut(pairs.select("source_id", "target_id").filter("source_id IS NOT NULL AND target_id IS NOT NULL").distinct())
+    ahead = _Side(steps, open_.select(F.col("source_id").alias("root")).distinct(), adjacent, True)
+    back = _Side(steps, open_.select(F.col("target_id").alias("root")).distinct(), adjacent, False)
+    met = None
+    for length in range(max_length + 1):
+        if length:
+            side, end = (ahead, "source_id") if length % 2 else (back, "target_id")
+            if not side.grow(open_.select(F.col(end).alias("root")).distinct()):
+                break
+        a = ahead.frontier().select(F.col("root").alias("source_id"), "vertex", "rank")
+        b = back.frontier().select(F.col("root").alias("target_id"), "vertex")
+        now = open_.join(a, "source_id").join(b, ["target_id", "vertex"])
+        now = now.groupBy("source_id", "target_id").agg(F.min(F.struct("rank", "vertex")).alias("m"))
+        now = steps.cut(now.select("source_id", "target_id", F.lit(length).alias("length"), F.col("m.vertex").alias("middle")))
+        met = now if met is None else met.unionByName(now)
+        if now.isEmpty():
+            continue
+        open_ = steps.cut(open_.join(now, ["source_id", "target_id"], "left_anti"))
+        if open_.isEmpty():
+            break
+    paths = met.withColumn("path", F.array("middle")).withColumn("at", F.col("middle"))
+    paths = paths.withColumn("hops_back", F.floor(F.col("length") / 2)).withColumn("hops_ahead", F.col("length") - F.col("hops_back"))
+    paths = ahead.walk(paths, "source_id", "hops_ahead").withColumn("at", F.col("middle"))
+    paths = back.walk(paths, "target_id", "hops_back")
+    return steps.keep(paths.select("source_id", "target_id", "length", "path"))
 
 
 # --- keyword neighbourhoods -------------------------------------------------------------------------------------------

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import vectors
+from paperloom.operators import cellindex, vectors
 from paperloom.plans import inputs
 from paperloom.plans.registry import query
 from paperloom.plans.sqlkit import strip, with_inputs
+from paperloom.session import new_path
 from paperloom.sources.readers import spread, table
 
 
@@ -86,19 +87,41 @@ _CELLS = """cells AS (SELECT vec_id, embedding, arg_max(label, (c, -label)) AS c
     round(list_cosine_similarity(q.embedding::DOUBLE[], centroid), 6) DESC, p.label) AS r FROM qv q, prototypes p) WHERE r <= 3)"""
 
 
-@query(
-    "e6_probe_top_k",
-    f"""WITH qv AS (SELECT b.item_id AS query_id, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id), {_PROTO}, {_CELLS}
+_PROBED = f"""WITH qv AS (SELECT b.item_id AS query_id, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id), {_PROTO}, {_CELLS}
     SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM
     (SELECT q.query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity FROM probes q JOIN cells c USING (cell))
-    QUALIFY rank <= 5""",
-)
+    QUALIFY rank <= 5"""
+
+
+@query("e6_probe_top_k", _PROBED)
 def _(spark, sf):
     cells = _prototypes(spark, sf).select(F.col("label").alias("cell"), F.col("embedding").alias("centroid"))
     corpus = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return vectors.probe_top_k(inputs.question_vectors(spark, sf), corpus, cells, 5, n_probe=3)
 
 
+@query("e6_stored_index", _PROBED)
+def _(spark, sf):
+    """An index of two thirds of the vectors, the rest appended twice (the second time changes nothing), then searched."""
+    cells = _prototypes(spark, sf).select(F.col("label").alias("cell"), F.col("embedding").alias("centroid"))
+    corpus, path = table(spark, sf, "embeddings").select("vec_id", "embedding"), new_path(spark, "cells")
+    cellindex.build(corpus.filter("vec_id % 3 <> 0"), cells, path)
+    for _ in range(2):
+        cellindex.append(corpus.filter("vec_id % 3 = 0"), path)
+    return cellindex.search(inputs.question_vectors(spark, sf), path, 5, n_probe=3)
+
+
+@query(
+    "e6_cell_sizes",
+    f"WITH {_PROTO}, {_CELLS[: _CELLS.index('probes AS')].rstrip().rstrip(',')} SELECT cell, count(*) AS vectors FROM cells GROUP BY cell",
+)
+def _(spark, sf):
+    cells = _prototypes(spark, sf).select(F.col("label").alias("cell"), F.col("embedding").alias("centroid"))
+    path = new_path(spark, "cells")
+    cellindex.build(table(spark, sf, "embeddings").select("vec_id", "embedding"), cells, path)
+    return cellindex.cell_sizes(spark, path)
+
+
 @query("e6_trained_cells")
 def _(spark, sf):
     corpus = table(spark, sf, "embeddings").select("vec_id", "embedding")

@@ -55,6 +55,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Steps:
+    """The intermediate tables of one loop.  ``keep`` writes the loop's result, and then all tables before it are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, "step")
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.parquet(path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out = cut_lineage(df)
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+        return out
+
+
 def one_row(*frames: DataFrame) -> DataFrame:
     """Single-row results side by side, by a union and one aggregate instead of a join without keys."""
     out = frames[0]

@@ -1,11 +1,13 @@
+import os
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from paperloom.functions import names as nm
-from paperloom.operators import evalcompare, evalscores, fusion, hooks, kg_build, kg_query, loop, qaset, vectors
-from paperloom.session import new_path
+from paperloom.operators import cellindex, evalcompare, evalscores, fusion, hooks, kg_build, kg_query, loop, qaset, vectors
+from paperloom.session import Steps, new_path
 from paperloom.streaming import jobs
 
 
@@ -140,8 +142,31 @@ def test_shortest_paths_match_breadth_first_search(spark):
     pairs = [(f"v{i}", f"v{j}") for i in range(0, 14, 2) for j in range(1, 14, 3)]
     want = {(a, b): all_paths(a, b, 4) for a, b in pairs}
     df = spark.createDataFrame([(a, b, "E") for a, b in edges], "source_id string, target_id string, type string")
-    got = kg_query.shortest_paths(spark.createDataFrame(pairs, "source_id string, target_id string"), df, 4)
-    assert {(x.source_id, x.target_id): x.path for x in got.collect()} == {k: p for k, p in want.items() if p}
+    for hub in (2, 1000):
+        got = kg_query.shortest_paths(spark.createDataFrame(pairs, "source_id string, target_id string"), df, 4, hub)
+        assert {(x.source_id, x.target_id): (x.length, x.path) for x in got.collect()} == {k: (len(p) - 1, p) for k, p in want.items() if p}
+
+
+def test_shortest_paths_through_a_hub_and_out_of_reach(spark):
+    n = 900
+    edges = [(f"v{i:03}", f"v{i + 1:03}", "E") for i in range(n - 1) if i != 600] + [("v450", f"v{i:03}", "E") for i in range(0, n, 3) if i < 600]
+    df = spark.createDataFrame([*edges, ("v001", "v001", "loop"), *edges[:5]], "source_id string, target_id string, type string")
+    pairs = [("v000", "v300"), ("v001", "v301"), ("v000", "v700"), ("v602", "v605"), ("v007", "v007"), ("nowhere", "v001"), ("nowhere", "nowhere"), (None, "v001"), ("v000", "v300")]
+    got = kg_query.shortest_paths(spark.createDataFrame(pairs, "source_id string, target_id string"), df, 5, 50)
+    assert {(x.source_id, x.target_id): x.path for x in got.collect()} == {
+        ("v000", "v300"): ["v000", "v450", "v300"], ("v001", "v301"): ["v001", "v000", "v450", "v300", "v301"],
+        ("v602", "v605"): ["v602", "v603", "v604", "v605"], ("v007", "v007"): ["v007"], ("nowhere", "nowhere"): ["nowhere"],
+    }
+    assert kg_query.shortest_paths(spark.createDataFrame([], "source_id string, target_id string"), df).count() == 0
+
+
+def test_steps_delete_what_is_no_longer_read(spark):
+    steps = Steps(spark)
+    first = steps.cut(spark.range(3))
+    path = steps.paths[0]
+    assert os.path.isdir(path)
+    kept = steps.keep(first.selectExpr("id + 1 AS id"))
+    assert not os.path.isdir(path) and sorted(r["id"] for r in kept.collect()) == [1, 2, 3]
 
 
 def greedy(rows):
@@ -339,16 +364,25 @@ def test_exact_quantiles_equal_numpy(spark):
         assert all(np.allclose(got[g], np.quantile(xs, shares)) for g, xs in groups.items())
 
 
-def test_changed_files_replace_their_passages(spark):
-    folder, target = new_path(spark, "corpus"), new_path(spark, "index")
-
-    def put(part, text):
-        spark.createDataFrame([(part, text)], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/part={part}")
-
-    def current():
-        return sorted((r["doc_id"], r["content"]) for r in jobs.index_changed_files(spark, folder, target).collect())
-
-    put(1, "first text of one"), put(2, "text of two")
-    assert current() == [(1, "first text of one"), (2, "text of two")] == current()
-    put(1, "other text of one")
-    assert current() == [(1, "other text of one"), (2, "text of two")]
+def test_stored_index_appends_prunes_and_finds_most_neighbours(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(12, 16))
+    points = centers[rng.integers(0, 12, 900)] + rng.normal(size=(900, 16)) * 0.35
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(5000, None), (5001, [])]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = corpus.filter("vec_id % 30 = 0").withColumnRenamed("vec_id", "query_id")
+    path = new_path(spark, "index")
+    cells = vectors.train_cells(corpus.filter("vec_id < 600"), 12)
+    cellindex.build(corpus.filter("vec_id < 600"), cells, path)
+    cellindex.append(corpus.filter("vec_id >= 500"), path)
+    assert sorted(r["vec_id"] for r in cellindex.stored(spark, path).collect()) == list(range(900))
+    sizes = {r["cell"]: r["vectors"] for r in cellindex.cell_sizes(spark, path).collect()}
+    assert len(sizes) == 12 and sum(sizes.values()) == 900
+    exact = {(r["query_id"], r["vec_id"]) for r in vectors.top_k(queries, corpus, 10).collect()}
+    for budget in (vectors.QUERY_BYTES, 16 * 8 * 5):
+        found = {(r["query_id"], r["vec_id"]) for r in cellindex.search(queries, path, 10, n_probe=4, budget=budget).collect()}
+        assert len(found & exact) / len(exact) >= 0.9
+    all_cells = {(r["query_id"], r["vec_id"]) for r in cellindex.search(queries, path, 10, n_probe=12).collect()}
+    assert all_cells == exact
+    plan = cellindex.pruned(spark, path, [3, 4])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell#\d+ IN \(3,4\)", plan)
