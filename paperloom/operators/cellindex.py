@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import vectors as vec
+from paperloom.session import cut_lineage
 
 FILE_BYTES = 128 << 20
 
@@ -85,7 +86,7 @@ def search(
 ) -> DataFrame:
     """(query id, vector id, similarity, rank): the k best of the ``n_probe`` nearest cells of every query, scored exactly."""
     spark = queries.sparkSession
-    visits = vec.nearest_cells(queries.filter(F.size(embedding) > 0).select(query_id, embedding), spark.read.parquet(f"{path}/cells"), n_probe, embedding)
+    visits = cut_lineage(vec.nearest_cells(queries.filter(F.size(embedding) > 0).select(query_id, embedding), spark.read.parquet(f"{path}/cells"), n_probe, embedding))
     kinds = {**dict(queries.dtypes), **dict(stored(spark, path).dtypes)}
     schema = f"{query_id} {kinds[query_id]}, {vector_id} {kinds[vector_id]}, similarity double"
     local = spark.createDataFrame([], schema)
@@ -107,6 +108,8 @@ def _visit(block: DataFrame, corpus: DataFrame, k: int, qid: str, vid: str, emb:
         best: dict[int, tuple] = {}
         for pdf in batches:
             for cell, group in pdf.groupby("cell"):
+                if int(cell) not in held.value:  # a part of a hot cell that no query fell into
+                    continue
                 got = vec._score_by_length(held.value[int(cell)][1], group[emb], group[vid].to_numpy(), k)
                 if got is not None:
                     best[cell] = got if cell not in best else vec._keep_best(*[np.concatenate(x) for x in zip(best[cell], got)], k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom import vocab as v
-from paperloom.operators import fusion, kg_query
+from paperloom.operators import fusion, gather, hooks, kg_query, listrank
 from paperloom.plans import inputs
 from paperloom.plans.graph_queries import _HITS, _PAIRS, _WORDS, _graph, _words
 from paperloom.plans.question_queries import TYPE_SQL
@@ -272,3 +272,99 @@ def _(spark, sf):
     for p in PROVIDERS[1:]:
         found = fusion.with_fallback(found, r.filter(F.col("source") == p), ["query_id"])
     return found
+
+
+# --- context sources and list rerankers --------------------------------------------------------------------------------
+def _web_text(questions: list[str]) -> list[str]:
+    """A stand-in provider that times out for some questions."""
+    if any(len(q) % 5 == 3 for q in questions):
+        raise TimeoutError("no answer")
+    return ["page about " + q for q in questions]
+
+
+def _gathered(spark, sf):
+    def near(asked):
+        found = inputs.contexts(spark, sf, 3).select("query_id", F.col("content").alias("passage"), "similarity")
+        return found.join(asked.select("query_id"), "query_id", "left_semi")
+
+    def web(asked):
+        return hooks.ask(asked, _web_text, "question", "content", wait=0.0)
+
+    def out_of_order(asked):
+        raise ConnectionError("no route")
+
+    sources = gather.Registry(
+        gather.Source("vector", near, columns={"content": "passage"}),
+        gather.Source("web", web, needs=F.col("query_id") % 2 == 0, error="content_error"),
+        gather.Source("graph", out_of_order, needs=F.col("query_id") % 7 == 0),
+    )
+    return sources.gather(_questions(spark, sf))
+
+
+_ASKED = "SELECT item_id AS query_id, question FROM questions"
+_NEAR = "SELECT query_id, content, similarity FROM contexts WHERE rank <= 3"
+
+
+@query(
+    "p1_gathered_contexts",
+    with_inputs(
+        """SELECT query_id, 'vector' AS source, md5(content) AS content_md5, similarity FROM near
+        UNION ALL SELECT query_id, 'web', md5('page about ' || question), NULL FROM asked WHERE query_id % 2 = 0 AND length(question) % 5 <> 3""", asked=_ASKED, near=_NEAR,
+    ),
+)
+def _(spark, sf):
+    contexts, _ = _gathered(spark, sf)
+    return contexts.select("query_id", "source", F.md5("content").alias("content_md5"), "similarity")
+
+
+@query(
+    "p1_source_outcomes",
+    with_inputs(
+        """SELECT a.query_id, 'vector' AS source, CASE WHEN n > 0 THEN 'found' ELSE 'empty' END AS outcome, coalesce(n, 0) AS results, CAST(NULL AS VARCHAR) AS reason
+        FROM asked a LEFT JOIN (SELECT query_id, count(*) AS n FROM near GROUP BY query_id) USING (query_id)
+        UNION ALL SELECT query_id, 'web', CASE WHEN length(question) % 5 = 3 THEN 'failed' ELSE 'found' END, CASE WHEN length(question) % 5 = 3 THEN 0 ELSE 1 END,
+        CASE WHEN length(question) % 5 = 3 THEN 'TimeoutError: no answer' END FROM asked WHERE query_id % 2 = 0
+        UNION ALL SELECT query_id, 'graph', 'failed', 0, 'ConnectionError: no route' FROM asked WHERE query_id % 7 = 0""", asked=_ASKED, near=_NEAR,
+    ),
+)
+def _(spark, sf):
+    return _gathered(spark, sf)[1]
+
+
+def _list_model(question: str, texts: list[str], top_n: int) -> list[tuple[int, float]]:
+    """A stand-in reranker: scores by length, with answers out of range, and failures."""
+    if len(question) % 7 == 0:
+        raise RuntimeError("rate limit")
+    found = [(i, len(t) % 97 / 97) for i, t in enumerate(texts)] + [(len(texts) + 3, 9.9), (-1, 5.0)]
+    return sorted(found, key=lambda x: (-x[1], x[0]))[: top_n + 2]
+
+
+_RERANKED = """SELECT c.query_id, doc_id, rank, length(content) % 97 / 97.0::DOUBLE AS score, length(question) % 7 = 0 AS fails,
+    row_number() OVER (PARTITION BY c.query_id ORDER BY length(content) % 97 DESC, rank) AS r FROM contexts c JOIN questions ON item_id = c.query_id"""
+
+
+def _list_ranked(spark, sf):
+    return listrank.rerank_lists(inputs.contexts(spark, sf), _questions(spark, sf), _list_model, v.RERANK_TOP_N, block=9, tries=1)
+
+
+@query(
+    "p3_rerank_lists",
+    with_inputs(
+        """SELECT query_id, doc_id, CASE WHEN fails THEN rank ELSE r END AS new_rank, round_even(CASE WHEN fails THEN 1.0::DOUBLE - (rank - 1) * 0.1::DOUBLE ELSE score END, 6) AS rerank_score
+        FROM reranked WHERE fails OR r <= 8""", reranked=_RERANKED,
+    ),
+)
+def _(spark, sf):
+    done, _ = _list_ranked(spark, sf)
+    return done.select("query_id", "doc_id", "new_rank", F.bround("rerank_score", 6).alias("rerank_score"))
+
+
+@query(
+    "p3_rerank_info",
+    with_inputs(
+        """SELECT query_id, CASE WHEN fails THEN 'similarity_fallback' ELSE 'reranking' END AS method, count(*) AS original_count, CASE WHEN fails THEN 0 ELSE least(count(*), 8) END AS reranked_count,
+        CASE WHEN fails THEN 0 ELSE 2 * CAST(ceil(count(*) / 9) AS BIGINT) END AS ignored, CASE WHEN fails THEN 'RuntimeError: rate limit' END AS reason FROM reranked GROUP BY query_id, fails""", reranked=_RERANKED,
+    ),
+)
+def _(spark, sf):
+    return _list_ranked(spark, sf)[1]
