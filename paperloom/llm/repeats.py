@@ -256,14 +256,14 @@ def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc, dh, start, end) in bytes: their union covers every byte of a repeat, and no other, of rows (doc, dh, text)."""
     rows = _long_texts(rows, least)
-    repeated = bit_table(seed_counts(rows, least).filter("c > 1"))
+    repeated = bit_table(cut_lineage(seed_counts(rows, least).filter("c > 1").select("key")))
     found = segments(rows, repeated, least)
     first = cut_lineage(firsts(found))
     seeds = first.groupBy("key").agg(F.count("*").alias("strings"), F.sum("size").alias("bytes")).filter("strings > 1")
     seeds = cut_lineage(seeds)
     shared = first.join(seeds.filter(F.col("bytes") <= SEED_BYTES).select("key"), "key", "left_semi")
     places = shared.select(F.col("first.dh").alias("dh"), F.col("first.pos").alias("pos"))
-    strings = segments(rows, bit_table(_identities(places), "id"), least, with_text=True)
+    strings = segments(rows, bit_table(cut_lineage(_identities(places)), "id"), least, with_text=True)
     spans = later_places(found, first).unionByName(in_bins(strings, least))
     hot = seeds.filter(F.col("bytes") > SEED_BYTES).select("key")
     if hot.limit(1).count():
