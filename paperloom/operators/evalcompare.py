@@ -169,14 +169,23 @@ def zero_rollups(zeros: DataFrame) -> DataFrame:
     return zeros.groupingSets([["mode"], ["category"], ["metric"], []], "mode", "category", "metric").agg(F.count("*").alias("zeros"), F.count_distinct("question_id").alias("questions"))
 
 
-def exact_quantiles(hist: DataFrame, by: list[str], shares: tuple[float, ...], bins: int = 256) -> DataFrame:
-    """(by, quantiles): linear quantiles of a histogram (by, x, n).
+def _bin_of(x: Column, cuts: Column, bins: int) -> Column:
+    """How many of the sorted cut points lie below x: first among every ``width``-th of them, then among the next ``width``."""
+    width = max(1, int(bins**0.5))
+    marks = [i for i in range(width - 1, bins - 1, width)]
+    coarse = F.size(F.filter(F.array(*[F.get(cuts, F.lit(i)) for i in marks]), lambda c: c < x)) if marks else F.lit(0)
+    return coarse * width + F.size(F.filter(F.slice(cuts, coarse * width + 1, F.lit(width)), lambda c: c < x))
 
-    Values are dealt into bins by approximate cut points; counts per bin tell in which bins the wanted ranks lie, and only
-    the values of those are numbered.  So no task holds or sorts all values of a group.
-    """
-    cuts = hist.groupBy(*by).agg(F.percentile_approx("x", [i / bins for i in range(1, bins)], 20 * bins).alias("_cuts"), F.sum("n").alias("_total"))
-    binned = hist.join(cuts, by).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("x")))).drop("_cuts")
+
+def _binned(hist: DataFrame, by: list[str], bins: int, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(groups, binned): per group the number of values and ``more``; the histogram with the bin of every value, written once."""
+    cuts = F.percentile_approx("x", [i / bins for i in range(1, bins)], 20 * bins).alias("_cuts")
+    groups = cut_lineage(hist.groupBy(*by).agg(cuts, F.sum("n").alias("_total"), *more))
+    binned = hist.join(groups.select(*by, "_cuts", "_total"), by)
+    return groups.drop("_cuts"), cut_lineage(binned.withColumn("_bin", _bin_of(F.col("x"), F.col("_cuts"), bins)).drop("_cuts"))
+
+
+def _quantiles(binned: DataFrame, by: list[str], shares: tuple[float, ...]) -> DataFrame:
     per_bin = binned.groupBy(*by, "_total", "_bin").agg(F.sum("n").alias("_in"))
     upto = F.sum("_in").over(Window.partitionBy(*by).orderBy("_bin"))
     places = F.array(*[F.lit(q) * (F.col("_total") - 1) for q in shares])
@@ -197,20 +206,30 @@ def exact_quantiles(hist: DataFrame, by: list[str], shares: tuple[float, ...], b
     return found.select(*by, F.transform(places, linear).alias("quantiles"))
 
 
-def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+def exact_quantiles(hist: DataFrame, by: list[str], shares: tuple[float, ...], bins: int = 256) -> DataFrame:
+    """(by, quantiles): linear quantiles of a histogram (by, x, n).
+
+    Values are dealt into bins by approximate cut points; counts per bin tell in which bins the wanted ranks lie, and only
+    the values of those are numbered.  So no task holds or sorts all values of a group.
+    """
+    return _quantiles(_binned(hist, by, bins)[1], by, shares)
+
+
+def box_stats(df: DataFrame, value: str, by: list[str], bins: int = 256) -> DataFrame:
     """Quartiles (linear), mean and outliers beyond 1.5 interquartile ranges; NULL counts as 0.
 
     Equal values are counted first; the exact quartiles are then picked from that histogram by rank.
     """
     hist = df.groupBy(*by, F.coalesce(no_nan(F.col(value).cast("double")), F.lit(0.0)).alias("x")).agg(F.count("*").alias("n"))
-    hist = cut_lineage(hist)
-    q = hist.groupBy(*by).agg(
-        (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("values"), F.min("x").alias("low"), F.max("x").alias("high"),
-    ).join(exact_quantiles(hist, by, (0.25, 0.5, 0.75)).withColumnRenamed("quantiles", "q"), by)
-    q = q.select(*by, "values", "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high", F.bround("mean", 6).alias("mean"))
+    mean = (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean")
+    groups, binned = _binned(cut_lineage(hist), by, bins, mean, F.min("x").alias("low"), F.max("x").alias("high"))
+    q = groups.join(_quantiles(binned, by, (0.25, 0.5, 0.75)).withColumnRenamed("quantiles", "q"), by).select(
+        *by, F.col("_total").alias("values"), "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high", F.bround("mean", 6).alias("mean")
+    )
+    q = cut_lineage(q)  # one row per group
     iqr = F.col("q3") - F.col("q1")
     out = (F.col("x") < F.col("q1") - iqr * 1.5) | (F.col("x") > F.col("q3") + iqr * 1.5)
-    outliers = hist.join(q.select(*by, "q1", "q3"), by).groupBy(*by).agg(F.sum(F.when(out, F.col("n")).otherwise(0)).alias("outliers"))
+    outliers = binned.join(q.select(*by, "q1", "q3"), by).groupBy(*by).agg(F.sum(F.when(out, F.col("n")).otherwise(0)).alias("outliers"))
     return q.join(outliers, by)
 
 

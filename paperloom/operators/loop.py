@@ -11,7 +11,8 @@ from paperloom import vocab as v
 from paperloom.functions.questions import answer_expectations
 from paperloom.functions.scores import clamp, stable_round
 from paperloom.functions.tagging import find_all
-from paperloom.functions.text import any_of, ci, has_any, strip
+from paperloom.functions.text import any_of, ci, content_hash, has_any, strip
+from paperloom.operators.vectors import cosine, embed_once
 from paperloom.session import cut_lineage
 
 Q = "query_id"
@@ -19,13 +20,36 @@ Q = "query_id"
 
 # --- scores --------------------------------------------------------------------------------------------------------
 def relevance(contexts: DataFrame, first: int = 10, default: float = 0.5) -> DataFrame:
-    """Mean similarity (else rerank score) of the first contexts; the default where none has a score."""
+    """Mean similarity (else rerank score) of the first contexts; the default where none has a score.
+
+    Contexts without a score count only after ``scored_by_cosine``.
+    """
     value = F.coalesce("similarity", "rerank_score")
     ranked = contexts.withColumn("_r", F.row_number().over(Window.partitionBy(Q).orderBy("rank")))
     mean = F.avg(F.when(F.col("_r") <= first, value))
     return ranked.groupBy(Q).agg(F.coalesce(mean, F.lit(default)).alias("relevance"))
 
 
+def scored_by_cosine(contexts: DataFrame, questions: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]], first: int = 10, question: str = "question") -> DataFrame:
+    """``contexts`` with a computed similarity where one of the first contexts has no score at all.
+
+    Vectors are made on demand: once per distinct text, for unscored contexts with content and for the questions that have
+    some.  Where a vector cannot be made the score stays NULL.
+    """
+    ranked = contexts.withColumn("_r", F.row_number().over(Window.partitionBy(Q).orderBy("rank")))
+    bare = F.coalesce("similarity", "rerank_score").isNull() & (F.col("_r") <= first) & (F.coalesce("content", F.lit("")) != "")
+    open_ = ranked.filter(bare).select(Q, "rank", "content").join(questions.select(Q, F.col(question).alias("_q")), Q)
+    texts = open_.select(F.col("content").alias("text")).unionByName(open_.select(F.col("_q").alias("text")))
+    made = embed_once(texts.distinct(), embed_fn).filter("embedding IS NOT NULL").select("content_hash", "embedding")
+    made = cut_lineage(made)  # the model is asked once
+    both = (
+        open_.select(Q, "rank", content_hash(F.col("content")).alias("_c"), content_hash(F.col("_q")).alias("_h"))
+        .join(made.toDF("_c", "_a"), "_c").join(made.toDF("_h", "_b"), "_h")
+    )
+    scored = both.select(Q, "rank", cosine(F.col("_a"), F.col("_b")).alias("_s"))
+    return contexts.join(scored, [Q, "rank"], "left").withColumn("similarity", F.coalesce("similarity", F.when(F.col("rerank_score").isNull(), F.col("_s")))).drop("_s")
+
+
 def confidence(contexts: DataFrame) -> DataFrame:
     """Mean of source diversity (five sources are full), mean score where there is one, and diversity again."""
     diversity = F.least(F.count_distinct("source") / 5, F.lit(1.0))

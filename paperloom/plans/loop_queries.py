@@ -9,6 +9,7 @@ from paperloom.operators import loop, vectors
 from paperloom.plans import inputs
 from paperloom.plans.question_queries import EXPECT_SQL
 from paperloom.plans.registry import query
+from paperloom.plans.vector_queries import length_vectors
 from paperloom.plans.sqlkit import concat_lists, contains_any, find_all, joined, s, with_inputs
 from paperloom.session import cut_lineage
 from paperloom.sources.readers import table
@@ -30,6 +31,27 @@ def _(spark, sf):
     return loop.relevance(inputs.contexts(spark, sf)).select("query_id", F.round("relevance", 9).alias("relevance"))
 
 
+_BARE = """SELECT query_id, rank, CASE WHEN doc_id % 3 <> 0 THEN similarity END AS similarity, CASE WHEN doc_id % 3 <> 0 THEN rerank_score END AS rerank_score,
+    content, question, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM contexts JOIN questions ON item_id = query_id"""
+_SIGNS = ", ".join(f"(length({{0}}) - length(replace({{0}}, {x}, '')))::DOUBLE" for x in ("'e'", "'a'", "chr(10)"))
+
+
+@query(
+    "j1_computed_relevance",
+    with_inputs(
+        f"""SELECT query_id, round(coalesce(avg(CASE WHEN r <= 10 THEN coalesce(similarity, rerank_score, CASE WHEN content <> '' THEN list_cosine_similarity([length(content)::DOUBLE, {_SIGNS.format('content')}],
+        [length(question)::DOUBLE, {_SIGNS.format('question')}]) END) END), 0.5), 9) AS relevance FROM bare GROUP BY query_id""", bare=_BARE,
+    ),
+)
+def _(spark, sf):
+    """A third of the contexts have no score; theirs is the cosine of the question and the content."""
+    c = inputs.contexts(spark, sf)
+    bare = c.withColumns({x: F.when(F.col("doc_id") % 3 != 0, F.col(x)) for x in ("similarity", "rerank_score")})
+    questions = inputs.questions(spark, sf).withColumnRenamed("item_id", "query_id")
+    scored = loop.scored_by_cosine(bare, questions, length_vectors)
+    return loop.relevance(scored).select("query_id", F.round("relevance", 9).alias("relevance"))
+
+
 _CONF = "(least(count(DISTINCT source) / 5, 1.0) * 2 + avg(coalesce(rerank_score, similarity))) / 3"
 
 

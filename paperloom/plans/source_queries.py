@@ -70,6 +70,32 @@ def _(spark, sf):
     return readers.load_questions(spark, path)
 
 
+@query(
+    "a5_questions_of_any_encoding",
+    r"""SELECT CAST(item_id AS VARCHAR) AS question_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN '效率 ' ELSE 'é ' END || CASE WHEN item_id % 3 = 0 THEN '' ELSE regexp_replace(text, '[^\x00-\x7f]', '?', 'g') END AS question,
+    CASE WHEN item_id % 3 = 1 THEN '答案 ' || item_id ELSE 'N/A' END AS expected_answer, 'N/A' AS paper_reference FROM benchmark""",
+)
+def _(spark, sf):
+    """Three files: UTF-8, GBK with answers and other headers, and Latin-1."""
+    path, i = new_path(spark, "questions"), F.col("item_id")
+    b = table(spark, sf, "benchmark")
+    plain = F.regexp_replace("text", r"[^\x00-\x7f]", "?")
+    parts = {
+        "UTF-8": b.filter(i % 3 == 0).select(i.alias("Question ID"), F.col("text").alias("Validation Question")),
+        "GBK": b.filter(i % 3 == 1).select(F.concat(F.lit("答案 "), i.cast("string")).alias("Expected Answer"), F.concat(F.lit("效率 "), plain).alias("Question"), i.alias("ID")),
+        "ISO-8859-1": b.filter(i % 3 == 2).select(i.alias("question_id"), F.concat(F.lit("é "), plain).alias("Research_Question")),
+    }
+    charsets = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(charsets, "false")
+    spark.conf.set(charsets, "true")  # only to make files in an encoding that Spark does not write otherwise
+    try:
+        for encoding, rows in parts.items():
+            rows.write.mode("append").option("header", "true").option("escape", '"').option("encoding", encoding).csv(path)
+    finally:
+        spark.conf.set(charsets, before)
+    return readers.load_questions(spark, path).select("question_id", "question", "expected_answer", "paper_reference")
+
+
 @query("a6_sample_questions", "SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 5")
 def _(spark, sf):
     return readers.select_tests(table(spark, sf, "benchmark"), "first_n", "item_id", 5)

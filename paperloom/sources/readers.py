@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from paperloom import vocab as v
 from paperloom.functions.text import blank_to_null, clean_document_text, float_or_null, split_reference, strip
+from paperloom.session import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,9 +97,57 @@ def standard_questions(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["question"])
 
 
-def load_questions(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    df = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("encoding", encoding).csv(path)
-    return standard_questions(df)
+def _encoding(data: bytes) -> str:
+    """The first of ``ENCODINGS`` that fits all bytes."""
+    for name in ENCODINGS:
+        try:
+            data.decode(name)
+            return name
+        except UnicodeDecodeError:
+            continue
+    raise AssertionError("the last encoding fits all bytes")
+
+
+@F.pandas_udf(T.StructType([T.StructField("encoding", T.StringType()), T.StructField("header", T.StringType())]))
+def _encoding_and_header(raw: pd.Series) -> pd.DataFrame:
+    names = [_encoding(x) for x in raw]
+    first = [(x.decode(n).splitlines() or [""])[0] for x, n in zip(raw, names)]
+    return pd.DataFrame({"encoding": names, "header": first})
+
+
+def question_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding, header) of every file of questions; one encoding fits a file as a whole."""
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    return files.select("path", _encoding_and_header("content").alias("e")).select("path", "e.encoding", "e.header")
+
+
+def load_questions(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Questions of one or many CSV files.
+
+    Without a given encoding every file's own is found from its bytes.  Files in another one than UTF-8 are written anew in
+    UTF-8, each as one file.  Files of one header are then read together, and the parts are united by the standard names of
+    their columns.  One row per file reaches the driver.
+    """
+    def read(paths: str | list[str], **options: str) -> DataFrame:
+        found = spark.read.options(header="true", multiLine="true", escape='"', **options).csv(paths)
+        return standard_questions(found)
+
+    if encoding:
+        return read(path, encoding=encoding)
+    groups: dict[tuple[bool, str], list[str]] = {}
+    for r in question_files(spark, path).orderBy("path").collect():
+        groups.setdefault((r["encoding"] == ENCODINGS[0], r["header"]), []).append(r["path"])
+    if not groups:
+        raise ValueError(f"no questions in {path}")
+    out = None
+    for (plain, _), paths in groups.items():
+        if not plain:
+            rows = spark.read.format("binaryFile").load(paths).select(decode_text(F.col("content")).alias("value"))
+            paths = new_path(spark, "questions")
+            rows.write.option("maxRecordsPerFile", 1).text(paths)
+        part = read(paths)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def with_reference_parts(df: DataFrame) -> DataFrame:
