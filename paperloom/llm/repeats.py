@@ -287,12 +287,15 @@ def without_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", le
     """(doc, n_bytes, spans, kept) of every row: the maximal removed runs (start, end) in bytes and the bytes that stay."""
     rows = _input(docs, doc, text)
     kind = rows.schema["doc"].dataType.simpleString()
-    spans = repeated_spans(rows, least).groupBy(*PLACE).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    copy = F.row_number().over(Window.partitionBy(*PLACE).orderBy("text"))
-    numbered = rows.withColumn("copy", copy)
-    both = numbered.join(
-        spans.withColumnsRenamed({"doc": "at_doc", "dh": "at_dh"}), F.col("doc").eqNullSafe(F.col("at_doc")) & (F.col("dh") == F.col("at_dh")), "left"
-    )
+    # without nulls in the keys, grouping, numbering and joining share one shuffle of either side
+    keys = ["none", "known", "dh"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"none": F.col("doc").isNull(), "known": F.coalesce("doc", F.lit(0).cast(kind))})
+
+    spans = keyed(repeated_spans(rows, least)).groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    numbered = keyed(rows).withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("text")))
+    both = numbered.join(spans, keys, "left")
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.octet_length("text").cast("bigint").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     gone = F.when((F.col("copy") > 1) & (F.octet_length("text") >= least), whole).otherwise(F.coalesce("spans", none))
