@@ -6,14 +6,17 @@ Windows run per question over the few contexts that retrieval returned for it.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom import vocab as v
 from paperloom.functions.questions import question_type
 from paperloom.functions.text import close_formula_percent, has_any, literal_map, strip
 from paperloom.operators.kg_query import top_per
-from paperloom.session import cut_lineage
+from paperloom.operators.components import connected
+from paperloom.session import Steps
 
 Q = "query_id"
 
@@ -179,28 +182,75 @@ def citations(contexts: DataFrame) -> DataFrame:
 
 
 # --- results of several providers ----------------------------------------------------------------------------------------
-def drop_shared_identifiers(results: DataFrame, row: str, identifiers: str, group: list[str], order: list[str]) -> DataFrame:
+def drop_shared_identifiers(
+    results: DataFrame, row: str, identifiers: str, group: list[str], order: list[str], rounds: int = 3, most_rows: int = 200_000
+) -> DataFrame:
     """Keep a result unless an earlier *kept* result of its group shares one of its identifiers.
 
-    Taken one by one this is sequential.  Here every round keeps the rows that come first for all of their identifiers
-    among the rows still open, drops the open rows that share one with a kept row, and repeats; each round decides at
-    least the first open row of every group, and in practice nearly all, without bringing a group together.
-    Results without identifiers fall out.
+    A round keeps the rows that come first for all of their identifiers among the rows still open and drops the open rows
+    that share one with a kept row.  Popular identifiers are settled so, but a chain, where each result shares one
+    identifier with the next, would take as many rounds as it is long.  So after ``rounds`` rounds the rest is split into the connected
+    components of its conflicts, and every component of up to ``most_rows`` rows is finished by the sequential rule in a
+    task of its own.  A greater component goes on by rounds.  Results without identifiers fall out.
     """
+    steps = Steps(results.sparkSession)
     key = F.struct(*order, *([] if row in order else [row]))
-    ids = results.select(*group, row, key.alias("_o"), F.explode_outer(F.array_distinct(identifiers)).alias("_id")).filter(F.col("_id").isNotNull())
-    open_ids = cut_lineage(ids)
-    kept = None
+    node = F.xxhash64(*group, row)
+    ids = results.select(*group, row, key.alias("_o"), node.alias("_n"), F.explode_outer(F.array_distinct(identifiers)).alias("_id")).filter(F.col("_id").isNotNull())
+    open_ids, kept, done = steps.cut(ids), [], 0
     while not open_ids.isEmpty():
-        first = open_ids.groupBy(*group, "_id").agg(F.min("_o").alias("_first"))
-        judged = open_ids.join(first, [*group, "_id"])
-        winners = judged.groupBy(*group, row).agg(F.bool_and(F.col("_o") == F.col("_first")).alias("_wins")).filter("_wins").drop("_wins")
-        winners = cut_lineage(winners)
-        kept = winners if kept is None else kept.unionByName(winners)
-        taken = open_ids.join(winners, [*group, row], "left_semi").select(*group, "_id").distinct()
-        losers = open_ids.join(taken, [*group, "_id"], "left_semi").select(*group, row).distinct()
-        open_ids = cut_lineage(open_ids.join(losers, [*group, row], "left_anti"))
-    return results.filter(F.lit(False)) if kept is None else results.join(kept, [*group, row], "left_semi")
+        if done and done % rounds == 0:
+            settled, open_ids = _finish_small(steps, open_ids, row, group, most_rows)
+            kept.append(settled)
+        else:
+            winners, open_ids = _round(steps, open_ids, row, group)
+            kept.append(winners)
+        done += 1
+    if not kept:
+        return results.filter(F.lit(False))
+    every = kept[0]
+    for k in kept[1:]:
+        every = every.unionByName(k)
+    return results.join(steps.keep(every), [*group, row], "left_semi")
+
+
+def _round(steps: Steps, open_ids: DataFrame, row: str, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    first = open_ids.groupBy(*group, "_id").agg(F.min("_o").alias("_first"))
+    judged = open_ids.join(first, [*group, "_id"])
+    winners = judged.groupBy(*group, row).agg(F.bool_and(F.col("_o") == F.col("_first")).alias("_wins")).filter("_wins").drop("_wins")
+    winners = steps.cut(winners)
+    taken = open_ids.join(winners, [*group, row], "left_semi").select(*group, "_id").distinct()
+    losers = open_ids.join(taken, [*group, "_id"], "left_semi").select(*group, row).distinct()
+    return winners, steps.cut(open_ids.join(losers, [*group, row], "left_anti"))
+
+
+def _finish_small(steps: Steps, open_ids: DataFrame, row: str, group: list[str], most_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(kept rows of the small components, open rows of the others).
+
+    Rows are joined with the first row of each of their identifiers, so a popular identifier is a star and no clique.
+    Equal hashes of two rows only join their components, which changes no decision.
+    """
+    centre = open_ids.groupBy(*group, "_id").agg(F.min("_n").alias("_to"))
+    links = open_ids.join(centre, [*group, "_id"]).select("_n", "_to")
+    roots = connected(links).toDF("_n", "_root")
+    parts = steps.cut(open_ids.join(roots, "_n", "left").withColumn("_root", F.coalesce("_root", "_n")))
+    small = parts.groupBy("_root").agg(F.count("*").alias("_rows")).filter(F.col("_rows") <= most_rows).select("_root")
+    columns = [*group, row]
+    schema = T.StructType([parts.schema[c] for c in columns])
+
+    def sequential(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_k=[tuple(o.values()) if isinstance(o, dict) else tuple(o) for o in pdf["_o"]])
+        seen, out = set(), []
+        for _, rows in sorted(pdf.groupby([*columns, "_k"], dropna=False), key=lambda x: x[0][-1]):
+            found = {(*[rows[c].iloc[0] for c in group], i) for i in rows["_id"]}
+            if not found & seen:
+                seen |= found
+                out.append(rows.iloc[0][columns])
+        return pd.DataFrame(out, columns=columns)
+
+    settled = parts.join(small, "_root", "left_semi").groupBy("_root").applyInPandas(sequential, schema)
+    rest = parts.join(small, "_root", "left_anti").drop("_root")
+    return steps.cut(settled), steps.cut(rest.select(*open_ids.columns))
 
 
 def drop_repeated_urls(results: DataFrame, group: list[str], order: list[str], url: str = "url", title: str = "title") -> DataFrame:

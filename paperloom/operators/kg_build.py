@@ -7,7 +7,7 @@ one huge row or one task's list: every table is built by plain aggregates that c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from paperloom import vocab as v
@@ -18,11 +18,22 @@ from paperloom.session import cut_lineage, one_row
 
 
 # --- extraction requests and responses ---------------------------------------------------------------------------
-def extraction_requests(passages: DataFrame, template: str, content: str = "content", section: str = "section_type") -> DataFrame:
-    """Passages worth sending to a model, with the filled prompt (``{text}`` stands for the passage)."""
+def extraction_requests(
+    passages: DataFrame, template: str, content: str = "content", section: str = "section_type", counts: Observation | None = None
+) -> DataFrame:
+    """Passages worth sending to a model, with the filled prompt (``{text}`` stands for the passage).
+
+    ``counts`` takes, in the pass that reads the passages, their number and how many fell out as references or as too short.
+    """
     text = F.col(content)
-    fit = (F.length(strip(text)) >= v.MIN_EXTRACT_CHARS) & ~is_reference_content(text, F.col(section))
-    return passages.filter(fit).withColumn("prompt", F.replace(F.lit(template), F.lit("{text}"), text))
+    reference, short = is_reference_content(text, F.col(section)), F.length(strip(text)) < v.MIN_EXTRACT_CHARS
+    marked = passages.withColumns({"_reference": reference, "_short": short})
+    if counts is not None:
+        marked = marked.observe(
+            counts, F.count(F.lit(1)).alias("passages"), F.count_if(F.col("_reference")).alias("reference_passages_filtered"),
+            F.count_if(F.col("_short") & ~F.col("_reference")).alias("short_passages_filtered"),
+        )
+    return marked.filter(~F.col("_reference") & ~F.col("_short")).drop("_reference", "_short").withColumn("prompt", F.replace(F.lit(template), F.lit("{text}"), text))
 
 
 def entity_prompt_line(name: Column, entity_type: Column, properties: Column, description: Column, description_chars: int | None = None) -> Column:
@@ -138,8 +149,8 @@ def valid_relations(parsed: DataFrame, entities: DataFrame, passage: str = "pass
     return rows.join(source, [passage, "source_name"]).join(target, [passage, "target_name"])
 
 
-def extraction_stats(parsed: DataFrame, entities: DataFrame, relations: DataFrame, response: str = "response") -> DataFrame:
-    """Totals, traced shares and failures as one row.
+def extraction_stats(parsed: DataFrame, entities: DataFrame, relations: DataFrame, response: str = "response", filtered: dict[str, int] | None = None) -> DataFrame:
+    """Totals, traced shares and failures as one row; ``filtered`` are the counts that ``extraction_requests`` has observed.
 
     ``extraction_failures`` are answers that stay unreadable, ``failed_calls`` rows for which the model gave none.
     """
@@ -154,9 +165,15 @@ def extraction_stats(parsed: DataFrame, entities: DataFrame, relations: DataFram
     )
     r = relations.agg(
         F.count("*").alias("total_relations"), F.count_if(F.col("type") == "PREDICTS").alias("prediction_relations"),
+        F.count_if(_present(F.col("text_snippet"))).alias("relations_with_traceability"),
     )
-    rate = F.when(F.col("total_entities") > 0, F.col("entities_with_traceability") / F.col("total_entities") * 100).otherwise(0.0)
-    return one_row(p, e, r).withColumn("entity_traceability_rate", rate)
+
+    def rate(kind: str) -> Column:
+        total = F.col(f"total_{kind}")
+        return F.when(total > 0, F.col(f"{kind}_with_traceability") / total * 100).otherwise(0.0)
+
+    out = one_row(p, e, r).withColumns({"entity_traceability_rate": rate("entities"), "relation_traceability_rate": rate("relations")})
+    return out.withColumns({name: F.lit(n).cast("bigint") for name, n in (filtered or {}).items()})
 
 
 # --- merging -------------------------------------------------------------------------------------------------------

@@ -131,6 +131,36 @@ def status_counts(checked: DataFrame, items: str) -> DataFrame:
     return checked.groupBy("status").agg(F.count("*").alias("files"), F.sum(n).alias("items"))
 
 
+def stages(everything: DataFrame, checked: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, stage, <stage>_status, ...): every item at its furthest stage.
+
+    ``checked`` holds, in the order of the stages, tables (key, status).  They meet by full outer joins, so an item that
+    only a later stage knows is located as well; an item of no stage is ``waiting``, and the stage behind the furthest good
+    one is where it ``failed`` or is ``open``.
+    """
+    out = everything.select(key).distinct()
+    for name, files in checked.items():
+        # the best file counts where an item has several
+        best = files.groupBy(key).agg(F.min_by("status", F.when(F.col("status") == "ok", 0).otherwise(1)).alias(f"{name}_status"))
+        out = out.join(best, key, "full_outer")
+    furthest = F.lit("waiting")
+    for name in checked:
+        furthest = F.when(F.col(f"{name}_status") == "ok", name).otherwise(furthest)
+    return out.withColumn("stage", furthest)
+
+
+def stage_counts(located: DataFrame, names: list[str]) -> DataFrame:
+    """(stage, items, done, failed, open): how many items stand at a stage, and per stage how many passed it, failed at it or have no file of it."""
+    total = located.agg(*[f.alias(f"{n}_{k}") for n in names for k, f in (
+        ("items", F.count_if(F.col("stage") == n)), ("done", F.count_if(F.col(f"{n}_status") == "ok")),
+        ("failed", F.count_if(F.col(f"{n}_status") != "ok")), ("open", F.count_if(F.col(f"{n}_status").isNull())),
+    )], F.count_if(F.col("stage") == "waiting").alias("waiting_items"))
+    rows = [F.struct(F.lit(n).alias("stage"), *[F.col(f"{n}_{k}").alias(k) for k in ("items", "done", "failed", "open")]) for n in names]
+    none = F.lit(None).cast("bigint")
+    rows.append(F.struct(F.lit("waiting").alias("stage"), F.col("waiting_items").alias("items"), none.alias("done"), none.alias("failed"), none.alias("open")))
+    return total.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def missing_categories(pairs: DataFrame, categories: list[str] = v.QA_CATEGORIES) -> DataFrame:
     expected = pairs.sparkSession.createDataFrame([(c,) for c in categories], "category string")
     return expected.join(pairs.select("category").distinct(), "category", "left_anti")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -379,3 +380,23 @@ def build_metadata(documents: DataFrame, passages: DataFrame, text: str = "text"
     d = d.withColumn("config_fingerprint", F.lit(config_fingerprint(config or {}))).withColumn("build_seconds", F.lit(seconds).cast("double"))
     p = passages.agg(F.count("*").alias("passages"), F.count_distinct("doc_id").alias("documents_with_passages"))
     return one_row(d, p)
+
+
+def write_collection(embedded: DataFrame, documents: DataFrame, path: str, text: str = "text", embedding: str = "embedding", config: dict | None = None) -> DataFrame:
+    """Write a vector table and return its metadata as one row.
+
+    Chunks, vectors and their dimension are observed in the pass that writes them.  ``documents`` gives the number of files
+    and the fingerprint of their contents; ``built_at`` and ``build_seconds`` are those of this write.
+    """
+    began, seen = time.time(), Observation()
+    size = F.when(F.size(embedding) > 0, F.size(embedding))
+    counted = embedded.observe(
+        seen, F.count(F.lit(1)).alias("chunks"), F.count(size).alias("vectors"), F.min(size).alias("min_dimension"), F.max(size).alias("dimension")
+    )
+    counted.write.mode("overwrite").parquet(path)
+    counts, done = seen.get, time.time()
+    content = documents.select("doc_id", F.md5(text).alias("content_md5"))
+    return corpus_fingerprint(content, ["doc_id", "content_md5"]).select(
+        F.col("files").alias("documents"), *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("chunks", "vectors", "min_dimension", "dimension")], "fingerprint",
+        F.lit(config_fingerprint(config or {})).alias("config_fingerprint"), F.timestamp_seconds(F.lit(done)).alias("built_at"), F.lit(done - began).alias("build_seconds"),
+    )

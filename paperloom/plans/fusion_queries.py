@@ -224,6 +224,14 @@ def _(spark, sf):
     return fusion.drop_shared_identifiers(r.withColumn("ids", ids), "page_id", "ids", ["query_id"], ["page_id"]).select("query_id", "page_id")
 
 
+@query("i14_chains", "SELECT doc_id // 1000 AS query_id, doc_id FROM documents WHERE doc_id % 1000 % 2 = 0")
+def _(spark, sf):
+    """Every document shares one identifier with the next of its thousand, so every other one stays."""
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 1000).alias("query_id"), "doc_id")
+    ids = F.array(F.concat(F.lit("k"), F.col("doc_id").cast("string")), F.concat(F.lit("k"), (F.col("doc_id") + 1).cast("string")))
+    return fusion.drop_shared_identifiers(d.withColumn("ids", ids), "doc_id", "ids", ["query_id"], ["doc_id"]).select("query_id", "doc_id")
+
+
 @query("i15_repeated_urls", with_inputs("SELECT query_id, page_id, url FROM results WHERE coalesce(nullif(trim(url), ''), title) <> '' QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY page_id) = 1", results=_RESULTS))
 def _(spark, sf):
     return fusion.drop_repeated_urls(_results(spark, sf), ["query_id"], ["page_id"]).select("query_id", "page_id", "url")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from paperloom import vocab as v
@@ -13,6 +14,7 @@ from paperloom.plans.passage_queries import reference_sql
 from paperloom.plans.registry import query
 from paperloom.plans.sqlkit import contains_any, s, strip, sub, with_inputs
 from paperloom.plans.text_queries import latex_sql
+from paperloom.session import new_path
 from paperloom.sources.readers import spread, table
 
 _MAP = "MAP {" + ", ".join(f"{s(k)}: {s(n)}" for k, n in nm.variant_table()) + "}"
@@ -512,7 +514,8 @@ def _(spark, sf):
     "f22_extraction_stats",
     with_inputs(
         """SELECT (SELECT count(*) FROM documents) AS responses, (SELECT count(*) FROM documents WHERE doc_id % 30 = 7) AS extraction_failures, (SELECT count(*) FROM documents WHERE doc_id % 30 = 13) AS failed_calls, (SELECT count(*) FROM ents) AS total_entities, (SELECT count(*) FROM ents) AS entities_with_traceability,
-        (SELECT count(*) FROM ents WHERE type = 'Metric') AS metrics_extracted, (SELECT count(*) FROM rels) AS total_relations, 0 AS prediction_relations, 100.0::DOUBLE AS entity_traceability_rate""",
+        (SELECT count(*) FROM ents WHERE type = 'Metric') AS metrics_extracted, (SELECT count(*) FROM rels) AS total_relations, 0 AS prediction_relations, 100.0::DOUBLE AS entity_traceability_rate,
+        (SELECT count(*) FROM rels) AS relations_with_traceability, 100.0::DOUBLE AS relation_traceability_rate""",
         ents=_ENTITIES, rels=_RELATIONS,
     ),
 )
@@ -522,6 +525,23 @@ def _(spark, sf):
     return kg_build.extraction_stats(p, e, kg_build.valid_relations(p, e))
 
 
+@query(
+    "f22_filtered_passages",
+    with_inputs(
+        f"""SELECT count(*) AS passages, count(*) FILTER (WHERE ref) AS reference_passages_filtered, count(*) FILTER (WHERE short AND NOT ref) AS short_passages_filtered,
+        count(*) FILTER (WHERE NOT ref AND NOT short) AS requests FROM (SELECT {_PASSAGE_REF} AS ref, length({strip('content')}) < 30 AS short FROM passages)"""
+    ),
+)
+def _(spark, sf):
+    """What fell out is counted by the job that writes the requests."""
+    counts, path = Observation(), new_path(spark, "requests")
+    p = chunking.passages(inputs.papers(spark, sf).select("doc_id", "text"))
+    asked = kg_build.extraction_requests(p, "Extract: {text}", counts=counts)
+    asked.select("doc_id", "global_chunk_id", "prompt").write.parquet(path)
+    seen = counts.get
+    return spark.read.parquet(path).agg(F.count("*").alias("requests")).select(*[F.lit(seen[c]).alias(c) for c in seen], "requests")
+
+
 def _built(spark, sf):
     p = _parsed(spark, sf)
     e = kg_build.valid_entities(p)

@@ -141,6 +141,40 @@ def _(spark, sf):
     return qaset.status_counts(qaset.file_status(_files(spark, sf), "qa_pairs"), "qa_pairs")
 
 
+_EXTRACTED = "CASE WHEN conv_id % 10 = 0 THEN NULL WHEN n_null > 0 OR conv_id % 7 = 3 THEN 'error' ELSE 'ok' END"
+_GENERATED = "CASE WHEN n_user = 0 OR n_assistant = 0 THEN NULL WHEN conv_id % 5 = 1 THEN 'empty' ELSE 'ok' END"
+_EXPORTED = "CASE WHEN n_chars > 400 THEN 'ok' END"
+_CONVS = f"""SELECT *, CASE WHEN c = 'ok' THEN 'export' WHEN b = 'ok' THEN 'generate' WHEN a = 'ok' THEN 'extract' ELSE 'waiting' END AS stage FROM
+    (SELECT conv_id, {_EXTRACTED} AS a, {_GENERATED} AS b, {_EXPORTED} AS c FROM (SELECT conv_id, count(*) FILTER (WHERE text IS NULL) AS n_null, count(*) FILTER (WHERE role = 'user') AS n_user,
+    count(*) FILTER (WHERE role = 'assistant') AS n_assistant, coalesce(sum(length(text)), 0) AS n_chars FROM conversations GROUP BY conv_id))"""
+
+
+def _located(spark, sf):
+    """Conversations as items: stage files derived from their turns; some items have files of later stages only."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.count_if(F.col("text").isNull()).alias("n_null"), F.count_if(F.col("role") == "user").alias("n_user"),
+        F.count_if(F.col("role") == "assistant").alias("n_assistant"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"),
+    )
+    files = {n: c.select("conv_id", F.expr(e).alias("status")).filter("status IS NOT NULL") for n, e in (("extract", _EXTRACTED), ("generate", _GENERATED), ("export", _EXPORTED))}
+    return qaset.stages(c, files, "conv_id")
+
+
+@query("n9_stages", f"SELECT conv_id, a AS extract_status, b AS generate_status, c AS export_status, stage FROM ({_CONVS})")
+def _(spark, sf):
+    return _located(spark, sf)
+
+
+@query(
+    "n9_stage_counts",
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS stage, count(*) FILTER (WHERE stage = '{n}') AS items, count(*) FILTER (WHERE {x} = 'ok') AS done, count(*) FILTER (WHERE {x} <> 'ok') AS failed, count(*) FILTER (WHERE {x} IS NULL) AS open
+        FROM ({_CONVS})""" for n, x in (("extract", "a"), ("generate", "b"), ("export", "c"))
+    ) + f" UNION ALL SELECT 'waiting', count(*) FILTER (WHERE stage = 'waiting'), NULL, NULL, NULL FROM ({_CONVS})",
+)
+def _(spark, sf):
+    return qaset.stage_counts(_located(spark, sf), ["extract", "generate", "export"])
+
+
 @query("n10_unprocessed", f"SELECT doc_id, source FROM documents WHERE {_STATUS} <> 'ok'")
 def _(spark, sf):
     return qaset.unprocessed(table(spark, sf, "documents").select("doc_id", "source"), qaset.file_status(_files(spark, sf), "qa_pairs"), "doc_id")

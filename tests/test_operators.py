@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from paperloom.functions import names as nm
-from paperloom.operators import cellindex, evalcompare, evalscores, fusion, hooks, kg_build, kg_query, loop, qaset, vectors
+from paperloom.operators import cellindex, components, evalcompare, evalscores, fusion, hooks, kg_build, kg_query, loop, qaset, vectors
 from paperloom.session import Steps, new_path
 from paperloom.streaming import jobs
 
@@ -187,6 +187,39 @@ def test_shared_identifiers_follow_the_sequential_rule(spark):
     assert {(x.query_id, x.n) for x in got} == want
 
 
+def test_chains_of_shared_identifiers_take_a_bounded_number_of_rounds(spark, monkeypatch):
+    n = 1000
+    rows = [("a", i, [f"c{i}", f"c{i + 1}"]) for i in range(n)] + [("b", i, ["hub"] if i % 3 else [f"c{i}", f"c{i + 2}", "hub"]) for i in range(300)]
+    df = spark.createDataFrame(rows, "query_id string, n int, ids array<string>")
+    calls = []
+    one = fusion._round
+    monkeypatch.setattr(fusion, "_round", lambda *a: calls.append(1) or one(*a))
+    got = {(x.query_id, x.n) for x in fusion.drop_shared_identifiers(df, "n", "ids", ["query_id"], ["n"]).collect()}
+    assert got == {(g, i) for g in ("a", "b") for i in greedy([(i, ids) for h, i, ids in rows if h == g])} and len(calls) <= 3
+    small = df.filter("n < 14")
+    want = {(g, i) for g in ("a", "b") for i in greedy([(i, ids) for h, i, ids in rows if h == g and i < 14])}
+    assert {(x.query_id, x.n) for x in fusion.drop_shared_identifiers(small, "n", "ids", ["query_id"], ["n"], rounds=2, most_rows=5).collect()} == want
+
+
+def test_connected_components(spark):
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 300) if i % 60] + [(1000 + r.randint(0, 40), 1000 + r.randint(0, 40)) for _ in range(25)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {x["node"]: x["root"] for x in components.connected(spark.createDataFrame(edges, "x long, y long")).collect()}
+    assert got == {x: find(x) for x in list(root)}
+    assert components.connected(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
 def test_unscored_contexts_are_dropped_or_kept(spark):
     df = spark.createDataFrame([(1, 0.5, None), (2, None, None), (3, None, 0.1), (4, 0.27, None)], "doc_id int, similarity double, rerank_score double")
     assert {r.doc_id for r in fusion.relevant(df).collect()} == {1}
