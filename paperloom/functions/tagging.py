@@ -132,3 +132,19 @@ def extraction_hints(entity_types: Column) -> Column:
         F.when(both("Process", "Metric"), "INFLUENCES"),
     )
     return F.filter(hints, lambda x: x.isNotNull())
+
+
+def content_hints(c: Column, shown: int | None = None) -> Column:
+    """What a prompt may point out in a passage: the ML methods and metrics it names, and how many values of metrics it holds.
+
+    NULL where it names neither; ``shown`` limits the words per line.
+    """
+    ml, metrics, values = words_found(c, v.ML_KEYWORDS), words_found(c, v.PERFORMANCE_KEYWORDS), metric_values(c)
+
+    def named(words: Column, kind: str) -> Column:
+        some = words if shown is None else F.slice(words, 1, shown)
+        return F.when(F.size(words) > 0, F.concat(F.lit(f"{kind}: "), F.array_join(some, ", ")))
+
+    count = F.when(F.size(values) > 0, F.concat(F.lit("values: "), F.size(values).cast("string")))
+    lines = F.concat_ws("\n", named(ml, "methods"), named(metrics, "metrics"), count)
+    return F.when((F.size(ml) > 0) | (F.size(metrics) > 0), lines)

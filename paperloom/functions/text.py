@@ -180,6 +180,18 @@ def html_snippets(html: Column, css_class: str) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda s: strip_tags(unescape_html(s)))
 
 
+def result_records(html: Column, link_class: str, snippet_class: str) -> Column:
+    """The results of a page as ``array<struct<title, url, abstract>>``: the n-th link of a class with the n-th snippet of another.
+
+    A link without a snippet has an empty abstract; results without title and abstract fall out.
+    """
+    links, snippets = html_links(html, link_class), html_snippets(html, snippet_class)
+    records = F.transform(
+        links, lambda x, i: F.struct(x["title"].alias("title"), x["href"].alias("url"), F.coalesce(F.get(snippets, i), F.lit("")).alias("abstract"))
+    )
+    return F.filter(records, lambda r: (r["title"] != "") | (r["abstract"] != ""))
+
+
 def redirect_target(href: Column) -> Column:
     """Follow a search redirect that carries its target in the ``uddg`` parameter; other links stay as they are."""
     raw = F.regexp_extract(href, r"[?&]uddg=([^&#]+)", 1)

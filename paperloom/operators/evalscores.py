@@ -158,5 +158,24 @@ def batch_report(runs: DataFrame, by: list[str] = RUN) -> DataFrame:
     )
 
 
+def level(score: Column) -> Column:
+    return F.when(score >= 0.8, "excellent").when(score >= 0.6, "good").otherwise("needs improvement")
+
+
+def enhanced_share(runs: DataFrame, enhanced: Column, by: list[str] = RUN) -> DataFrame:
+    """How many answers used the graph, and their share in percent."""
+    return runs.groupBy(*by).agg(F.count_if(enhanced).alias("enhanced"), F.bround(F.count_if(enhanced) * 100 / F.count("*"), 6).alias("enhanced_share"))
+
+
+def metric_bands(runs: DataFrame, metrics: list[str] = v.METRICS, by: list[str] = RUN) -> DataFrame:
+    """(by, metric, mean, level) of every metric that has a value, and of their mean as metric ``overall``."""
+    each = [F.struct(F.lit(m).alias("metric"), F.avg(no_nan(F.col(m))).alias("mean")) for m in metrics]
+    long = runs.groupBy(*by).agg(F.array(*each).alias("m")).select(*by, F.filter("m", lambda x: x["mean"].isNotNull()).alias("m"))
+    total = F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["mean"]) / F.size("m")
+    overall = F.when(F.size("m") > 0, F.array(F.struct(F.lit("overall").alias("metric"), total.alias("mean")))).otherwise(F.slice("m", 1, 0))
+    rows = long.select(*by, F.explode(F.concat("m", overall)).alias("r")).select(*by, "r.metric", F.round("r.mean", 9).alias("mean"))
+    return rows.withColumn("level", level(F.col("mean")))
+
+
 def success_rate(runs: DataFrame, success: Column, by: list[str] | None = None) -> DataFrame:
     return runs.groupBy(*(by or [])).agg(F.count("*").alias("queries"), F.count_if(success).alias("succeeded"), F.bround(F.avg(success.cast("double")) * 100, 6).alias("success_rate"))

@@ -287,6 +287,18 @@ def fact_lines(entities: DataFrame, vertices: DataFrame, edges: DataFrame, shown
     )
 
 
+def hybrid_retrieve(contexts: DataFrame, entities: DataFrame, vertices: DataFrame, edges: DataFrame, question: str = "query_id", shown: int = 10) -> DataFrame:
+    """The contexts of every question, each with ``graph_facts``: what the graph knows about the question's entities.
+
+    ``entities`` holds (question, name, id), as from ``question_facts``; facts stand by name, an empty line apart, and are
+    NULL for a question without entities.  A question's entities are few, since terms have a bounded number of matches.
+    """
+    lines = fact_lines(entities, vertices, edges, shown)
+    known = entities.select(question, "name", "id").distinct().join(lines, "id")
+    facts = known.groupBy(question).agg(F.array_sort(F.collect_list(F.struct("name", "id", "fact"))).alias("f"))
+    return contexts.join(facts.select(question, F.array_join(F.transform("f", lambda x: x["fact"]), "\n\n").alias("graph_facts")), question, "left")
+
+
 def question_subgraph(words: DataFrame, vertices: DataFrame, edges: DataFrame, id_col: str = "item_id", max_nodes: int = 20) -> DataFrame:
     """Nodes around each question: seeds whose name contains one of its words, then what the seeds point to, capped."""
     seeds_max = max_nodes // 2

@@ -195,9 +195,23 @@ def run_summary(history: DataFrame) -> DataFrame:
     )
 
 
+def run_totals(runs: DataFrame, rounds: str = "rounds", quality: str = "quality", seconds: str = "seconds", failed: Column | None = None) -> DataFrame:
+    """One row over all questions: how many, the share that succeeded in percent, and the means of rounds, quality and time of those."""
+    ok = F.lit(True) if failed is None else ~failed
+
+    def mean(c: str) -> Column:
+        return F.bround(F.avg(F.when(ok, F.col(c))), 6).alias(f"mean_{c}")
+
+    return runs.agg(
+        F.count("*").alias("questions"), F.count_if(ok).alias("succeeded"), F.bround(F.count_if(ok) * 100 / F.count("*"), 6).alias("success_rate"), mean(rounds), mean(quality), mean(seconds),
+    )
+
+
 # --- answer checks ---------------------------------------------------------------------------------------------------------
-def evidence_elements(contexts: DataFrame, questions: DataFrame, question: str = "question") -> DataFrame:
-    """Values and method names that the contexts offer, where the question expects such."""
+def evidence_elements(
+    contexts: DataFrame, questions: DataFrame, question: str = "question", most_values: int | None = None, most_methods: int | None = None
+) -> DataFrame:
+    """Values and method names that the contexts offer, where the question expects such; all of them unless a most is given."""
     expect = answer_expectations(F.col(question))
     text = F.col("content")
     rows = contexts.join(questions, Q).select(
@@ -207,15 +221,16 @@ def evidence_elements(contexts: DataFrame, questions: DataFrame, question: str =
     )
     empty = F.array().cast("array<string>")
 
-    def distinct_sorted(c: str, limit: int) -> DataFrame:
+    def distinct_sorted(c: str, limit: int | None) -> DataFrame:
         items = rows.select(Q, F.explode(c).alias("x")).distinct()
-        w = Window.partitionBy(Q).orderBy("x")
-        kept = items.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
-        return kept.groupBy(Q).agg(F.array_sort(F.collect_list("x")).alias(c))
+        if limit is not None:
+            w = Window.partitionBy(Q).orderBy("x")
+            items = items.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
+        return items.groupBy(Q).agg(F.array_sort(F.collect_list("x")).alias(c))
 
     base = questions.select(Q)
     return (
-        base.join(distinct_sorted("values", 20), Q, "left").join(distinct_sorted("methods", 10), Q, "left")
+        base.join(distinct_sorted("values", most_values), Q, "left").join(distinct_sorted("methods", most_methods), Q, "left")
         .select(Q, F.coalesce("values", empty).alias("values"), F.coalesce("methods", empty).alias("methods"))
     )
 

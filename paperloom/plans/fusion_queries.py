@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paperloom import vocab as v
 from paperloom.operators import fusion, gather, hooks, kg_query, listrank
 from paperloom.plans import inputs
-from paperloom.plans.graph_queries import _HITS, _PAIRS, _WORDS, _graph, _words
+from paperloom.plans.graph_queries import _FACT_LINES, _FUZZY, _HITS, _PAIRS, _QFACTS, _WORDS, _facts, _graph, _words
 from paperloom.plans.question_queries import TYPE_SQL
 from paperloom.plans.registry import query
 from paperloom.plans.sqlkit import contains_any, s, strip, with_inputs
@@ -43,6 +43,20 @@ def _(spark, sf):
     return c.join(facts.select(F.col("item_id").alias("query_id"), F.col("summary").alias("graph_facts")), "query_id", "left")
 
 
+@query(
+    "i2_hybrid_facts",
+    with_inputs(
+        """SELECT c.query_id, rank, doc_id, similarity, md5(knowledge) AS facts_md5 FROM contexts c LEFT JOIN (SELECT item_id AS query_id, string_agg(fact, chr(10) || chr(10) ORDER BY name, id) AS knowledge
+        FROM qfacts JOIN factlines USING (id) GROUP BY item_id) USING (query_id)""", words=_WORDS, fuzzy=_FUZZY, qfacts=_QFACTS, factlines=_FACT_LINES,
+    ),
+)
+def _(spark, sf):
+    facts, vs, es = _facts(spark, sf)
+    c = inputs.contexts(spark, sf).select("query_id", "rank", "doc_id", "similarity")
+    found = kg_query.hybrid_retrieve(c, facts.withColumnRenamed("item_id", "query_id"), vs, es)
+    return found.withColumn("facts_md5", F.md5("graph_facts")).drop("graph_facts")
+
+
 _SCORES = "SELECT item_id AS query_id, i AS index, CAST((item_id * 13 + i * 29) % 97 AS DOUBLE) / 97 AS score FROM benchmark, range(0, 30, 2) t(i)"
 
 

@@ -166,18 +166,15 @@ def _(spark, sf):
     return _facts(spark, sf)[0].select("item_id", "term", "name", "id", "type")
 
 
-@query(
-    "g10_fact_lines",
-    with_inputs(
-        """SELECT x.id, concat_ws(chr(10), '• ' || x.name || ' (' || x.type || '):', CASE WHEN x.description <> '' THEN '  Description: ' || x.description END,
+_FACT_LINES = """SELECT x.id, concat_ws(chr(10), '• ' || x.name || ' (' || x.type || '):', CASE WHEN x.description <> '' THEN '  Description: ' || x.description END,
         coalesce('  Relationships:' || chr(10) || lines, '  (No relationships found in knowledge graph)')) AS fact FROM vertices x LEFT JOIN
         (SELECT id, string_agg(line, chr(10) ORDER BY rank) AS lines FROM (SELECT id, rank, CASE WHEN direction = 'incoming' THEN '    ← ' ELSE '    → ' END || relation || ': ' || other_name || ' (' || other_type || ')' AS line
         FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY direction DESC, relation, other_name, other_type) AS rank FROM (SELECT DISTINCT r.id, direction, relation, o.name AS other_name, o.type AS other_type FROM
         (SELECT source_id AS id, target_id AS other_id, type AS relation, 'outgoing' AS direction FROM edges UNION ALL SELECT target_id, source_id, type, 'incoming' FROM edges) r JOIN vertices o ON o.id = other_id))
-        WHERE rank <= 10) GROUP BY id) l ON l.id = x.id WHERE x.id IN (SELECT id FROM qfacts)""",
-        words=_WORDS, fuzzy=_FUZZY, qfacts=_QFACTS,
-    ),
-)
+        WHERE rank <= 10) GROUP BY id) l ON l.id = x.id WHERE x.id IN (SELECT id FROM qfacts)"""
+
+
+@query("g10_fact_lines", with_inputs(_FACT_LINES, words=_WORDS, fuzzy=_FUZZY, qfacts=_QFACTS))
 def _(spark, sf):
     facts, vs, es = _facts(spark, sf)
     return kg.fact_lines(facts, vs, es)

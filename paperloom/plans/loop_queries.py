@@ -155,6 +155,19 @@ def _(spark, sf):
     return loop.run_summary(h)
 
 
+@query(
+    "j9_run_totals",
+    with_inputs(
+        """SELECT model, count(*) AS questions, count(*) FILTER (WHERE error IS NULL) AS succeeded, round_even(count(*) FILTER (WHERE error IS NULL) * 100 / count(*), 6) AS success_rate,
+        round_even(avg(iterations) FILTER (WHERE error IS NULL), 6) AS mean_rounds, round_even(avg(quality_score) FILTER (WHERE error IS NULL), 6) AS mean_quality,
+        round_even(avg(response_time) FILTER (WHERE error IS NULL), 6) AS mean_seconds FROM (SELECT *, 'all' AS model FROM (SELECT * EXCLUDE (model) FROM eval_runs)) GROUP BY model"""
+    ),
+)
+def _(spark, sf):
+    r = inputs.eval_runs(spark, sf).select(F.col("iterations").alias("rounds"), F.col("quality_score").alias("quality"), F.col("response_time").alias("seconds"), "error")
+    return loop.run_totals(r, failed=F.col("error").isNotNull()).withColumn("model", F.lit("all"))
+
+
 def _noted(spark, sf):
     """Contexts whose text carries measurements."""
     c = inputs.contexts(spark, sf).drop("content")
@@ -171,7 +184,7 @@ _ELEMENTS = f"""SELECT item_id AS query_id, coalesce(v, []) AS vals, coalesce(m,
 
 @query("k1_evidence_elements", with_inputs(f"SELECT query_id, {joined('vals')} AS vals, {joined('methods')} AS methods FROM elements", found=_FOUND, elements=_ELEMENTS))
 def _(spark, sf):
-    e = loop.evidence_elements(_noted(spark, sf), _questions(spark, sf))
+    e = loop.evidence_elements(_noted(spark, sf), _questions(spark, sf), most_values=20, most_methods=10)
     return e.select("query_id", F.array_join("values", "|").alias("vals"), F.array_join("methods", "|").alias("methods"))
 
 
@@ -190,6 +203,6 @@ _ANSWER = "CASE query_id % 3 WHEN 0 THEN 'It reaches 25.2 % and 1.1 eV by therma
 )
 def _(spark, sf):
     q = _questions(spark, sf)
-    e = loop.evidence_elements(_noted(spark, sf), q)
+    e = loop.evidence_elements(_noted(spark, sf), q, most_values=20, most_methods=10)
     a = q.withColumn("answer", inputs.choose(F.col("query_id") % 3, ["It reaches 25.2 % and 1.1 eV by thermal annealing", "About 20 %", "Unknown"]))
     return loop.check_answers(a, e).select("query_id", F.array_join("issues", "|").alias("issues"), "valid", "confidence")

@@ -215,3 +215,21 @@ def _(spark, sf):
     )
     found = F.filter(types, lambda x: x.isNotNull())
     return p.select("doc_id", "global_chunk_id", F.array_join(tagging.extraction_hints(found), "|").alias("hints"))
+
+
+def _found_sql(words: list[str]) -> str:
+    return "list_filter([" + ", ".join(s(w) for w in words) + "], lambda w: contains(lower(content), w))"
+
+
+@query(
+    "d11_content_hints",
+    with_inputs(
+        f"""SELECT doc_id, global_chunk_id, CASE WHEN len(ml) + len(metrics) > 0 THEN concat_ws(chr(10), CASE WHEN len(ml) > 0 THEN 'methods: ' || array_to_string(ml[1:5], ', ') END,
+        CASE WHEN len(metrics) > 0 THEN 'metrics: ' || array_to_string(metrics[1:5], ', ') END, CASE WHEN n > 0 THEN 'values: ' || n END) END AS hints FROM
+        (SELECT doc_id, global_chunk_id, {_found_sql(v.ML_KEYWORDS)} AS ml, {_found_sql(v.PERFORMANCE_KEYWORDS)} AS metrics,
+        {" + ".join(f"len(regexp_extract_all(content, {s(rf'([0-9]+{chr(92)}.?[0-9]*){chr(92)}s*{u}')}))" for u in v.METRIC_VALUE_UNITS)} AS n FROM passages)"""
+    ),
+)
+def _(spark, sf):
+    p = chunking.passages(inputs.papers(spark, sf).select("doc_id", "text"))
+    return p.select("doc_id", "global_chunk_id", tagging.content_hints(F.col("content"), shown=5).alias("hints"))

@@ -257,6 +257,29 @@ def _(spark, sf):
     return ev.batch_report(inputs.eval_runs(spark, sf))
 
 
+@query(
+    "l14_enhanced_share",
+    with_inputs("SELECT model, mode, count(*) FILTER (WHERE mode = 'agentic_with_kg' AND n_contexts > 0) AS enhanced, round_even(count(*) FILTER (WHERE mode = 'agentic_with_kg' AND n_contexts > 0) * 100 / count(*), 6) AS enhanced_share FROM eval_runs GROUP BY model, mode"),
+)
+def _(spark, sf):
+    return ev.enhanced_share(inputs.eval_runs(spark, sf), (F.col("mode") == v.MODES[2]) & (F.col("n_contexts") > 0))
+
+
+_MEANS = " UNION ALL ".join(f"SELECT model, mode, '{m}' AS metric, avg({m}) AS x FROM eval_runs GROUP BY model, mode" for m in v.METRICS)
+
+
+@query(
+    "l14_metric_bands",
+    with_inputs(
+        """SELECT model, mode, metric, mean, CASE WHEN mean >= 0.8 THEN 'excellent' WHEN mean >= 0.6 THEN 'good' ELSE 'needs improvement' END AS level FROM
+        (SELECT model, mode, metric, round(x, 9) AS mean FROM means WHERE x IS NOT NULL UNION ALL SELECT model, mode, 'overall', round(avg(x), 9) FROM means GROUP BY model, mode HAVING count(x) > 0)""",
+        means=_MEANS,
+    ),
+)
+def _(spark, sf):
+    return ev.metric_bands(inputs.eval_runs(spark, sf))
+
+
 @query(
     "l15_success_rate",
     "SELECT role, count(*) AS queries, count(*) FILTER (WHERE length(text) > 100) AS succeeded, round(avg((length(text) > 100)::INTEGER) * 100, 6) AS success_rate FROM conversations GROUP BY role",

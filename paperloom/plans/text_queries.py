@@ -128,6 +128,23 @@ def _(spark, sf):
     return p.select("page_id", "pos", "l.href", "l.title")
 
 
+@query(
+    "b13_result_records",
+    """SELECT page_id, pos, title, CASE pos WHEN 0 THEN url ELSE 'https://example.org/' || page_id END AS url, CASE pos WHEN 0 THEN 'about ' || page_id || ' & more' ELSE '' END AS abstract FROM
+    (SELECT page_id, url, unnest([0, 1]) AS pos, unnest(['Page ' || page_id, 'second']) AS title FROM pages)""",
+)
+def _(spark, sf):
+    """A result page per row: a redirected link with a snippet, a plain link without, one without any text, and one of another class."""
+    i = F.col("page_id").cast("string")
+    html = F.concat(
+        F.lit('<a rel="x" class="result__a big" href="//search.example/l/?uddg='), F.url_encode("url"), F.lit('&amp;rut=1">Page <b>'), i,
+        F.lit('</b></a><a class="result__snippet">about <i>'), i, F.lit('</i> &amp; more</a><a class="result__a" href="https://example.org/'), i,
+        F.lit('">second</a><a class="other" href="/x">third</a><a class="result__a" href="/y"> <b></b></a>'),
+    )
+    p = table(spark, sf, "pages").select("page_id", F.posexplode(tx.result_records(html, "result__a", "result__snippet")).alias("pos", "r"))
+    return p.select("page_id", "pos", "r.title", "r.url", "r.abstract")
+
+
 @query("b13_redirect_target", "SELECT page_id, url AS target FROM pages")
 def _(spark, sf):
     wrapped = F.concat(F.lit("//search.example/l/?uddg="), F.url_encode("url"), F.lit("&rut=1"))
