@@ -476,16 +476,18 @@ def record_vertices(ids: DataFrame, dataset: str = "records") -> DataFrame:
     )
     paper = vertex(f("paper_eid"), f("doi"), "Paper", none, F.concat(F.lit("Paper (DOI "), f("doi"), F.lit(").")))
     rows = ids.select("record_id", F.posexplode_outer(F.array(donor, acceptor, additive, device, paper)).alias("_k", "v"))
-    rows = rows.filter(F.col("v.id").isNotNull())
+    rows = rows.filter(F.col("v.id").isNotNull()).select("record_id", "_k", "v.*")
+    facts = ["name", "description", "role", "smiles", "material_type"]
+    key = ["id", "type"]
+    # most vertices are described alike wherever they are mentioned: those need no order, and no sort
+    alike = cut_lineage(rows.groupBy(*key, *facts).agg(F.count("*").alias("mentions")))
+    several = alike.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
     order = F.struct("record_id", "_k")
-
-    def first(c: str) -> Column:
-        return F.min_by(F.col(f"v.{c}"), F.when(_present(F.col(f"v.{c}")), order)).alias(c)
-
-    merged = rows.groupBy(F.col("v.id").alias("id"), F.col("v.type").alias("type")).agg(
-        F.count("*").alias("mentions"), *[first(c) for c in ("name", "description", "role", "smiles", "material_type")]
+    merged = rows.join(several, key, "left_semi").groupBy(*key).agg(
+        F.count("*").alias("mentions"), *[F.min_by(c, F.when(_present(F.col(c)), order)).alias(c) for c in facts]
     )
-    return merged.unionByName(metric_vertices(ids), allowMissingColumns=True)
+    single = alike.join(several, key, "left_anti").select(*key, "mentions", *[F.when(_present(F.col(c)), F.col(c)).alias(c) for c in facts])
+    return merged.unionByName(single).unionByName(metric_vertices(ids), allowMissingColumns=True)
 
 
 def metric_vertices(df: DataFrame) -> DataFrame:

@@ -42,12 +42,18 @@ def _(spark, sf):
     return found.select(doc.alias("doc_id"), F.md5("content").alias("content_md5"))
 
 
-@query("a2_decode_fallback")
+@query(
+    "a2_decode_fallback",
+    r"""SELECT doc_id, length(t) AS chars, md5(t) AS text_md5 FROM
+    (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'é ' || regexp_replace(text, '[^\x{00}-\x{ff}]', '?', 'g') ELSE text END AS t FROM documents)""",
+)
 def _(spark, sf):
+    """A third of the texts as Latin-1 that neither UTF-8 nor GBK can read, because of their first word."""
     d = table(spark, sf, "documents")
-    plain = F.regexp_replace("text", r"[^\x00-\xff]", "?")
+    plain = F.concat(F.lit("é "), F.regexp_replace("text", r"[^\x00-\xff]", "?"))
     raw = F.when(F.col("doc_id") % 3 == 0, F.encode(plain, "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
-    return spread(d.select("doc_id", raw.alias("raw"))).select("doc_id", F.length(readers.decode_text(F.col("raw"))).alias("chars"))
+    text = readers.decode_text(F.col("raw"))
+    return spread(d.select("doc_id", raw.alias("raw"))).select("doc_id", text.alias("t")).select("doc_id", F.length("t").alias("chars"), F.md5("t").alias("text_md5"))
 
 
 @query(
