@@ -140,7 +140,7 @@ def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def _sql_spans(kind: str) -> str:
     p = secrets.PATTERNS[kind].replace("'", "''")
     kept = {
-        "assign": f"length(regexp_extract(m, '{secrets.VALUE}$', 1)) >= {secrets.MIN_VALUE}",
+        "assign": f"length(regexp_extract(m, '{p}', 1)) >= {secrets.MIN_VALUE}",
         "weak_secret": "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')",
     }.get(kind, "true")
     return f"""

@@ -7,7 +7,7 @@ secret and mostly an endpoint: parts are joined by overlapping scopes of ``scope
 weak span is reported only when the parts that complete it are in reach: an identifier with a secret, a secret with an
 identifier, an endpoint with both.
 
-Texts without a weak candidate never leave their row.  For the others the join meets on (document, cell of the scope);
+The texts are searched once and written with their spans; only those with a weak candidate are shuffled after that.  The join meets on (document, cell of the scope);
 spans of one kind do not overlap, so the partners of a span are bounded by the scope, not by the document.
 
 Defined cases: null and empty texts have no spans; positions are code points, ends exclusive; spans are ordered by
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import cut_lineage
+
 SCOPE = 200
 
 
@@ -88,14 +90,16 @@ def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text", scope: int =
     """All columns of docs with ``base_spans`` (strong kinds) and ``all_spans`` (with the linked weak ones)."""
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(f"array<{SPAN}>")
-    weak_here = _has_any(body, WEAK)
-    strong = F.when(_has_any(body, STRONG), _all_of(body, STRONG)).otherwise(none)
-    plain = docs.filter(~weak_here).withColumn("base_spans", strong)
-    plain = plain.withColumn("all_spans", F.col("base_spans"))
-
-    mixed = docs.filter(weak_here).withColumn("base_spans", strong).withColumn("__pl_weak", _all_of(body, WEAK))
+    marked = docs.select(
+        *[c for c in docs.columns if c not in OUTPUT], F.xxhash64(text).alias("__pl_hash"),
+        F.when(_has_any(body, STRONG), _all_of(body, STRONG)).otherwise(none).alias("base_spans"),
+        F.when(_has_any(body, WEAK), _all_of(body, WEAK)).otherwise(none).alias("__pl_weak"),
+    )
+    # the texts are searched once; what follows reads the written spans
+    marked = cut_lineage(marked)
     apart = F.filter("__pl_weak", lambda w: ~F.exists("base_spans", lambda b: (b.getField("start") < w.getField("end")) & (w.getField("start") < b.getField("end"))))
-    mixed = mixed.withColumn("__pl_weak", apart).withColumn("__pl_hash", F.xxhash64(text))
+    plain = marked.filter(F.size("__pl_weak") == 0).withColumn("all_spans", F.col("base_spans"))
+    mixed = marked.filter(F.size("__pl_weak") > 0).withColumn("__pl_weak", apart)
     parts = mixed.select(F.col(doc).alias("__pl_doc"), "__pl_hash", F.explode(F.concat("base_spans", "__pl_weak")).alias("s")).distinct()
     linked = _linked(parts.select("__pl_doc", "__pl_hash", "s.*"), scope)
     joined = mixed.join(linked, mixed[doc].eqNullSafe(linked["__pl_doc"]) & (mixed["__pl_hash"] == linked["__pl_link_hash"]), "left")

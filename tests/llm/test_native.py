@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,17 @@ def test_short_values_without_quotes_or_blanks_are_dropped(spark):
     assert got[texts.index("user: bob token=abc")]["a"] == ""
 
 
+def test_sql_and_query_agree_on_short_values(spark, tmp_path):
+    texts = [f"user: bob {word}{sign}{value} end" for word in ("token", "Secret") for sign in ("=", ": ", "='") for value in ("abc", "a-b", "a=b_c", "abcdef", "a_b=cd")]
+    spark.createDataFrame(list(enumerate(texts + SECRETS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan, sql = LLM_QUERIES["op7_secret_scans"]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"select doc_id, n_assign, n_access, n_hex, base_sha256, spans from ({sql})").fetchall()
+    got = plan(spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and 0 < sum(r["n_assign"] for r in got) < len(texts)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(SECRETS)], "doc_id long, text string, base_spans string")
     out = secrets.redact(docs, mark="#")
