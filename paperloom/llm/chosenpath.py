@@ -12,8 +12,8 @@
    blocks.  So a link can only be lost if no path connects its ends to one group.
 4. Classes are the components of the exact links.
 
-Defined cases: null and wordless texts have no shingles and are alone; a text of fewer than k words is one shorter
-shingle; rows that agree in id and text are copies of each other; an empty table gives no rows; further columns are
+Defined cases: null and empty texts are alone; other texts without a word have no shingles, and their exact copies are one
+class; a text of fewer than k words is one shorter shingle; rows that agree in id and text are copies of each other; an empty table gives no rows; further columns are
 ignored by ``similarity_classes`` and kept by ``one_per_class``.
 """
 
@@ -343,8 +343,13 @@ def similarity_classes(
     # written, so that the join with the rows is split where very many are copies
     known = cut_lineage(known.join(least, "root").select("node", "keep", (F.col("links") + F.col("copies") - 1).alias("n_links")))
     rows = table.select("doc", "text_hash", "node")
-    alone = rows.filter("node is null").select("doc", "text_hash", F.struct("doc", "text_hash").alias("keep"), F.lit(0).cast("bigint").alias("n_links"))
-    out = rows.join(known, "node").select("doc", "text_hash", "keep", "n_links").unionByName(alone)
+    # texts without a word: exact copies are one class, null and empty ones are alone
+    empty = F.col("text_hash").isin(*[F.xxhash64(F.lit(x).cast("string")) for x in (None, "")])
+    alone = rows.filter(F.col("node").isNull() & empty).select("doc", "text_hash", F.struct("doc", "text_hash").alias("keep"), F.lit(0).cast("bigint").alias("n_links"))
+    signs = rows.filter(F.col("node").isNull() & ~empty)
+    same = cut_lineage(signs.groupBy("text_hash").agg(F.min(F.struct("doc", "text_hash")).alias("keep"), (F.count("*") - 1).alias("n_links")))
+    copies = signs.join(same, "text_hash").select("doc", "text_hash", "keep", "n_links")
+    out = rows.join(known, "node").select("doc", "text_hash", "keep", "n_links").unionByName(alone).unionByName(copies)
     return out.select(F.col("doc").alias(doc), "text_hash", F.col("keep.doc").alias("keep_doc"), F.col("keep.text_hash").alias("keep_hash"), "n_links")
 
 

@@ -42,6 +42,14 @@ def brute(rows, threshold=0.8):
                 links[j] += 1
                 a, b = top(i), top(j)
                 root[max(a, b)] = min(a, b)
+    # exact copies of a text without a word are one class; empty texts are alone
+    signs = {}
+    for i, (_, t) in enumerate(rows):
+        if t and not sets[i]:
+            signs.setdefault(t, []).append(i)
+    for same in signs.values():
+        for i in same:
+            root[i], links[i] = same[0], len(same) - 1
     least = {}
     for i in range(n):
         least.setdefault(top(i), []).append(rows[i][0])
@@ -115,3 +123,10 @@ def test_one_per_class_keeps_every_class_once(spark, seed):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in chosenpath.one_per_class(df).collect()}
     assert kept == {c for _, c, _ in brute(rows)}
+
+
+def test_copies_without_a_word_are_one_class(spark):
+    rows = [(i, "-----") for i in range(5, 45)] + [(50, "- -"), (51, "- -"), (52, "!"), (53, ""), (54, ""), (55, None), (56, None), (57, " "), (58, " "), (1, "a b c d e f")]
+    assert classes(spark, rows) == brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in chosenpath.one_per_class(docs).collect()) == [1, 5, 50, 52, 53, 54, 55, 56, 57]
