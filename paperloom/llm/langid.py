@@ -50,18 +50,22 @@ def _counts(texts: list[str]) -> np.ndarray:
     keep = np.append(True, (c[1:] != 32) | (c[:-1] != 32) | (row[1:] != row[:-1]))
     c, row = c[keep].astype(np.uint64), row[keep]
     found = []
+    for n, bucket in _buckets(c):
+        found.append((row[: len(bucket)] * DIMS + bucket)[row[: len(bucket)] == row[n - 1 :]])
+    return np.bincount(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), minlength=len(texts) * DIMS).reshape(len(texts), DIMS)
+
+
+def _buckets(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, feature of every n-gram) for pairs and triples of symbols."""
     two = c[:-1] * _U(0x9E3779B97F4A7C15) + c[1:] * _U(0xC2B2AE3D27D4EB4F)
     for n, h in ((2, two), (3, two[:-1] * _U(0x165667B19E3779F9) + c[2:] * _U(0xD6E8FEB86659FD93) if len(c) > 2 else two[:0])):
         if len(h):
-            same = row[: len(h)] == row[n - 1 :]
             h = h ^ (h >> _U(29))
-            bucket = ((h * _U(0xBF58476D1CE4E5B9)) >> _U(64 - BITS)).astype(np.int64)
-            found.append((row[: len(h)] * DIMS + bucket)[same])
-    return np.bincount(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), minlength=len(texts) * DIMS).reshape(len(texts), DIMS)
+            yield n, ((h * _U(0xBF58476D1CE4E5B9)) >> _U(64 - BITS)).astype(np.int64)
 
 
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, last row, counts) for groups of rows of bounded text; a long text is counted in overlapping parts."""
+    """(first row, last row, counts) for groups of rows of bounded text; a long text is counted in parts."""
     i = 0
     while i < len(texts):
         j, chars = i, 0
@@ -76,14 +80,17 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def _long_counts(text: str) -> np.ndarray:
-    total, at = np.zeros((1, DIMS), dtype=np.int64), 0
-    while at < len(text):
-        stop = at + CHARS
-        while stop < len(text) and text[stop].isalpha() and text[stop - 1].isalpha() and stop < at + 2 * CHARS:
-            stop += 1
-        total += _counts([text[at:stop]])
-        at = stop
-    return total
+    """As ``_counts`` for one text, a part at a time; the last two symbols of a part lead the next one, wherever it is cut."""
+    low, total, carry = f" {text.lower()} ", np.zeros(DIMS, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    for at in range(0, len(low), CHARS):
+        points = np.frombuffer(low[at : at + CHARS].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        c = np.concatenate([carry, np.where(_is_letter()[points], points, 32).astype(np.uint64)])
+        c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))]
+        for n, bucket in _buckets(c):
+            # those that lie in the lead alone were counted before
+            total += np.bincount(bucket[max(len(carry) - n + 1, 0) :], minlength=DIMS)
+        carry = c[-2:]
+    return total[None, :]
 
 
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
