@@ -397,24 +397,80 @@ def _optional(df: DataFrame, column: str) -> Column:
     return F.col(column) if column in df.columns else F.lit(None).cast("string")
 
 
+def _order_prefix(c: Column) -> Column:
+    """A number that orders as the first seven bytes of a text, so that a hash aggregation can carry it."""
+    return F.conv(F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("bigint")
+
+
+def _alike(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Mentions of equal content as one row with their number and the least prefix of their record's id; written once.
+
+    Numbers are all that is aggregated, so this is done by hashing, before anything is shuffled.
+    """
+    marked = rows.withColumn("_p", F.coalesce(_order_prefix(F.col("record_id")), F.lit(-1)))
+    return cut_lineage(marked.groupBy(*keys, "_k", *columns).agg(F.count("*").alias("mentions"), F.min("_p").alias("_p")))
+
+
+def _first_values(rows: DataFrame, alike: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, key, value): every column's first non-empty value in (record_id, _k) order.
+
+    ``alike`` names the values whose records come first by the prefix of their ids; only where that leaves several is
+    the order itself looked up, among the mentions of that prefix.
+    """
+    def long(df: DataFrame, *more: str) -> DataFrame:
+        facts = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in columns])
+        out = df.select(*keys, *more, F.explode(F.filter(facts, lambda x: _present(x["value"]))).alias("f"))
+        return out.select(*keys, *more, "f.*")
+
+    of = [*keys, "key"]
+    least = long(alike, "_p").groupBy(*of, "value").agg(F.min("_p").alias("_p"))
+    first = least.groupBy(*of).agg(F.min("_p").alias("_p"))
+    best = cut_lineage(least.join(first, [*of, "_p"]).groupBy(*of, "_p").agg(F.count("*").alias("n"), F.min("value").alias("value")))
+    tied = best.filter("n > 1").select(*of, "_p")
+    marked = rows.withColumn("_p", F.coalesce(_order_prefix(F.col("record_id")), F.lit(-1)))
+    # few mentions are left before columns become rows
+    near = marked.join(tied.select(*keys, "_p").distinct(), [*keys, "_p"], "left_semi")
+    ordered = long(near, "_p", "record_id", "_k").join(tied, [*of, "_p"], "left_semi")
+    decided = ordered.groupBy(*of).agg(F.min_by("value", F.struct("record_id", "_k")).alias("value"))
+    return best.filter("n = 1").select(*of, "value").unionByName(decided)
+
+
+def _devices_of_several(ids: DataFrame) -> DataFrame:
+    """The devices that more than one record describes: none, where record ids are unique."""
+    return cut_lineage(ids.groupBy("device_id").agg(F.count("*").alias("n")).filter("n > 1").select("device_id"))
+
+
 def record_properties(ids: DataFrame, dataset: str = "records") -> DataFrame:
-    """(id, key, value) of every vertex of the records; of several values in record order the first counts."""
+    """(id, key, value) of every vertex of the records; of several values in record order the first counts.
+
+    A device that one record alone describes has its values there, and nothing of it is shuffled but its id.
+    """
     def o(c: str) -> Column:
-        return _optional(ids, c)
+        return _optional(ids, c).cast("string")
+
+    shared = ["smiles", "material_type", "role", "dataset", "additive_id", "doi"]
+
+    def vertex(owner: str, facts: dict[str, Column]) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(F.col(owner).alias("id"), *[facts.get(c, none).alias(c) for c in shared])
 
     def material(end: str) -> dict[str, Column]:
         return {"smiles": o(f"{end}_smiles"), "material_type": o(f"{end}_type"), "role": F.lit(end), "dataset": F.lit(dataset)}
 
-    facts = F.concat(
-        _filled(F.col("donor_id"), material("donor")), _filled(F.col("acceptor_id"), material("acceptor")),
-        _filled(F.col("additive_eid"), {"additive_id": o("additive_id"), "role": F.lit("additive"), "dataset": F.lit(dataset)}),
-        _filled(F.col("device_id"), {**{c: o(c) for c in v.DEVICE_PROPERTIES}, "record_id": F.col("record_id"), "dataset": F.lit(dataset)}),
-        _filled(F.col("paper_eid"), {"doi": F.col("doi"), "dataset": F.lit(dataset)}),
+    made = F.array(
+        vertex("donor_id", material("donor")), vertex("acceptor_id", material("acceptor")),
+        vertex("additive_eid", {"additive_id": o("additive_id"), "role": F.lit("additive"), "dataset": F.lit(dataset)}),
+        vertex("paper_eid", {"doi": o("doi"), "dataset": F.lit(dataset)}),
     )
-    rows = ids.select("record_id", F.posexplode(facts).alias("pos", "f")).select("record_id", "pos", "f.*")
-    # equal facts first, so that only distinct values are sorted
-    distinct = rows.groupBy("id", "key", "value").agg(F.min(F.struct("record_id", "pos")).alias("at"))
-    return distinct.groupBy("id", "key").agg(F.min_by("value", "at").alias("value"))
+    rows = ids.select("record_id", F.posexplode(made).alias("_k", "v")).filter("v.id IS NOT NULL").select("record_id", "_k", "v.*")
+    values = _first_values(rows, _alike(rows, ["id"], shared), ["id"], shared)
+
+    device = {**{c: o(c) for c in v.DEVICE_PROPERTIES}, "record_id": F.col("record_id"), "dataset": F.lit(dataset)}
+    several = _devices_of_several(ids)
+    single = ids.join(several, "device_id", "left_anti").select(F.explode(_filled(F.col("device_id"), device)).alias("f")).select("f.*")
+    facts = ids.join(several, "device_id", "left_semi").select("record_id", F.posexplode(_filled(F.col("device_id"), device)).alias("pos", "f"))
+    merged = facts.select("record_id", "pos", "f.*").groupBy("id", "key").agg(F.min_by("value", F.struct("record_id", "pos")).alias("value"))
+    return values.unionByName(single).unionByName(merged)
 
 
 def record_edge_properties(ids: DataFrame, dataset: str = "records") -> DataFrame:
@@ -453,7 +509,7 @@ def record_edge_properties(ids: DataFrame, dataset: str = "records") -> DataFram
 def record_vertices(ids: DataFrame, dataset: str = "records") -> DataFrame:
     """Vertices of device records; the first non-null property in record order wins.
 
-    Each record is read once and fans out to the vertices it mentions.
+    Shared vertices are counted by hashing; a device that one record alone describes is made from that record as it stands.
     """
     f, none = F.col, F.lit(None).cast("string")
 
@@ -475,19 +531,24 @@ def record_vertices(ids: DataFrame, dataset: str = "records") -> DataFrame:
         ),
     )
     paper = vertex(f("paper_eid"), f("doi"), "Paper", none, F.concat(F.lit("Paper (DOI "), f("doi"), F.lit(").")))
-    rows = ids.select("record_id", F.posexplode_outer(F.array(donor, acceptor, additive, device, paper)).alias("_k", "v"))
-    rows = rows.filter(F.col("v.id").isNotNull()).select("record_id", "_k", "v.*")
     facts = ["name", "description", "role", "smiles", "material_type"]
     key = ["id", "type"]
-    # most vertices are described alike wherever they are mentioned: those need no order, and no sort
-    alike = cut_lineage(rows.groupBy(*key, *facts).agg(F.count("*").alias("mentions")))
-    several = alike.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
-    order = F.struct("record_id", "_k")
-    merged = rows.join(several, key, "left_semi").groupBy(*key).agg(
-        F.count("*").alias("mentions"), *[F.min_by(c, F.when(_present(F.col(c)), order)).alias(c) for c in facts]
-    )
-    single = alike.join(several, key, "left_anti").select(*key, "mentions", *[F.when(_present(F.col(c)), F.col(c)).alias(c) for c in facts])
-    return merged.unionByName(single).unionByName(metric_vertices(ids), allowMissingColumns=True)
+
+    def present(prefix: str = "") -> list[Column]:
+        return [F.when(_present(f(prefix + c)), f(prefix + c)).alias(c) for c in facts]
+
+    rows = ids.select("record_id", F.posexplode_outer(F.array(donor, acceptor, additive, paper)).alias("_k", "v"))
+    rows = rows.filter(F.col("v.id").isNotNull()).select("record_id", "_k", "v.*")
+    alike = _alike(rows, key, facts)
+    values = _first_values(rows, alike, key, facts).groupBy(*key).agg(*[F.max(F.when(f("key") == c, f("value"))).alias(c) for c in facts])
+    shared = alike.groupBy(*key).agg(F.sum("mentions").alias("mentions")).join(values, key, "left")
+
+    several = _devices_of_several(ids)
+    one = ids.join(several, "device_id", "left_anti").filter("device_id IS NOT NULL").select(device.alias("v"))
+    single = one.select("v.id", "v.type", F.lit(1).cast("bigint").alias("mentions"), *present("v."))
+    more = ids.join(several, "device_id", "left_semi").select("record_id", device.alias("v")).select("record_id", "v.*")
+    merged = more.groupBy(*key).agg(F.count("*").alias("mentions"), *[F.min_by(c, F.when(_present(f(c)), f("record_id"))).alias(c) for c in facts])
+    return shared.unionByName(single).unionByName(merged).unionByName(metric_vertices(ids), allowMissingColumns=True)
 
 
 def metric_vertices(df: DataFrame) -> DataFrame:

@@ -419,3 +419,43 @@ def test_stored_index_appends_prunes_and_finds_most_neighbours(spark):
     assert all_cells == exact
     plan = cellindex.pruned(spark, path, [3, 4])._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*cell#\d+ IN \(3,4\)", plan)
+
+
+def test_devices_of_records_are_not_shuffled_and_order_is_exact(spark):
+    """Ids with a common beginning, a device of two records (its names differ in case) and conflicting properties."""
+    rows = [(f"record-{i:05d}", f"10.1/{i % 3}", f"donor {i % 4}", f"acceptor {i % 2}", "x" if i % 5 == 0 else None, f"S{(i * 7) % 11}" if i > 20 else "", f"T{i}", float(i)) for i in range(600)]
+    rows += [("RECORD-00007", "10.1/1", "donor 3", "acceptor 1", None, "S0", "T0", 5000.0)]
+    schema = "record_id string, doi string, donor_name string, acceptor_name string, additive_id string, donor_smiles string, donor_type string, spin_speed_rpm double"
+    records = spark.createDataFrame(rows, schema).repartition(4)
+    ids = spark.createDataFrame(kg_build.record_ids(records).collect(), kg_build.record_ids(records).schema)
+
+    def shuffled(df):
+        store = spark.sparkContext._jsc.sc().statusStore()
+
+        def total():
+            found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+            return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+        before = total()
+        got = df().collect()
+        return got, total() - before
+
+    got, moved = shuffled(lambda: kg_build.record_properties(ids))
+    found = {(r["id"], r["key"]): r["value"] for r in got}
+    assert len(found) == len(got)
+    seen = {r["donor_name"]: r["donor_id"] for r in ids.collect()}
+    first = sorted(rows)
+    for name, vertex in seen.items():
+        assert found[vertex, "smiles"] == next(r[5] for r in first if r[2] == name and r[5])
+        assert found[vertex, "material_type"] == next(r[6] for r in first if r[2] == name)
+    twice = {r["record_id"]: r["device_id"] for r in ids.collect()}
+    assert twice["RECORD-00007"] == twice["record-00007"]
+    assert found[twice["record-00007"], "record_id"] == "RECORD-00007"
+    assert moved < 8 * len(rows), moved
+
+    vertices = {(r["id"], r["type"]): r for r in kg_build.record_vertices(ids).collect()}
+    assert vertices[twice["record-00007"], "Device"]["mentions"] == 2
+    assert "RECORD-00007" in vertices[twice["record-00007"], "Device"]["description"]
+    for name, vertex in seen.items():
+        v = vertices[vertex, "Material"]
+        assert (v["smiles"], v["mentions"]) == (next(r[5] for r in first if r[2] == name and r[5]), sum(r[2] == name for r in rows))
