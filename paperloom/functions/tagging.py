@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,9 +108,19 @@ def is_reference_content(c: Column, section_type: Column | None = None) -> Colum
     return (F.coalesce(section_type, F.lit("")) == "references") | by_text
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` names it: a lambda variable holds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_found(c: Column, words: list[str]) -> Column:
-    low = F.lower(c)
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
+    known = F.array(*[F.lit(w) for w in words])
+    return once(F.lower(c), lambda low: F.filter(known, lambda w: low.contains(w)))
+
+
+def names_any(low: Column, words: list[str]) -> Column:
+    """``has_any`` for a text that is in lower case already: the words are sought as they stand, without a pattern."""
+    return reduce(Column.__or__, [low.contains(w) for w in words])
 
 
 def metric_values(c: Column) -> Column:
@@ -123,15 +136,30 @@ def metric_values(c: Column) -> Column:
 def extraction_hints(entity_types: Column) -> Column:
     """Relation families to look for, given the entity types found in a passage."""
 
-    def both(a: str, b: str) -> Column:
-        return F.array_contains(entity_types, a) & F.array_contains(entity_types, b)
+    def families(types: Column) -> Column:
+        def both(a: str, b: str) -> Column:
+            return F.array_contains(types, a) & F.array_contains(types, b)
 
-    hints = F.array(
-        F.when(both("ML_Algorithm", "Metric"), "PREDICTS"),
-        F.when(both("Material", "Metric"), "HAS_PROPERTY"),
-        F.when(both("Process", "Metric"), "INFLUENCES"),
-    )
-    return F.filter(hints, lambda x: x.isNotNull())
+        return F.array(
+            F.when(both("ML_Algorithm", "Metric"), "PREDICTS"),
+            F.when(both("Material", "Metric"), "HAS_PROPERTY"),
+            F.when(both("Process", "Metric"), "INFLUENCES"),
+        )
+
+    return F.filter(once(entity_types, families), lambda x: x.isNotNull())
+
+
+def content_types(c: Column) -> Column:
+    """The entity types that a passage's words point to; the text is lower-cased once."""
+    def types(low: Column) -> Column:
+        return F.array(
+            F.when(names_any(low, v.ML_KEYWORDS), "ML_Algorithm"),
+            F.when(names_any(low, v.PERFORMANCE_KEYWORDS), "Metric"),
+            F.when(names_any(low, v.HINT_MATERIALS), "Material"),
+            F.when(names_any(low, v.NAME_KEYWORDS["Process"]), "Process"),
+        )
+
+    return F.filter(once(F.lower(c), types), lambda x: x.isNotNull())
 
 
 def content_hints(c: Column, shown: int | None = None) -> Column:
@@ -139,12 +167,18 @@ def content_hints(c: Column, shown: int | None = None) -> Column:
 
     NULL where it names neither; ``shown`` limits the words per line.
     """
-    ml, metrics, values = words_found(c, v.ML_KEYWORDS), words_found(c, v.PERFORMANCE_KEYWORDS), metric_values(c)
-
     def named(words: Column, kind: str) -> Column:
         some = words if shown is None else F.slice(words, 1, shown)
         return F.when(F.size(words) > 0, F.concat(F.lit(f"{kind}: "), F.array_join(some, ", ")))
 
-    count = F.when(F.size(values) > 0, F.concat(F.lit("values: "), F.size(values).cast("string")))
-    lines = F.concat_ws("\n", named(ml, "methods"), named(metrics, "metrics"), count)
-    return F.when((F.size(ml) > 0) | (F.size(metrics) > 0), lines)
+    def lines(found: Column) -> Column:
+        ml, metrics, values = found["ml"], found["metrics"], found["values"]
+        count = F.when(values > 0, F.concat(F.lit("values: "), values.cast("string")))
+        text = F.concat_ws("\n", named(ml, "methods"), named(metrics, "metrics"), count)
+        return F.when((F.size(ml) > 0) | (F.size(metrics) > 0), text)
+
+    found = F.struct(
+        words_found(c, v.ML_KEYWORDS).alias("ml"), words_found(c, v.PERFORMANCE_KEYWORDS).alias("metrics"),
+        F.size(metric_values(c)).alias("values"),
+    )
+    return once(found, lines)

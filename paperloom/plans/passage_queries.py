@@ -203,18 +203,9 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    from paperloom.functions.text import has_any
-
     p = chunking.passages(inputs.papers(spark, sf).select("doc_id", "text"))
-    c = F.col("content")
-    types = F.array(
-        F.when(has_any(c, v.ML_KEYWORDS), "ML_Algorithm"),
-        F.when(has_any(c, v.PERFORMANCE_KEYWORDS), "Metric"),
-        F.when(has_any(c, ["perovskite", "silicon"]), "Material"),
-        F.when(has_any(c, v.NAME_KEYWORDS["Process"]), "Process"),
-    )
-    found = F.filter(types, lambda x: x.isNotNull())
-    return p.select("doc_id", "global_chunk_id", F.array_join(tagging.extraction_hints(found), "|").alias("hints"))
+    types = tagging.content_types(F.col("content"))
+    return p.select("doc_id", "global_chunk_id", F.array_join(tagging.extraction_hints(types), "|").alias("hints"))
 
 
 def _found_sql(words: list[str]) -> str:

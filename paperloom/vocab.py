@@ -201,6 +201,7 @@ PERFORMANCE_KEYWORDS = [
     "fill factor", "bandgap", "homo", "lumo", "mobility", "conductivity", "t50", "t80", "lifetime", "degradation",
     "stability",
 ]
+HINT_MATERIALS = ["perovskite", "silicon"]
 METRIC_VALUE_UNITS = ["%", "eV", "V", "mA/cm²", "cm²/Vs"]
 
 # --- fixed values: extraction thresholds and labels -------------------------------------------------------------

@@ -157,3 +157,31 @@ def test_null_safe(spark):
 def test_patterns_are_shared_by_both_engines():
     for family in v.SECTION_HEADINGS:
         re.compile(v.heading_pattern(family).replace(r"\p{L}\p{N}", r"\w"))
+
+
+def test_hints_compute_what_they_are_given_once():
+    c = F.expr("concat(content, 'x')")
+    for made in (tagging.extraction_hints(F.array(c)), tagging.content_types(c), tagging.words_found(c, ["a", "b"])):
+        assert str(made).count("content") == 1
+    # methods, metrics and five patterns of values
+    assert str(tagging.content_hints(c)).count("content") == 7
+
+
+def test_content_types_see_words_in_any_case(spark):
+    got = apply(spark, tagging.content_types, "SVM and PCE", "Perovskite", "none", None)
+    assert got == [["ML_Algorithm", "Metric"], ["Material"], [], []]
+
+
+def test_one_large_row_group_is_dealt_out(spark, tmp_path):
+    path, n = str(tmp_path / "t"), spark.sparkContext.defaultParallelism
+    spark.range(20_000).select("id", F.md5(F.col("id").cast("string")).alias("x")).coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        read = spark.read.parquet(path)
+        assert read.rdd.getNumPartitions() >= n
+        rows = readers.spread(read)
+        most = max(rows.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert most < 20_000 / 4 and rows.count() == 20_000
