@@ -185,3 +185,17 @@ def test_one_large_row_group_is_dealt_out(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert most < 20_000 / 4 and rows.count() == 20_000
+
+
+def test_files_are_written_flat_and_cleaned_once(spark, tmp_path):
+    path = str(tmp_path / "files")
+    rows = spark.range(50).select("id", F.concat(F.col("id").cast("string"), F.lit("\n a \r\n b")).alias("value"))
+    writers.write_file_per_row(rows, ["id"], path, "text")
+    files = list((tmp_path / "files").rglob("*.txt"))
+    assert len(files) == 50 and {f.parent for f in files} == {tmp_path / "files"}
+    found = readers.scan_documents(spark, path)
+    assert {r.content for r in found.collect()} == {f"{i}\na\nb" for i in range(50)}
+    # one pass decodes and cleans: a second one for the filter would call Python again
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_replace" in x]
