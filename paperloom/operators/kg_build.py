@@ -254,7 +254,11 @@ def entity_descriptions(mentions: DataFrame) -> DataFrame:
 
 def entity_properties(mentions: DataFrame, key: str = "prop_key", value: str = "prop_value") -> DataFrame:
     """Every distinct value of every property, with the number of values: more than one is a conflict kept as a list."""
-    distinct = keyed_entities(mentions).select("entity_id", key, value).distinct()
+    return _properties(keyed_entities(mentions), key, value)
+
+
+def _properties(keyed: DataFrame, key: str, value: str) -> DataFrame:
+    distinct = keyed.select("entity_id", key, value).distinct()
     counts = distinct.groupBy("entity_id", key).agg(F.count("*").alias("values"))
     return distinct.join(counts, ["entity_id", key])
 
@@ -278,10 +282,10 @@ def relations_of_statements(counted: DataFrame) -> DataFrame:
 def graph_of(entities: DataFrame, relations: DataFrame, paper: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Accepted entities and relations of all papers as one graph: (vertices, edges, vertex properties)."""
     source = F.col(paper).cast("string").alias("paper")
-    vertices = merge_entities(entities.select("name", "type", "description", "confidence", source))
+    keyed = keyed_entities(entities.select("name", "type", "description", "confidence", "properties", source))
+    vertices = entities_of_parts(keyed_entity_parts(keyed))
     edges = merge_relations(relations.select("source_id", "type", "target_id", "description", "confidence", source))
-    values = entities.select("name", "type", F.explode("properties").alias("prop_key", "prop_value"))
-    return vertices, edges, entity_properties(values)
+    return vertices, edges, _properties(keyed.select("entity_id", F.explode("properties").alias("prop_key", "prop_value")), "prop_key", "prop_value")
 
 
 def relation_descriptions(relations: DataFrame) -> DataFrame:

@@ -459,3 +459,18 @@ def test_devices_of_records_are_not_shuffled_and_order_is_exact(spark):
     for name, vertex in seen.items():
         v = vertices[vertex, "Material"]
         assert (v["smiles"], v["mentions"]) == (next(r[5] for r in first if r[2] == name and r[5]), sum(r[2] == name for r in rows))
+
+
+def test_answers_are_parsed_and_models_asked_once(spark, sf, monkeypatch):
+    from paperloom.plans import graph_build_queries as g
+    from paperloom.plans import load_all
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    resolved, plain = [], kg_build.named_ids
+    monkeypatch.setattr(kg_build, "named_ids", lambda names: resolved.append(1) or plain(names))
+    graph = g._built(spark, sf)
+    assert len(resolved) == 1
+    assert all("from_json" not in plan(df) and "from_json" not in plan(g._parsed(spark, sf)) for df in graph)
+    assert "MapInPandas" not in plan(load_all()["f23_graph_from_documents"].plan(spark, sf))
