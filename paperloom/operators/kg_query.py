@@ -122,31 +122,39 @@ def _adjacency(edges: DataFrame, hub: int) -> DataFrame:
 
 
 class _Side:
-    """One end's search: per depth a written table of first reaches (root, vertex, parent, rank), without any path.
+    """One end's search: per depth a written table of first reaches (root, vertex, parent, above), without any path.
 
-    ``rank`` orders the smallest paths of one depth: by the rank of the parent, then by the vertex.  It comes from a sort by
-    ranges, so a root that reaches most of the graph is no single group.  The backward side needs no rank: its smallest
-    way on from a vertex begins with the smallest neighbour that is nearer.
+    The smallest paths of one depth are ordered by ``above``, the rank of the parent, then by the vertex.  Ranks are
+    numbered only for a depth from which the search goes on, by a sort by ranges, so a root that reaches most of the graph
+    is no single group.  The backward side needs no rank: its smallest way on from a vertex begins with the smallest
+    neighbour that is nearer.
     """
 
     def __init__(self, steps: Steps, roots: DataFrame, adjacent: DataFrame, forward: bool):
         self.steps, self.adjacent, self.forward = steps, adjacent, forward
         self.fans = adjacent.select("vertex", "parts").distinct()
-        self.levels = [steps.cut(roots.select("root", F.col("root").alias("vertex"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("rank")))]
+        self.levels = [steps.cut(roots.select("root", F.col("root").alias("vertex"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("above")))]
 
     @property
     def depth(self) -> int:
         return len(self.levels) - 1
 
     def frontier(self) -> DataFrame:
-        return self.levels[-1].select("root", "vertex", "rank")
+        return self.levels[-1].select("root", "vertex", "above")
+
+    def _ranked(self, frontier: DataFrame) -> DataFrame:
+        if not self.forward or not self.depth:
+            return frontier.withColumnRenamed("above", "rank")
+        order = ["root", "above", "vertex"]
+        sorted_ = frontier.repartitionByRange(*order).sortWithinPartitions(*order)
+        return self.steps.cut(sorted_.select("root", "vertex", F.monotonically_increasing_id().alias("rank")))
 
     def grow(self, wanted: DataFrame) -> bool:
         """One hop further for the wanted roots; False if nothing new was reached.
 
         New vertices are those of neither of the last two depths, since neighbours are at most one hop apart.
         """
-        edge = self.frontier().join(wanted, "root", "left_semi").join(self.fans, "vertex")
+        edge = self._ranked(self.frontier().join(wanted, "root", "left_semi")).join(self.fans, "vertex")
         edge = edge.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         grown = edge.join(self.adjacent.drop("parts"), ["vertex", "salt"])
         best = F.min(F.struct("rank", "vertex") if self.forward else F.struct("vertex", "rank")).alias("by")
@@ -154,12 +162,7 @@ class _Side:
         for level in self.levels[-2:]:
             new = new.join(level.select("root", F.col("vertex").alias("reached")), ["root", "reached"], "left_anti")
         new = new.select("root", F.col("reached").alias("vertex"), F.col("by.vertex").alias("parent"), F.col("by.rank").alias("above"))
-        if self.forward:
-            order = ["root", "above", "vertex"]
-            new = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
-        else:
-            new = new.withColumn("rank", F.lit(0).cast("bigint"))
-        self.levels.append(self.steps.cut(new.drop("above")))
+        self.levels.append(self.steps.cut(new))
         return not self.levels[-1].isEmpty()
 
     def walk(self, found: DataFrame, root: str, hops: str) -> DataFrame:
@@ -175,11 +178,24 @@ class _Side:
         return found
 
 
+def _probes(steps: Steps, open_: DataFrame, a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open pairs with the frontier of their source, or of their target where that is smaller; to be held against the other.
+
+    Many pairs may share one end with a great frontier: only their smaller frontiers are written out.
+    """
+    n_a = a.groupBy("source_id").agg(F.count("*").alias("n_a"))
+    n_b = b.groupBy("target_id").agg(F.count("*").alias("n_b"))
+    sized = steps.cut(open_.join(n_a, "source_id").join(n_b, "target_id"))
+    forward, backward = sized.filter("n_a <= n_b"), sized.filter("n_a > n_b")
+    pair = ["source_id", "target_id"]
+    return forward.select(*pair).join(a, "source_id"), backward.select(*pair).join(b, "target_id")
+
+
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_length: int = 5, hub: int = 10_000) -> DataFrame:
     """Undirected shortest path of every (source_id, target_id) pair, at most ``max_length`` hops; the smallest among equals.
 
     Both ends search by turns and keep only predecessors.  After every hop the frontiers of the pairs still open are held
-    against each other: pairs that meet get their paths by walking back and are retired, and roots without an open pair grow
+    against each other, beginning with the smaller one: pairs that meet get their paths by walking back and are retired, and roots without an open pair grow
     no further.  The neighbours of a vertex with more than ``hub`` of them are joined in parts.  Pairs out of reach are left out.
     """
     steps = Steps(pairs.sparkSession)
@@ -193,10 +209,11 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_length: int = 5, hub:
             side, end = (ahead, "source_id") if length % 2 else (back, "target_id")
             if not side.grow(open_.select(F.col(end).alias("root")).distinct()):
                 break
-        a = ahead.frontier().select(F.col("root").alias("source_id"), "vertex", "rank")
+        a = ahead.frontier().select(F.col("root").alias("source_id"), "vertex", "above")
         b = back.frontier().select(F.col("root").alias("target_id"), "vertex")
-        now = open_.join(a, "source_id").join(b, ["target_id", "vertex"])
-        now = now.groupBy("source_id", "target_id").agg(F.min(F.struct("rank", "vertex")).alias("m"))
+        by_a, by_b = _probes(steps, open_, a, b)
+        now = by_a.join(b, ["target_id", "vertex"]).unionByName(by_b.join(a, ["source_id", "vertex"]))
+        now = now.groupBy("source_id", "target_id").agg(F.min(F.struct("above", "vertex")).alias("m"))
         now = steps.cut(now.select("source_id", "target_id", F.lit(length).alias("length"), F.col("m.vertex").alias("middle")))
         met = now if met is None else met.unionByName(now)
         if now.isEmpty():

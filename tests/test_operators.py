@@ -474,3 +474,16 @@ def test_answers_are_parsed_and_models_asked_once(spark, sf, monkeypatch):
     assert len(resolved) == 1
     assert all("from_json" not in plan(df) and "from_json" not in plan(g._parsed(spark, sf)) for df in graph)
     assert "MapInPandas" not in plan(load_all()["f23_graph_from_documents"].plan(spark, sf))
+
+
+def test_pairs_at_a_hub_are_met_from_their_smaller_side(spark):
+    steps = Steps(spark)
+    pairs = spark.createDataFrame([("H", f"p{i}") for i in range(50)] + [(f"s{i}", "T") for i in range(50)], "source_id string, target_id string")
+    a = spark.createDataFrame([("H", f"x{i}", i) for i in range(40)] + [(f"s{i}", f"y{i}", 0) for i in range(50)], "source_id string, vertex string, above bigint")
+    b = spark.createDataFrame([(f"p{i}", f"x{i % 45}") for i in range(50)] + [("T", f"y{i}") for i in range(30)], "target_id string, vertex string")
+    by_a, by_b = kg_query._probes(steps, pairs, a, b)
+    assert by_a.count() == 50 and by_b.count() == 50
+    met = by_a.join(b, ["target_id", "vertex"]).unionByName(by_b.join(a, ["source_id", "vertex"]))
+    want = pairs.join(a, "source_id").join(b, ["target_id", "vertex"])
+    rows = ["source_id", "target_id", "vertex", "above"]
+    assert sorted(map(tuple, met.select(*rows).collect())) == sorted(map(tuple, want.select(*rows).collect())) != []
