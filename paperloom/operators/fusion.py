@@ -239,20 +239,28 @@ def _finish_small(steps: Steps, open_ids: DataFrame, row: str, group: list[str],
     schema = T.StructType([parts.schema[c] for c in columns])
 
     def sequential(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_k=[tuple(o.values()) if isinstance(o, dict) else tuple(o) for o in pdf["_o"]])
-        seen, out = set(), []
-        for _, rows in sorted(pdf.groupby([*columns, "_k"], dropna=False), key=lambda x: x[0][-1]):
-            found = {(*[rows[c].iloc[0] for c in group], i) for i in rows["_id"]}
-            if not found & seen:
-                seen |= found
-                out.append(rows.iloc[0][columns])
-        return pd.DataFrame(out, columns=columns)
+        return _kept_in_order(pdf, columns, len(group))
 
     settled = parts.join(small, "_root", "left_semi").groupBy("_root").applyInPandas(sequential, schema)
     rest = parts.join(small, "_root", "left_anti").drop("_root")
     return steps.cut(settled), steps.cut(rest.select(*open_ids.columns))
 
 
+def _kept_in_order(pdf: pd.DataFrame, columns: list[str], n_group: int) -> pd.DataFrame:
+    """The sequential rule over the rows (columns, _o, _id) of one component; the first ``n_group`` columns are the group."""
+    plain = [[None if x is None or x != x else x for x in pdf[c].tolist()] for c in columns]
+    order = [tuple(o.values()) if isinstance(o, dict) else tuple(o) for o in pdf["_o"]]
+    found: dict[tuple, set] = {}
+    for key, result, i in zip(order, zip(*plain), pdf["_id"].tolist()):
+        found.setdefault((key, result), set()).add((*result[:n_group], i))
+    seen, out = set(), []
+    for (_, result), ids in sorted(found.items(), key=lambda x: x[0][0]):
+        if seen.isdisjoint(ids):
+            seen |= ids
+            out.append(result)
+    return pd.DataFrame(out, columns=columns)
+
+
 def drop_repeated_urls(results: DataFrame, group: list[str], order: list[str], url: str = "url", title: str = "title") -> DataFrame:
     """The first result per url, or per title where there is no url."""
     key = F.coalesce(F.nullif(strip(F.col(url)), F.lit("")), F.col(title))

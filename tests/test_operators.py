@@ -487,3 +487,19 @@ def test_pairs_at_a_hub_are_met_from_their_smaller_side(spark):
     want = pairs.join(a, "source_id").join(b, ["target_id", "vertex"])
     rows = ["source_id", "target_id", "vertex", "above"]
     assert sorted(map(tuple, met.select(*rows).collect())) == sorted(map(tuple, want.select(*rows).collect())) != []
+
+
+def test_sequential_rule_is_linear_in_rows():
+    import time
+
+    import pandas as pd
+
+    n = 20_000
+    rows = [(None if i % 2 else 1.0, i, (i,), f"k{i + j}") for i in range(n) for j in (0, 1)]
+    pdf = pd.DataFrame(rows, columns=["g", "r", "_o", "_id"])
+    start = time.time()
+    kept = fusion._kept_in_order(pdf.sample(frac=1, random_state=1), ["g", "r"], 1)
+    # the ids of neighbours belong to different groups here, so all stay
+    assert kept["r"].tolist() == list(range(n)) and time.time() - start < 3
+    same = fusion._kept_in_order(pdf.assign(g=1.0), ["g", "r"], 1)
+    assert same["r"].tolist() == list(range(0, n, 2))
