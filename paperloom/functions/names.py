@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,13 +32,20 @@ def normalize_name(c: Column) -> Column:
     The dictionary has a fixed size, so it travels inside the expression and costs no join.
     """
     plain = strip(c)
-    clean = F.when(plain.rlike(r"[$\\{}^]"), strip_latex(plain)).otherwise(plain)
+    latex = reduce(or_, [plain.contains(sign) for sign in "$\\{}^"])
+    clean = F.when(latex, strip_latex(plain)).otherwise(plain)
     return F.coalesce(F.try_element_at(literal_map(variant_table()), squash(clean)), clean)
 
 
 def canonical_name(c: Column) -> Column:
-    key = F.regexp_replace(F.lower(normalize_name(c)), r"[^\p{L}\p{N}_]", "_")
-    return F.btrim(F.regexp_replace(key, "_+", "_"), F.lit("_"))
+    low = F.lower(normalize_name(c))
+    # most names are ASCII words with single signs between them, where one anchored match replaces a search at every place
+    simple = low.rlike(r"\A[a-z0-9]++(?:[-_ .:/][a-z0-9]++)*+\z")
+    signs = low
+    for sign in "- .:/":
+        signs = F.replace(signs, F.lit(sign), F.lit("_"))
+    # underscores count as signs to be replaced, so that runs of both become one in a single pass
+    return F.when(simple, signs).otherwise(F.btrim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", "_"), F.lit("_")))
 
 
 def entity_id(name: Column, entity_type: Column) -> Column:

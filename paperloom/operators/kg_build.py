@@ -388,7 +388,8 @@ def record_ids(records: DataFrame, dataset: str = "records") -> DataFrame:
     ids = named_ids(df.select(F.explode(named).alias("n")).select("n.*").filter("name IS NOT NULL")).select("name", "type", "entity_id")
     for c, kind, out in shared:
         df = df.join(ids.filter(f("type") == kind).select(f("name").alias(c), f("entity_id").alias(out)), c, "left")
-    return df.withColumn("device_id", F.when(f("device_name").isNotNull(), nm.entity_id(f("device_name"), F.lit("Device"))))
+    # NULL without a name; a condition around it would keep the compiler from computing its common parts once
+    return df.withColumn("device_id", nm.entity_id(f("device_name"), F.lit("Device")))
 
 
 def _filled(owner: Column, facts: dict[str, Column]) -> Column:
@@ -487,27 +488,35 @@ def record_edge_properties(ids: DataFrame, dataset: str = "records") -> DataFram
     def number(c: str) -> Column:
         return o(c).cast("double")
 
-    def edge(source: Column, target: Column, kind: str, suffix: Column, facts: dict[str, Column]) -> Column:
-        return _filled(F.when(source.isNotNull() & target.isNotNull(), nm.edge_id(source, target, F.lit(kind), suffix)), facts)
+    edges: list[Column] = []
+    said_of: list[tuple[int, str, Column]] = []
+
+    def edge(source: Column, target: Column, kind: str, suffix: Column, facts: dict[str, Column]) -> None:
+        said_of.extend((len(edges), k, c.cast("string")) for k, c in facts.items())
+        edges.append(nm.edge_id(source, target, F.lit(kind), suffix))  # NULL if an end is
 
     def said(*parts: Column | str) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    device, made = f("device_id"), []
+    device = f("device_id")
     for end, eid, name in (("donor", "donor_id", "donor_name"), ("acceptor", "acceptor_id", "acceptor_name"), ("additive", "additive_eid", "additive_id")):
         facts = {"concentration_mg_ml": number(f"{end}_conc_mg_ml"), "description": said("Device ", f("device_name"), f" uses {end} ", f(name), ".")}
         if end == "additive":
             facts |= {"vol_pct": number("additive_vol_pct"), "wt_pct": number("additive_wt_pct")}
-        made.append(edge(device, f(eid), "USES", F.concat(f("record_id"), F.lit(f"|{end}")), facts))
+        edge(device, f(eid), "USES", F.concat(f("record_id"), F.lit(f"|{end}")), facts)
     gains = {"delta_pce": number("delta_pce"), "pce_baseline": number("pce_baseline"), "morphology_effect": o("morphology_effect"), "mechanism": o("mechanism")}
-    made.append(edge(f("additive_eid"), device, "ENHANCES", f("record_id"), {**gains, "description": said("Additive ", f("additive_id"), " enhances device ", f("device_name"), ".")}))
+    edge(f("additive_eid"), device, "ENHANCES", f("record_id"), {**gains, "description": said("Additive ", f("additive_id"), " enhances device ", f("device_name"), ".")})
     for column, metric, unit in v.DEVICE_METRICS:
         value = number(column)
         metric_id = F.when(value.isNotNull(), nm.entity_id(F.lit(metric), F.lit("Metric")))
         text = said("Device ", f("device_name"), f" {metric} = ", value.cast("string"), f" {unit}." if unit else ".")
-        made.append(edge(device, metric_id, "HAS_PROPERTY", F.concat(f("record_id"), F.lit(f"|{column}")), {"value": value, "unit": F.lit(unit), "description": text}))
-    made.append(edge(f("paper_eid"), device, "CONTAINS", f("record_id"), {"dataset": F.lit(dataset), "description": said("Paper ", f("doi"), " contains device record ", f("record_id"), ".")}))
-    return ids.select(F.explode(F.concat(*made)).alias("f")).select("f.*")
+        edge(device, metric_id, "HAS_PROPERTY", F.concat(f("record_id"), F.lit(f"|{column}")), {"value": value, "unit": F.lit(unit), "description": text})
+    edge(f("paper_eid"), device, "CONTAINS", f("record_id"), {"dataset": F.lit(dataset), "description": said("Paper ", f("doi"), " contains device record ", f("record_id"), ".")})
+    # every identifier and value is a column, made once a record by compiled code, before its facts become rows
+    wide = ids.select(*[c.alias(f"_e{i}") for i, c in enumerate(edges)], *[c.alias(f"_v{j}") for j, (_, _, c) in enumerate(said_of)])
+    cells = [c for j, (i, k, _) in enumerate(said_of) for c in (f(f"_e{i}"), F.lit(k), f(f"_v{j}"))]
+    rows = wide.select(F.stack(F.lit(len(said_of)), *cells).alias("id", "key", "value"))
+    return rows.filter(f("id").isNotNull() & _present(f("value")))
 
 
 def record_vertices(ids: DataFrame, dataset: str = "records") -> DataFrame:

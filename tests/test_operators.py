@@ -503,3 +503,34 @@ def test_sequential_rule_is_linear_in_rows():
     assert kept["r"].tolist() == list(range(n)) and time.time() - start < 3
     same = fusion._kept_in_order(pdf.assign(g=1.0), ["g", "r"], 1)
     assert same["r"].tolist() == list(range(0, n, 2))
+
+
+def _device_rows(spark):
+    schema = "record_id string, doi string, donor_name string, acceptor_name string, additive_id string, donor_conc double, additive_vol_pct double, mechanism string, pce_percent double, jsc_ma_cm2 double, voc_v double, ff double"
+    rows = [
+        ("r1", "10.1/1", "A", "B", "x", 2.0, 1.5, "", 10.0, None, 1.0, None), ("r2", None, "A", None, None, None, None, "packing", None, None, None, 0.5),
+        (None, "10.1/1", "C", "B", "x", 1.0, 2.5, "finer", 11.0, 3.0, None, None),
+    ]
+    return kg_build.record_ids(spark.createDataFrame(rows, schema))
+
+
+def test_an_edge_id_is_computed_once_and_not_per_property(spark):
+    ids = _device_rows(spark)
+    made = kg_build.record_edge_properties(ids)
+    found = {(r["id"], r["key"]): r["value"] for r in made.collect()}
+    assert len(found) == made.count()
+    edges = {r["id"] for r in kg_build.record_edges(ids).collect()} - {None}
+    assert {i for i, _ in found} <= edges and all(found.values())
+    assert sorted(v for (i, k), v in found.items() if k == "value") == ["0.5", "1.0", "10.0"]
+    assert [v for (i, k), v in found.items() if k == "mechanism"] == [] and [v for (i, k), v in found.items() if k == "vol_pct"] == ["1.5"]
+    one = spark.createDataFrame(ids.collect(), ids.schema)
+    plan = kg_build.record_edge_properties(one)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 9, plan.count("md5(")
+
+
+def test_canonical_names_agree_with_the_rule_for_every_kind_of_name(spark):
+    names = ["records-ab12-R1", " Spin  Coating ", "a--b", "-a-", "a_b", "__", "", "ä-Öl", "a.b:c/d e", "A\n", "a b", "$V_{oc}$", "x^2", "x²-y", "a-b\n", "İx", "𝒜-b", None]
+    key = F.regexp_replace(F.lower(nm.normalize_name(F.col("n"))), r"[^\p{L}\p{N}_]", "_")
+    rule = F.btrim(F.regexp_replace(key, "_+", "_"), F.lit("_"))
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", nm.canonical_name(F.col("n")).alias("a"), rule.alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
