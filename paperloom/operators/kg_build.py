@@ -576,30 +576,25 @@ def record_edges(ids: DataFrame) -> DataFrame:
     """Edges of device records, one per record and role: USES, ENHANCES, HAS_PROPERTY and CONTAINS."""
     f, none = F.col, F.lit(None).cast("double")
 
-    def edge(source, target, kind, suffix, value=none) -> Column:
-        ok = source.isNotNull() & target.isNotNull()
-        return F.when(
-            ok,
-            F.struct(
-                nm.edge_id(source, target, F.lit(kind), suffix).alias("id"), source.alias("source_id"), target.alias("target_id"),
-                F.lit(kind).alias("type"), value.cast("double").alias("value"),
-            ),
-        )
-
     def suffix(role: str) -> Column:
         return F.concat(f("record_id"), F.lit("|" + role))
 
+    device = f("device_id")
     edges = [
-        edge(f("device_id"), f("donor_id"), "USES", suffix("donor"), f("donor_conc")),
-        edge(f("device_id"), f("acceptor_id"), "USES", suffix("acceptor")),
-        edge(f("device_id"), f("additive_eid"), "USES", suffix("additive")),
-        edge(f("additive_eid"), f("device_id"), "ENHANCES", f("record_id")),
+        (device, f("donor_id"), "USES", suffix("donor"), f("donor_conc")),
+        (device, f("acceptor_id"), "USES", suffix("acceptor"), none),
+        (device, f("additive_eid"), "USES", suffix("additive"), none),
+        (f("additive_eid"), device, "ENHANCES", f("record_id"), none),
     ]
     for column, metric, _ in v.DEVICE_METRICS:
         metric_id = F.when(f(column).isNotNull(), nm.entity_id(F.lit(metric), F.lit("Metric")))
-        edges.append(edge(f("device_id"), metric_id, "HAS_PROPERTY", suffix(column), f(column)))
-    edges.append(edge(f("paper_eid"), f("device_id"), "CONTAINS", f("record_id")))
-    return ids.select("doi", F.explode_outer(F.array(*edges)).alias("e")).filter(F.col("e").isNotNull()).select("e.*", "doi")
+        edges.append((device, metric_id, "HAS_PROPERTY", suffix(column), f(column)))
+    edges.append((f("paper_eid"), device, "CONTAINS", f("record_id"), none))
+    # every identifier is a column, made once a record by compiled code, before the edges become rows
+    wide = ids.withColumns({f"_e{i}": nm.edge_id(a, b, F.lit(kind), more) for i, (a, b, kind, more, _) in enumerate(edges)})
+    cells = [c for i, (a, b, kind, _, value) in enumerate(edges) for c in (f(f"_e{i}"), a, b, F.lit(kind), value.cast("double"))]
+    rows = wide.select(F.stack(F.lit(len(edges)), *cells).alias("id", "source_id", "target_id", "type", "value"), "doi")
+    return rows.filter(f("source_id").isNotNull() & f("target_id").isNotNull())
 
 
 def reconcile(vertices: DataFrame, edges: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -528,6 +528,17 @@ def test_an_edge_id_is_computed_once_and_not_per_property(spark):
     assert plan.count("md5(") == 9, plan.count("md5(")
 
 
+def test_edges_of_records_become_rows_without_structs_and_ids_stand_in_no_condition(spark):
+    ids = _device_rows(spark)
+    rows = kg_build.record_edges(ids).collect()
+    device = {r["record_id"]: r["device_id"] for r in ids.collect()}
+    assert sorted(r["type"] for r in rows if r["source_id"] == device["r1"] or r["target_id"] == device["r1"]) == ["CONTAINS", "ENHANCES", "HAS_PROPERTY", "HAS_PROPERTY", "USES", "USES", "USES"]
+    assert sorted((r["type"], r["value"]) for r in rows if r["source_id"] == device["r2"] or r["target_id"] == device["r2"]) == [("HAS_PROPERTY", 0.5), ("USES", None)]
+    assert sum(r["id"] is None for r in rows) == sum(r["source_id"] == device[None] or r["target_id"] == device[None] for r in rows) > 0
+    plan = kg_build.record_edges(ids)._jdf.queryExecution().optimizedPlan().toString()
+    assert "named_struct" not in plan and "CASE WHEN isnotnull(device_name" not in plan
+
+
 def test_canonical_names_agree_with_the_rule_for_every_kind_of_name(spark):
     names = ["records-ab12-R1", " Spin  Coating ", "a--b", "-a-", "a_b", "__", "", "ä-Öl", "a.b:c/d e", "A\n", "a b", "$V_{oc}$", "x^2", "x²-y", "a-b\n", "İx", "𝒜-b", None]
     key = F.regexp_replace(F.lower(nm.normalize_name(F.col("n"))), r"[^\p{L}\p{N}_]", "_")
