@@ -265,17 +265,26 @@ def _properties(keyed: DataFrame, key: str, value: str) -> DataFrame:
 
 def merge_relations(relations: DataFrame) -> DataFrame:
     """One edge per (source, type, target) with counts, top confidence and the first description."""
-    key = ["source_id", "type", "target_id"]
-    # equal statements are counted first; distinct papers and descriptions are then few
-    counted = relations.groupBy(*key, "paper", "description").agg(F.count("*").alias("mentions"), F.max("confidence").alias("confidence"))
-    return relations_of_statements(counted)
+    one = F.lit(1).cast("bigint").alias("mentions")
+    return relations_of_statements(relations.select("source_id", "type", "target_id", "paper", "description", one, "confidence"))
 
 
 def relations_of_statements(counted: DataFrame) -> DataFrame:
-    """Edges of statements (source, type, target, paper, description) with their mentions and top confidence."""
-    return counted.groupBy("source_id", "type", "target_id").agg(
-        F.sum("mentions").alias("mentions"), F.max("confidence").alias("confidence"), F.min("description").alias("description"),
-        F.count_distinct("paper").alias("papers"), F.count_distinct(F.when(_present(F.col("description")), F.col("description"))).alias("descriptions"),
+    """Edges of statements (source, type, target, paper, description) with their mentions and top confidence.
+
+    A statement is two rows, one of its paper and one of its description; equal ones are merged by hashing, spread by
+    paper or text where an edge is a hub, and what is left of them is counted, so nothing is expanded to count what is distinct.
+    """
+    key, f = ["source_id", "type", "target_id"], F.col
+    cells = [
+        F.lit(True), f("paper").cast("string"), f("mentions"), f("confidence"),
+        F.lit(False), f("description"), F.lit(0).cast("bigint"), F.lit(None).cast(counted.schema["confidence"].dataType),
+    ]
+    halves = counted.select(*key, F.stack(F.lit(2), *cells).alias("_paper", "_value", "mentions", "confidence"))
+    merged = halves.groupBy(*key, "_paper", "_value").agg(F.sum("mentions").alias("mentions"), F.max("confidence").alias("confidence"))
+    return merged.groupBy(*key).agg(
+        F.sum("mentions").alias("mentions"), F.max("confidence").alias("confidence"), F.min(F.when(~f("_paper"), f("_value"))).alias("description"),
+        F.count_if(f("_paper") & f("_value").isNotNull()).alias("papers"), F.count_if(~f("_paper") & _present(f("_value"))).alias("descriptions"),
     )
 
 

@@ -545,3 +545,21 @@ def test_canonical_names_agree_with_the_rule_for_every_kind_of_name(spark):
     rule = F.btrim(F.regexp_replace(key, "_+", "_"), F.lit("_"))
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", nm.canonical_name(F.col("n")).alias("a"), rule.alias("b")).collect()
     assert [r["a"] for r in got] == [r["b"] for r in got]
+
+
+def test_relations_merge_without_expanding_rows_for_distinct_counts(spark):
+    r = random.Random(3)
+    rows = [(r.choice("ab"), r.choice(["T", None]), r.choice("xy"), r.choice(["p1", "p2", None]), r.choice(["", "long", "short", None]), r.choice([0.1, 0.9, None])) for _ in range(60)]
+    rows.append(("lone", "T", "x", None, None, None))
+    df = spark.createDataFrame(rows, "source_id string, type string, target_id string, paper string, description string, confidence double")
+    got = kg_build.merge_relations(df)
+    want = {}
+    for row in rows:
+        want.setdefault(row[:3], []).append(row[3:])
+    for x in got.collect():
+        of = want.pop((x.source_id, x.type, x.target_id))
+        texts = {d for _, d, _ in of if d is not None}
+        assert (x.mentions, x.papers, x.descriptions) == (len(of), len({p for p, _, _ in of} - {None}), len(texts - {""}))
+        assert x.description == min(texts, default=None) and x.confidence == max((c for _, _, c in of if c is not None), default=None)
+    assert not want
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
