@@ -397,7 +397,6 @@ def record_ids(records: DataFrame, dataset: str = "records") -> DataFrame:
     ids = named_ids(df.select(F.explode(named).alias("n")).select("n.*").filter("name IS NOT NULL")).select("name", "type", "entity_id")
     for c, kind, out in shared:
         df = df.join(ids.filter(f("type") == kind).select(f("name").alias(c), f("entity_id").alias(out)), c, "left")
-    # NULL without a name; a condition around it would keep the compiler from computing its common parts once
     return df.withColumn("device_id", nm.entity_id(f("device_name"), F.lit("Device")))
 
 
