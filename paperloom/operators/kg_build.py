@@ -196,8 +196,8 @@ def keyed_entities(df: DataFrame) -> DataFrame:
 def longest(c: str) -> Column:
     """Longest non-empty text of a group; the smallest one among equals."""
     text = F.col(c)
-    # min_by over (−length, text) keeps one candidate per partial aggregate
-    return F.min_by(text, F.struct(-F.length(text), text))
+    # min_by over (−length, text) keeps one candidate per partial aggregate; it passes over NULL ranks, hence missing texts
+    return F.min_by(text, F.when(text.isNotNull(), F.struct(-F.length(text), text)))
 
 
 def best_name(c: str, order: str | None = None) -> Column:
@@ -209,15 +209,34 @@ def best_name(c: str, order: str | None = None) -> Column:
 def merge_entities(mentions: DataFrame, order: str | None = None) -> DataFrame:
     """One vertex per canonical name and type with best name, longest description, top confidence and counts.
 
-    Equal mentions are counted first, by hash aggregation; the best texts are then chosen per paper and per entity from
-    the few rows that are left, so a hub entity spreads over many tasks before its rows meet, and nothing is joined.
+    A mention is one row of its paper and one of its texts; equal rows are merged first, by hash aggregation, so what is
+    left grows with papers plus texts instead of their pairs.  The best texts are then chosen from the few rows that are
+    left, so a hub entity spreads over many tasks before its rows meet, and nothing is joined.
     """
     return entities_of_parts(keyed_entity_parts(keyed_entities(mentions), order))
 
 
 def keyed_entity_parts(keyed: DataFrame, order: str | None = None) -> DataFrame:
-    """Mergeable parts of keyed mentions: counts and best texts per entity and paper."""
-    return _best_per(_counted(keyed, ["paper"], order), ["entity_id", "type", "paper"])
+    """Mergeable parts of keyed mentions: counts per entity and paper, and one row per entity, without paper, of its best texts."""
+    return _best_per(entity_statements(keyed, order), ["entity_id", "type", "paper"])
+
+
+def entity_statements(keyed: DataFrame, order: str | None = None) -> DataFrame:
+    """The distinct papers of every entity with their counts, and its distinct pairs of name and description."""
+    key, f = ["entity_id", "type", "paper", "name", "description"], F.col
+    rows = keyed.withColumn("_at", f(order) if order else F.lit(None).cast("string"))
+
+    def empty(c: str) -> Column:
+        return F.lit(None).cast(rows.schema[c].dataType)
+
+    cells = [
+        f("paper"), empty("normal_name"), empty("description"), F.lit(1).cast("bigint"), f("confidence"), empty("_at"),
+        empty("paper"), f("normal_name"), f("description"), F.lit(0).cast("bigint"), empty("confidence"), f("_at"),
+    ]
+    halves = rows.select("entity_id", "type", F.stack(F.lit(2), *cells).alias(*key[2:], "mentions", "confidence", "_at"))
+    # a least text would be found by sorting all rows, so without an order there is none to find
+    at = F.min("_at") if order else F.lit(None).cast("string")
+    return halves.groupBy(*key).agg(F.sum("mentions").alias("mentions"), F.max("confidence").alias("confidence"), at.alias("_at"))
 
 
 def merge_entity_parts(parts: DataFrame) -> DataFrame:
@@ -229,15 +248,15 @@ def entities_of_parts(parts: DataFrame) -> DataFrame:
     return _best_per(parts, ["entity_id", "type"], F.count("paper").alias("papers")).drop("_at")
 
 
-def _counted(keyed: DataFrame, by: list[str], order: str | None = None) -> DataFrame:
-    first = F.min(order) if order else F.lit(None).cast("string")
+def _counted(keyed: DataFrame, by: list[str]) -> DataFrame:
     return keyed.groupBy("entity_id", "type", *by, F.col("normal_name").alias("name"), "description").agg(
-        F.count("*").alias("mentions"), F.max("confidence").alias("confidence"), first.alias("_at")
+        F.count("*").alias("mentions"), F.max("confidence").alias("confidence"), F.lit(None).cast("string").alias("_at")
     )
 
 
 def _best_per(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    rank = F.struct(-nm.name_score(F.col("name")), "_at", "name")
+    # rows of papers carry no name, and min_by passes over NULL ranks
+    rank = F.when(F.col("name").isNotNull(), F.struct(-nm.name_score(F.col("name")), "_at", "name"))
     return rows.groupBy(*keys).agg(
         F.sum("mentions").alias("mentions"), F.min_by("name", rank).alias("name"), longest("description").alias("description"),
         F.max("confidence").alias("confidence"), F.min_by("_at", rank).alias("_at"), *more,

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import names as nm
 from paperloom.operators import cellindex, components, evalcompare, evalscores, fusion, hooks, kg_build, kg_query, loop, qaset, vectors
+from paperloom.plans import inputs
 from paperloom.session import Steps, new_path
+from paperloom.sources import readers
 from paperloom.streaming import jobs
 
 
@@ -563,3 +565,39 @@ def test_relations_merge_without_expanding_rows_for_distinct_counts(spark):
         assert x.description == min(texts, default=None) and x.confidence == max((c for _, _, c in of if c is not None), default=None)
     assert not want
     assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entities_merge_without_pairing_papers_with_texts(spark):
+    n = 30
+    rows = [("PCE", "Metric", f"text {i:02d}" + "x" * (i % 7), f"p{j}", (i + j) / 100) for i in range(n) for j in range(n)]
+    # no description, no paper, other spellings and a second type
+    rows += [("PCE", "Metric", None, "p1", 0.1), ("power-conversion efficiency", "Metric", "text", None, 0.99), ("pce", "Concept", None, None, None)]
+    m = spark.createDataFrame(rows, "name string, type string, description string, paper string, confidence double")
+    keyed = kg_build.keyed_entities(m)
+    # papers and one without, texts and one missing; a row of mentions without paper and a row of texts of the other type
+    assert kg_build.entity_statements(keyed).count() == (n + 1) + (n + 2) + 2
+    assert kg_build.keyed_entity_parts(keyed).count() == (n + 1) + 1
+    out = kg_build.merge_entities(m)
+    got = {r.type: (r.mentions, r.papers, r.description, r.confidence) for r in out.collect()}
+    assert got == {"Metric": (n * n + 2, n, "text 06xxxxxx", 0.99), "Concept": (1, 0, None, None)}
+    twice = kg_build.entities_of_parts(kg_build.merge_entity_parts(kg_build.keyed_entity_parts(keyed).unionByName(kg_build.keyed_entity_parts(keyed))))
+    assert {r.type: (r.mentions, r.papers, r.description, r.confidence) for r in twice.collect()} == {k: (2 * v[0], *v[1:]) for k, v in got.items()}
+
+
+def test_entities_take_the_earliest_name_of_an_order(spark):
+    m = spark.createDataFrame([("ab-c", "X", "d", "p2", "2"), ("ab c", "X", "d", "p1", "3"), ("ab_c", "X", None, "p1", "1"), ("ab.c", "X", "e", None, "4")], "name string, type string, description string, paper string, seq string")
+    m = m.withColumn("confidence", F.lit(0.5))
+    assert [(r.name, r.mentions, r.papers, r.description) for r in kg_build.merge_entities(m).collect()] == [("ab c", 4, 2, "d")]
+    plain = m.filter("name <> 'ab c'")
+    assert [(r.name, r.mentions) for r in kg_build.merge_entities(plain, "seq").collect()] == [("ab_c", 3)]
+    assert [r.name for r in kg_build.merge_entities(plain).collect()] == ["ab-c"]
+
+
+def test_distinct_rows_are_dealt_out_by_rows_however_well_they_pack(spark, sf):
+    df = spark.range(9000).select((F.col("id") % 8000).alias("a"), F.concat(F.lit("x"), F.col("id") % 4000).alias("b"))
+    parts = readers.distinct_rows(df, most=500)
+    per_task = [r["count"] for r in parts.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(per_task) == 8000 and len(per_task) == 18 and max(per_task) < 1000
+    odd = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (float("nan"),), (None,), (None,)], "c double")
+    assert readers.distinct_rows(odd, most=1).count() == 3
+    assert "REPARTITION_BY_NUM" in inputs.raw_entities(spark, sf)._jdf.queryExecution().executedPlan().toString()
