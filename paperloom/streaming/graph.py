@@ -3,8 +3,8 @@
 A fact is one row.  ``kind`` = 'entity': a mention with name, type, description, paper, confidence and, if any, prop_key and
 prop_value.  ``kind`` = 'relation': (name, type) -relation-> (target_name, target_type) with description, paper, confidence.
 
-Every batch reduces its own facts to mergeable parts (counts and best texts per entity and paper, counts per statement,
-the last value per property) and writes them as a version named by its number, so a batch that is tried again replaces its
+Every batch reduces its own facts to mergeable parts (counts per entity and paper, best texts per entity, counts per
+statement, the last value per property) and writes them as a version named by its number, so a batch that is tried again replaces its
 own version.  Every ``compact`` batches a version holds the merged parts of all before it, and what no retry and no reader
 needs any more is deleted.  A read merges ``compact`` versions at most:
 
