@@ -419,10 +419,16 @@ def record_ids(records: DataFrame, dataset: str = "records") -> DataFrame:
     return df.withColumn("device_id", nm.entity_id(f("device_name"), F.lit("Device")))
 
 
-def _filled(owner: Column, facts: dict[str, Column]) -> Column:
-    """The facts of one owner as (id, key, value) structs; empty values are left out."""
-    rows = F.array(*[F.struct(owner.alias("id"), F.lit(k).alias("key"), c.cast("string").alias("value")) for k, c in facts.items()])
-    return F.filter(rows, lambda r: r["id"].isNotNull() & (F.coalesce(r["value"], F.lit("")) != ""))
+def _filled(rows: DataFrame, facts: list[tuple[str, str, Column]]) -> DataFrame:
+    """(id, key, value) of facts given as (column of the owner's id, key, value); empty ones are left out.
+
+    Every value is a column, made once a row by compiled code, before the facts become rows.
+    """
+    f = F.col
+    wide = rows.select(*dict.fromkeys(owner for owner, _, _ in facts), *[c.cast("string").alias(f"_v{j}") for j, (_, _, c) in enumerate(facts)])
+    cells = [c for j, (owner, k, _) in enumerate(facts) for c in (f(owner), F.lit(k), f(f"_v{j}"))]
+    out = wide.select(F.stack(F.lit(len(facts)), *cells).alias("id", "key", "value"))
+    return out.filter(f("id").isNotNull() & _present(f("value")))
 
 
 def _optional(df: DataFrame, column: str) -> Column:
@@ -434,42 +440,44 @@ def _order_prefix(c: Column) -> Column:
     return F.conv(F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("bigint")
 
 
-def _alike(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Mentions of equal content as one row with their number and the least prefix of their record's id; written once.
+def _first_values(ids: DataFrame, made: Column, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per vertex: its mentions, and every column's first non-empty value in (record_id, _k) order.
 
-    Numbers are all that is aggregated, so this is done by hashing, before anything is shuffled.
+    ``made`` are a record's vertices as an array of structs.  What is aggregated over all mentions are numbers, by hashing
+    before anything is shuffled: how often a vertex comes, and the least prefix of the ids of the records that fill a column.
+    Only the few records with such a prefix are read again, where the order itself decides.
     """
-    marked = rows.withColumn("_p", F.coalesce(_order_prefix(F.col("record_id")), F.lit(-1)))
-    return cut_lineage(marked.groupBy(*keys, "_k", *columns).agg(F.count("*").alias("mentions"), F.min("_p").alias("_p")))
+    marked = ids.withColumn("_p", F.coalesce(_order_prefix(F.col("record_id")), F.lit(-1)))
 
+    def mentions(records: DataFrame) -> DataFrame:
+        rows = records.select("record_id", "_p", F.posexplode_outer(made).alias("_k", "v")).filter("v.id IS NOT NULL")
+        return rows.select("record_id", "_p", "_k", *[F.when(_present(F.col(f"v.{c}")), F.col(f"v.{c}")).alias(c) if c in columns else F.col(f"v.{c}") for c in [*keys, *columns]])
 
-def _first_values(rows: DataFrame, alike: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, key, value): every column's first non-empty value in (record_id, _k) order.
+    least = [F.min(F.when(F.col(c).isNotNull(), F.col("_p"))).alias(f"_p_{c}") for c in columns]
+    first = cut_lineage(mentions(marked).groupBy(*keys).agg(F.count("*").alias("mentions"), *least))
+    prefixes = first.select(F.explode(F.array(*[f"_p_{c}" for c in columns])).alias("_p")).filter("_p IS NOT NULL").distinct()
+    near = mentions(marked.join(cut_lineage(prefixes), "_p", "left_semi")).join(first, keys)
+    order = F.struct("record_id", "_k")
+    best = [F.min_by(c, F.when(F.col(c).isNotNull() & (F.col("_p") == F.col(f"_p_{c}")), order)).alias(c) for c in columns]
+    values = near.groupBy(*keys).agg(*best)
+    return first.select(*keys, "mentions").join(values, keys, "left")
 
-    ``alike`` names the values whose records come first by the prefix of their ids; only where that leaves several is
-    the order itself looked up, among the mentions of that prefix.
-    """
-    def long(df: DataFrame, *more: str) -> DataFrame:
-        facts = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in columns])
-        out = df.select(*keys, *more, F.explode(F.filter(facts, lambda x: _present(x["value"]))).alias("f"))
-        return out.select(*keys, *more, "f.*")
 
-    of = [*keys, "key"]
-    least = long(alike, "_p").groupBy(*of, "value").agg(F.min("_p").alias("_p"))
-    first = least.groupBy(*of).agg(F.min("_p").alias("_p"))
-    best = cut_lineage(least.join(first, [*of, "_p"]).groupBy(*of, "_p").agg(F.count("*").alias("n"), F.min("value").alias("value")))
-    tied = best.filter("n > 1").select(*of, "_p")
-    marked = rows.withColumn("_p", F.coalesce(_order_prefix(F.col("record_id")), F.lit(-1)))
-    # few mentions are left before columns become rows
-    near = marked.join(tied.select(*keys, "_p").distinct(), [*keys, "_p"], "left_semi")
-    ordered = long(near, "_p", "record_id", "_k").join(tied, [*of, "_p"], "left_semi")
-    decided = ordered.groupBy(*of).agg(F.min_by("value", F.struct("record_id", "_k")).alias("value"))
-    return best.filter("n = 1").select(*of, "value").unionByName(decided)
+def _several(ids: DataFrame) -> DataFrame:
+    """Hashes of the devices that more than one record describes: none, where record ids are unique.
+
+    Numbers are dealt out before they are counted, 500,000 to a task on average; a device that shares its hash is only
+    treated like one of several records.
+    """
+    hashes = ids.select(F.xxhash64("device_id").alias("_h"))
+    parts = max(ids.sparkSession.sparkContext.defaultParallelism, -(-ids.select("record_id").count() // 500_000))
+    return cut_lineage(hashes.repartition(parts, "_h").groupBy("_h").agg(F.count("*").alias("n")).filter("n > 1").select("_h"))
 
 
-def _devices_of_several(ids: DataFrame) -> DataFrame:
-    """The devices that more than one record describes: none, where record ids are unique."""
-    return cut_lineage(ids.groupBy("device_id").agg(F.count("*").alias("n")).filter("n > 1").select("device_id"))
+def _split_devices(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that alone describe their device, and all others."""
+    hashed, several = ids.withColumn("_h", F.xxhash64("device_id")), _several(ids)
+    return hashed.join(several, "_h", "left_anti").drop("_h"), hashed.join(several, "_h", "left_semi").drop("_h")
 
 
 def record_properties(ids: DataFrame, dataset: str = "records") -> DataFrame:
@@ -494,15 +502,15 @@ def record_properties(ids: DataFrame, dataset: str = "records") -> DataFrame:
         vertex("additive_eid", {"additive_id": o("additive_id"), "role": F.lit("additive"), "dataset": F.lit(dataset)}),
         vertex("paper_eid", {"doi": o("doi"), "dataset": F.lit(dataset)}),
     )
-    rows = ids.select("record_id", F.posexplode(made).alias("_k", "v")).filter("v.id IS NOT NULL").select("record_id", "_k", "v.*")
-    values = _first_values(rows, _alike(rows, ["id"], shared), ["id"], shared)
+    firsts = _first_values(ids, made, ["id"], shared)
+    values = _filled(firsts, [("id", c, F.col(c)) for c in shared])
 
-    device = {**{c: o(c) for c in v.DEVICE_PROPERTIES}, "record_id": F.col("record_id"), "dataset": F.lit(dataset)}
-    several = _devices_of_several(ids)
-    single = ids.join(several, "device_id", "left_anti").select(F.explode(_filled(F.col("device_id"), device)).alias("f")).select("f.*")
-    facts = ids.join(several, "device_id", "left_semi").select("record_id", F.posexplode(_filled(F.col("device_id"), device)).alias("pos", "f"))
-    merged = facts.select("record_id", "pos", "f.*").groupBy("id", "key").agg(F.min_by("value", F.struct("record_id", "pos")).alias("value"))
-    return values.unionByName(single).unionByName(merged)
+    device = [*[("device_id", c, o(c)) for c in v.DEVICE_PROPERTIES], ("device_id", "record_id", F.col("record_id")), ("device_id", "dataset", F.lit(dataset))]
+    one, more = _split_devices(ids)
+    facts = F.array(*[F.struct(F.lit(k).alias("key"), c.cast("string").alias("value")) for _, k, c in device])
+    rows = more.select("record_id", F.col("device_id").alias("id"), F.posexplode(facts).alias("pos", "f")).filter(F.col("id").isNotNull() & _present(F.col("f.value")))
+    merged = rows.select("id", "f.key", "f.value", "record_id", "pos").groupBy("id", "key").agg(F.min_by("value", F.struct("record_id", "pos")).alias("value"))
+    return values.unionByName(_filled(one, device)).unionByName(merged)
 
 
 def record_edge_properties(ids: DataFrame, dataset: str = "records") -> DataFrame:
@@ -539,11 +547,9 @@ def record_edge_properties(ids: DataFrame, dataset: str = "records") -> DataFram
         text = said("Device ", f("device_name"), f" {metric} = ", value.cast("string"), f" {unit}." if unit else ".")
         edge(device, metric_id, "HAS_PROPERTY", F.concat(f("record_id"), F.lit(f"|{column}")), {"value": value, "unit": F.lit(unit), "description": text})
     edge(f("paper_eid"), device, "CONTAINS", f("record_id"), {"dataset": F.lit(dataset), "description": said("Paper ", f("doi"), " contains device record ", f("record_id"), ".")})
-    # every identifier and value is a column, made once a record by compiled code, before its facts become rows
-    wide = ids.select(*[c.alias(f"_e{i}") for i, c in enumerate(edges)], *[c.alias(f"_v{j}") for j, (_, _, c) in enumerate(said_of)])
-    cells = [c for j, (i, k, _) in enumerate(said_of) for c in (f(f"_e{i}"), F.lit(k), f(f"_v{j}"))]
-    rows = wide.select(F.stack(F.lit(len(said_of)), *cells).alias("id", "key", "value"))
-    return rows.filter(f("id").isNotNull() & _present(f("value")))
+    # identifiers are columns, too, made once a record
+    named = ids.withColumns({f"_e{i}": e for i, e in enumerate(edges)})
+    return _filled(named, [(f"_e{i}", k, c) for i, k, c in said_of])
 
 
 def record_vertices(ids: DataFrame, dataset: str = "records") -> DataFrame:
@@ -577,16 +583,11 @@ def record_vertices(ids: DataFrame, dataset: str = "records") -> DataFrame:
     def present(prefix: str = "") -> list[Column]:
         return [F.when(_present(f(prefix + c)), f(prefix + c)).alias(c) for c in facts]
 
-    rows = ids.select("record_id", F.posexplode_outer(F.array(donor, acceptor, additive, paper)).alias("_k", "v"))
-    rows = rows.filter(F.col("v.id").isNotNull()).select("record_id", "_k", "v.*")
-    alike = _alike(rows, key, facts)
-    values = _first_values(rows, alike, key, facts).groupBy(*key).agg(*[F.max(F.when(f("key") == c, f("value"))).alias(c) for c in facts])
-    shared = alike.groupBy(*key).agg(F.sum("mentions").alias("mentions")).join(values, key, "left")
-
-    several = _devices_of_several(ids)
-    one = ids.join(several, "device_id", "left_anti").filter("device_id IS NOT NULL").select(device.alias("v"))
+    shared = _first_values(ids, F.array(donor, acceptor, additive, paper), key, facts)
+    alone, others = _split_devices(ids)
+    one = alone.filter("device_id IS NOT NULL").select(device.alias("v"))
     single = one.select("v.id", "v.type", F.lit(1).cast("bigint").alias("mentions"), *present("v."))
-    more = ids.join(several, "device_id", "left_semi").select("record_id", device.alias("v")).select("record_id", "v.*")
+    more = others.filter("device_id IS NOT NULL").select("record_id", device.alias("v")).select("record_id", "v.*")
     merged = more.groupBy(*key).agg(F.count("*").alias("mentions"), *[F.min_by(c, F.when(_present(f(c)), f("record_id"))).alias(c) for c in facts])
     return shared.unionByName(single).unionByName(merged).unionByName(metric_vertices(ids), allowMissingColumns=True)
 
