@@ -111,14 +111,31 @@ def sampled_overview(vertices: DataFrame, edges: DataFrame, n: int, seed: int =
 
 
 # --- paths ---------------------------------------------------------------------------------------------------------
-def _adjacency(edges: DataFrame, hub: int) -> DataFrame:
-    """(vertex, salt, next) both ways; the neighbours of a vertex with more than ``hub`` of them are dealt into parts."""
-    both = edges.select(F.col("source_id").alias("vertex"), F.col("target_id").alias("next")).unionByName(
-        edges.select(F.col("target_id").alias("vertex"), F.col("source_id").alias("next"))
-    ).filter("vertex <> next").distinct()
-    parts = both.groupBy("vertex").agg(F.ceil(F.count("*") / hub).cast("int").alias("parts"))
-    dealt = both.join(parts, "vertex")
-    return dealt.select("vertex", F.pmod(F.xxhash64("next"), F.col("parts")).cast("int").alias("salt"), "next", "parts")
+class _Adjacency:
+    """Both directions of all edges as a written table (vertex, next), and the few vertices with more than ``hub`` neighbours.
+
+    The table is in ranges of both columns, so a hub lies in several of them and rows are small on disk and when they are
+    dealt out.  The neighbours of a hub are dealt into parts where they are joined.
+    """
+
+    def __init__(self, steps: Steps, edges: DataFrame, hub: int):
+        there, back = (F.col(c) for c in ("source_id", "target_id"))
+        both = edges.select(F.explode(F.array(F.struct(there.alias("vertex"), back.alias("next")), F.struct(back.alias("vertex"), there.alias("next")))).alias("e"))
+        key = ["vertex", "next"]
+        self.rows = steps.cut(both.select("e.*").filter("vertex <> next").repartitionByRange(*key).sortWithinPartitions(*key).distinct())
+        degrees = self.rows.groupBy("vertex").agg(F.ceil(F.count("*") / hub).cast("int").alias("parts"))
+        self.hubs = steps.cut(degrees.filter("parts > 1"))
+
+    def of(self, roots: DataFrame) -> DataFrame:
+        """(root, next) for vertices that are roots: every neighbour is a row of its own."""
+        return self.rows.withColumnRenamed("vertex", "root").join(roots, "root", "left_semi")
+
+    def beyond(self, reached: DataFrame) -> DataFrame:
+        """Reached vertices with all their neighbours."""
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = self.rows.join(self.hubs, "vertex", "left").select("vertex", "next", F.pmod(F.xxhash64("next"), parts).cast("int").alias("salt"))
+        fanned = reached.join(self.hubs, "vertex", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        return fanned.join(dealt, ["vertex", "salt"])
 
 
 class _Side:
@@ -130,9 +147,8 @@ class _Side:
     neighbour that is nearer.
     """
 
-    def __init__(self, steps: Steps, roots: DataFrame, adjacent: DataFrame, forward: bool):
+    def __init__(self, steps: Steps, roots: DataFrame, adjacent: _Adjacency, forward: bool):
         self.steps, self.adjacent, self.forward = steps, adjacent, forward
-        self.fans = adjacent.select("vertex", "parts").distinct()
         self.levels = [steps.cut(roots.select("root", F.col("root").alias("vertex"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("above")))]
 
     @property
@@ -152,11 +168,14 @@ class _Side:
     def grow(self, wanted: DataFrame) -> bool:
         """One hop further for the wanted roots; False if nothing new was reached.
 
-        New vertices are those of neither of the last two depths, since neighbours are at most one hop apart.
+        New vertices are those of neither of the last two depths, since neighbours are at most one hop apart.  The first hop
+        reaches every neighbour once, so nothing is compared.
         """
-        edge = self._ranked(self.frontier().join(wanted, "root", "left_semi")).join(self.fans, "vertex")
-        edge = edge.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        grown = edge.join(self.adjacent.drop("parts"), ["vertex", "salt"])
+        if not self.depth:
+            first = self.adjacent.of(wanted)
+            self.levels.append(self.steps.cut(first.select("root", F.col("next").alias("vertex"), F.col("root").alias("parent"), F.lit(0).cast("bigint").alias("above"))))
+            return not self.levels[-1].isEmpty()
+        grown = self.adjacent.beyond(self._ranked(self.frontier().join(wanted, "root", "left_semi")))
         best = F.min(F.struct("rank", "vertex") if self.forward else F.struct("vertex", "rank")).alias("by")
         new = grown.groupBy("root", F.col("next").alias("reached")).agg(best)
         for level in self.levels[-2:]:
@@ -166,10 +185,11 @@ class _Side:
         return not self.levels[-1].isEmpty()
 
     def walk(self, found: DataFrame, root: str, hops: str) -> DataFrame:
-        """Prolong ``path`` of met pairs from its outer vertex ``at`` by ``hops`` steps to the root, one join per depth."""
+        """Prolong ``path`` of met pairs from its outer vertex ``at`` by ``hops`` steps to the root, one join per depth but the first."""
         for depth in range(self.depth, 0, -1):
             step = self.levels[depth].select(F.col("root").alias(root), F.col("vertex").alias("at"), "parent")
-            both = found.join(step, [root, "at"], "left").withColumn("parent", F.when(F.col(hops) >= depth, F.col("parent")))
+            above = found.join(step, [root, "at"], "left") if depth > 1 else found.withColumn("parent", F.col(root))
+            both = above.withColumn("parent", F.when(F.col(hops) >= depth, F.col("parent")))
             longer = F.concat(F.array("parent"), "path") if self.forward else F.concat("path", F.array("parent"))
             found = both.select(
                 *[c for c in found.columns if c not in ("path", "at")], F.coalesce("parent", "at").alias("at"),
@@ -199,7 +219,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_length: int = 5, hub:
     no further.  The neighbours of a vertex with more than ``hub`` of them are joined in parts.  Pairs out of reach are left out.
     """
     steps = Steps(pairs.sparkSession)
-    adjacent = steps.cut(_adjacency(edges, hub))
+    adjacent = _Adjacency(steps, edges, hub)
     open_ = steps.cut(pairs.select("source_id", "target_id").filter("source_id IS NOT NULL AND target_id IS NOT NULL").distinct())
     ahead = _Side(steps, open_.select(F.col("source_id").alias("root")).distinct(), adjacent, True)
     back = _Side(steps, open_.select(F.col("target_id").alias("root")).distinct(), adjacent, False)
